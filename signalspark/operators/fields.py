@@ -45,9 +45,9 @@ def frame_history(
         F.octet_length("data").alias("size"),
         *[c.alias(n) for c, n in zip(big_words("data", payload_bytes), big)],
     )
-    x = with_previous(f, KEY, ["t_mono", "row_seq"], big, time_slice("t_mono", slice_s), depth=2)
+    x = with_previous(f, KEY, ["t_mono", "row_seq"], ["t_mono", *big], time_slice("t_mono", slice_s), depth=2)
     cols = [f"{c}{p}" for c in big for p in ("", "_p1", "_p2")]
-    return x.select(*KEY, "t_mono", "row_seq", "size", *cols)
+    return x.select(*KEY, "t_mono", "t_mono_p1", "t_mono_p2", "row_seq", "size", *cols)
 
 
 def frame_steps(history: DataFrame) -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 FAMILIES = (
     "q_frames",
     "q_fields",
+    "q_series",
+    "q_align",
+    "q_references",
+    "q_identify",
 )
 Query = Callable[[SparkSession, str], DataFrame]
 

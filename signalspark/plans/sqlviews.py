@@ -76,3 +76,51 @@ SELECT CAST(user_id%7 AS VARCHAR) AS session_id, user_id+256 AS arb_id, t,
   printf('%02x%02x%02x%02x', CAST(event_id%256 AS INT), CAST((vi//256)%256 AS INT), CAST(vi%256 AS INT), k) AS hx,
   CASE WHEN event_id%10=0 THEN 'tx' ELSE 'rx' END AS direction, event_id AS rn, (user_id%2=1) AS is_extended
 FROM fe0""", "fe0")
+
+cte("sens", """
+SELECT CAST(user_id%7 AS VARCHAR) AS session_id, event_id, event_type, t, k,
+  ((vi%71)-35)/CAST(100 AS DOUBLE) AS acc_x, ((vi%53)-26)/CAST(100 AS DOUBLE) AS acc_y, ((vi%37)-18)/CAST(100 AS DOUBLE) AS acc_z,
+  ((k%41)-20)/CAST(50 AS DOUBLE) AS rot_z,
+  CASE WHEN event_id%20=0 THEN -1.0::DOUBLE ELSE (vi%4000)/CAST(100 AS DOUBLE) END AS speed
+FROM (SELECT f.*, event_type FROM fe0 f JOIN events USING (event_id))""", "fe0")
+
+cte("samp", """
+SELECT session_id, arb_id*10000000+rn AS pos, CASE arb_id%4 WHEN 0 THEN 'vehicle_speed' WHEN 1 THEN 'engine_rpm' WHEN 2 THEN '' ELSE 'SOC' END AS name,
+  printf('0x%02X', arb_id%256) AS pid, t, CASE WHEN (rn-1)%50=0 THEN 'n/a' ELSE CAST(raw AS VARCHAR) END AS value,
+  CASE arb_id%4 WHEN 0 THEN 'km/h' WHEN 1 THEN 'rpm' END AS unit, arb_id, raw
+FROM fl WHERE (rn-1)%5=0""", "fl")
+
+cte("lab", """
+SELECT session_id, event_id, t, event_type AS field, event_type AS name, CASE WHEN event_id%17=0 THEN NULL ELSE speed END AS value,
+  CAST(event_id%2 AS INT) AS state, CASE WHEN event_id%13=0 THEN NULL ELSE CAST(k%7 AS DOUBLE) END AS gear FROM sens""", "sens")
+
+cte("carhw", """
+SELECT session_id, event_id, t, ['energy','mileage','speed','model','fuel'][CAST(event_id%5+1 AS INT)] AS kind,
+  ['success','unavailable','unimplemented','error'][CAST((event_id//5)%4+1 AS INT)] AS status,
+  k::DOUBLE AS soc, event_id::DOUBLE AS odometer_m, (k+1)::DOUBLE AS speed_ms FROM sens""", "sens")
+
+cte("espd", """
+SELECT session_id, t, raw*CAST(0.01 AS DOUBLE) AS v FROM fl WHERE (rn-1)%5=0 AND arb_id<261 AND (rn-1)%50<>0""", "fl")
+cte("gspd", """
+SELECT session_id, t+CAST(-0.7 AS DOUBLE) AS t, CASE WHEN (rn-1)%100=0 THEN NULL ELSE raw*CAST(0.01 AS DOUBLE)/CAST(3.6 AS DOUBLE)*CAST(3.6 AS DOUBLE) END AS v
+FROM fl WHERE (rn-1)%5=0 AND arb_id<261""", "fl")
+cte("prior_n", """
+SELECT session_id, COALESCE(MAX_BY(o, pos) FILTER (role='companion'),0) - COALESCE(MAX_BY(o, pos) FILTER (role='edge'),0) AS prior FROM (
+ SELECT CAST(n_nationkey%5 AS VARCHAR) AS session_id, n_nationkey AS pos, CASE WHEN n_nationkey%2=0 THEN 'edge' ELSE 'companion' END AS role, (n_nationkey%3)*CAST(0.1 AS DOUBLE) AS o FROM nation) GROUP BY 1""")
+
+
+def resample_sql(src: str, grid: str, keys: str, grid_keys: str, hz: str, gap: str, order: str = "t") -> str:
+    """Linear interpolation of ``src(keys, t, v)`` on ``grid(grid_keys, t0, n_grid)``."""
+    return f"""SELECT {keys}, gi, vp + (g-tp)/(t-tp)*(v-vp) AS v FROM (
+  SELECT iv.*, t0, i AS gi, t0+i/({hz}) AS g FROM (
+    SELECT {keys}, t, v, LAG(t) OVER w AS tp, LAG(v) OVER w AS vp, LAG(t,2) OVER w AS tpp FROM {src} WINDOW w AS (PARTITION BY {keys} ORDER BY {order})) iv
+  JOIN {grid} USING ({grid_keys}), LATERAL (SELECT UNNEST(range(GREATEST(CAST(FLOOR((tp-t0)*({hz})) AS BIGINT)-2,0), LEAST(CAST(FLOOR((t-t0)*({hz})) AS BIGINT)+3, n_grid))) AS i)
+  WHERE tp IS NOT NULL AND t-tp <= {gap})
+WHERE g<=t AND (g>tp OR (tpp IS NULL AND g>=tp)) AND v IS NOT NULL AND vp IS NOT NULL"""
+
+
+PEARSON = """CASE WHEN COUNT(*)>=3 AND STDDEV_POP({x})>=1e-12 AND STDDEV_POP({y})>=1e-12 THEN COVAR_POP({x},{y})/(STDDEV_POP({x})*STDDEV_POP({y})) ELSE 0 END"""
+
+
+def pearson_sql(x: str, y: str) -> str:
+    return PEARSON.format(x=x, y=y)

@@ -161,3 +161,119 @@ def frames_e(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_id").alias("row_seq"),
         (F.col("user_id") % 2 == 1).alias("is_extended"),
     )
+
+
+def signals_l(spark: SparkSession, sf: str) -> DataFrame:
+    """The planted signal of every ``frames_l`` id as a series on the edge clock."""
+    return frames_l(spark, sf).select(
+        "session_id", "arb_id", F.col("t_mono").alias("t"), F.col("raw").cast("double").alias("v")
+    )
+
+
+def refs_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    """``refs_l`` keyed by the id each reference was made from."""
+    return refs_l(spark, sf).select(
+        "session_id", F.substring_index("name", "_", -1).cast("long").alias("arb_id"), "t", "v"
+    )
+
+
+def sensors_e(spark: SparkSession, sf: str) -> DataFrame:
+    """Motion and location samples from events, seven sessions."""
+    e = table(spark, sf, "events").select(
+        "user_id", "event_id", "event_type",
+        (F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, ts)") / F.lit(1e6)).alias("t"),
+        F.expr("CAST(round(value * 100) AS INT)").alias("vi"),
+        F.get_json_object("props", "$.k").cast("int").alias("k"),
+    )
+    return e.select(
+        (F.col("user_id") % 7).cast("string").alias("session_id"), "event_id", "event_type", "t", "k",
+        F.expr("((vi % 71) - 35) / 100.0D").alias("acc_x"),
+        F.expr("((vi % 53) - 26) / 100.0D").alias("acc_y"),
+        F.expr("((vi % 37) - 18) / 100.0D").alias("acc_z"),
+        F.expr("((k % 41) - 20) / 50.0D").alias("rot_z"),
+        F.expr("CASE WHEN event_id % 20 = 0 THEN -1.0D ELSE (vi % 4000) / 100.0D END").alias("speed"),
+    )
+
+
+def samples_l(spark: SparkSession, sf: str) -> DataFrame:
+    """Named diagnostic samples: every fifth frame's signal, some values no number."""
+    return frames_l(spark, sf).filter("(row_seq - 1) % 5 = 0").select(
+        "session_id",
+        (F.col("arb_id") * 10000000 + F.col("row_seq")).alias("pos"),
+        F.expr("CASE arb_id % 4 WHEN 0 THEN 'vehicle_speed' WHEN 1 THEN 'engine_rpm' WHEN 2 THEN '' ELSE 'SOC' END").alias("name"),
+        F.format_string("0x%02X", F.col("arb_id") % 256).alias("pid"),
+        F.col("t_utc").alias("t"),
+        F.expr("CASE WHEN (row_seq - 1) % 50 = 0 THEN 'n/a' ELSE CAST(raw AS STRING) END").alias("value"),
+        F.expr("CASE arb_id % 4 WHEN 0 THEN 'km/h' WHEN 1 THEN 'rpm' ELSE NULL END").alias("unit"),
+        "arb_id",
+        "raw",
+    )
+
+
+def labels_e(spark: SparkSession, sf: str) -> DataFrame:
+    """Dashboard, telltale and gear labels in one frame."""
+    return sensors_e(spark, sf).select(
+        "session_id", "event_id", "t",
+        F.col("event_type").alias("field"), F.col("event_type").alias("name"),
+        F.expr("CASE WHEN event_id % 17 = 0 THEN NULL ELSE speed END").alias("value"),
+        F.expr("CAST(event_id % 2 AS INT)").alias("state"),
+        F.expr("CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(k % 7 AS DOUBLE) END").alias("gear"),
+    )
+
+
+def car_hw_e(spark: SparkSession, sf: str) -> DataFrame:
+    """Head-unit answers: kind and status by event number, payload as JSON text."""
+    return sensors_e(spark, sf).select(
+        "session_id", "event_id", "t",
+        F.expr("element_at(array('energy','mileage','speed','model','fuel'), CAST(event_id % 5 + 1 AS INT))").alias("kind"),
+        F.expr("element_at(array('success','unavailable','unimplemented','error'), CAST((event_id DIV 5) % 4 + 1 AS INT))").alias("status"),
+        F.expr("concat('{\"soc\":', CAST(k AS STRING), ',\"odometer_m\":', CAST(event_id AS STRING), ',\"speed_ms\":', CAST(k + 1 AS STRING), '}')").alias("data"),
+    )
+
+
+def edge_speed_l(spark: SparkSession, sf: str) -> DataFrame:
+    """Vehicle-speed samples of the lowest id of each session (edge clock)."""
+    f = frames_l(spark, sf).filter("(row_seq - 1) % 5 = 0")
+    return f.filter(F.col("arb_id") < 261).select(
+        "session_id", F.lit("vehicle_speed").alias("name"), F.col("t_utc").alias("t"),
+        F.expr("CASE WHEN (row_seq - 1) % 50 = 0 THEN 'n/a' ELSE CAST(raw * 0.01D AS STRING) END").alias("value"),
+    )
+
+
+def location_l(spark: SparkSession, sf: str) -> DataFrame:
+    """GPS speed of the same motion (companion clock), unknown on some rows."""
+    f = frames_l(spark, sf).filter("(row_seq - 1) % 5 = 0")
+    return f.filter(F.col("arb_id") < 261).select(
+        "session_id", (F.col("t_utc") + CLOCK_SHIFT).alias("t"),
+        F.expr("CASE WHEN (row_seq - 1) % 100 = 0 THEN -1.0D ELSE raw * 0.01D / 3.6D END").alias("speed"),
+    )
+
+
+def devices_n(spark: SparkSession, sf: str) -> DataFrame:
+    """Devices of the five bus sessions with small clock offsets."""
+    return table(spark, sf, "nation").select(
+        F.expr("CAST(n_nationkey % 5 AS STRING)").alias("session_id"),
+        F.col("n_nationkey").alias("pos"),
+        F.expr("CASE WHEN n_nationkey % 2 = 0 THEN 'edge' ELSE 'companion' END").alias("role"),
+        F.expr("(n_nationkey % 3) * 0.1D").alias("utc_offset_s"),
+    )
+
+
+def manifest_c(spark: SparkSession, sf: str) -> DataFrame:
+    """One manifest per customer: vehicle, devices, streams, clock offsets."""
+    c = table(spark, sf, "customer")
+    off = "round(c_acctbal) * 0.001D"
+    return c.select(
+        F.expr("concat('s', CAST(c_custkey AS STRING))").alias("session_id"),
+        F.expr("element_at(array('1.0.0','1.2','2.0.0','x'), CAST(CASE WHEN c_custkey % 50 = 7 THEN 3 WHEN c_custkey % 50 = 9 THEN 4 ELSE c_custkey % 2 + 1 END AS INT))").alias("schema_version"),
+        (F.lit(1.7e9) + F.col("c_custkey")).alias("created_utc"),
+        F.expr("map('make', c_mktsegment, 'model', CAST(c_nationkey AS STRING), 'year', CASE WHEN c_custkey % 3 = 0 THEN CAST(2000 + c_custkey % 20 AS STRING) END)").alias("vehicle"),
+        F.expr(
+            "array(named_struct('role','edge','utc_offset_s',c_nationkey * 0.001D),"
+            f"named_struct('role','companion','utc_offset_s',{off}))"
+        ).alias("devices"),
+        F.expr(
+            "array(named_struct('path','can/frames.parquet','kind','can_frames','rows',c_custkey * 10),"
+            "named_struct('path','phone/motion.jsonl','kind','motion','rows',c_custkey * 3))"
+        ).alias("streams"),
+    )
