@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 FAMILIES = (
+    "q_sources",
     "q_frames",
     "q_fields",
     "q_series",
