@@ -15,6 +15,11 @@ FAMILIES = (
     "q_align",
     "q_references",
     "q_identify",
+    "q_ev",
+    "q_fleet",
+    "q_diag",
+    "q_labels",
+    "q_streaming",
 )
 Query = Callable[[SparkSession, str], DataFrame]
 
