@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from signalspark.context import fresh_path
+from signalspark.operators.fleet import scan_parts
 from signalspark.plans import views
 from signalspark.plans.q_fleet import STATUS, parts_o
 from signalspark.plans.registry import Family
@@ -78,8 +79,6 @@ def payload_tracking(spark: SparkSession, sf: str) -> DataFrame:
 , np AS (SELECT session_id, COUNT(*) AS parts FROM scan GROUP BY ALL)
 SELECT session_id, np.parts, CASE WHEN complete THEN 'merged' ELSE 'awaiting' END AS status, CASE WHEN roles='edge' THEN 'companion' WHEN roles='companion' THEN 'edge' ELSE '' END AS missing FROM stt JOIN np USING (session_id)""", "scan"))
 def session_completeness(spark: SparkSession, sf: str) -> DataFrame:
-    from signalspark.operators.fleet import scan_parts
-
     path = fresh_path(spark, "n05")
     scan_parts(parts_o(spark, sf)).select("session_id", "role", "part_seq").repartitionByRange(FILES, "part_seq").write.parquet(path)
     parts = spark.readStream.schema("session_id STRING, role STRING").option("maxFilesPerTrigger", 1).parquet(path)
@@ -117,7 +116,7 @@ def cadence_windows(spark: SparkSession, sf: str) -> DataFrame:
 def late_repair(spark: SparkSession, sf: str) -> DataFrame:
     """A tight watermark drops what arrives late; the batch job repairs those windows."""
     f = views.frames_e(spark, sf)
-    landed = _land(f.withColumn("t_mono", F.col("t_mono")), "n08")
+    landed = _land(f, "n08")
     live = jobs.latest_updates(
         jobs.live_counts(jobs.frame_stream(spark, landed), "1 hour", "1 day"), ["session_id", "window_start"], _checkpoint(spark, "n08")
     )

@@ -52,7 +52,8 @@ def latest_updates(updates: DataFrame, keys: list[str], checkpoint: str) -> Data
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     run_to_end(updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update"))
-    out = spark.read.schema(updates.schema.add("batch", "bigint")).option("basePath", path).parquet(f"{path}/batch=*")
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in updates.schema.fields)
+    out = spark.read.schema(f"{ddl}, batch BIGINT").option("basePath", path).parquet(f"{path}/batch=*")
     cols = [c for c in updates.columns if c not in keys]
     return out.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("s")).select(*keys, "s.*")
 
@@ -126,9 +127,14 @@ def appended(stream: DataFrame, checkpoint: str) -> DataFrame:
 
 
 TRACK_STATE = "n long, first_t double, first_seq long, first binary, last_t double, last_seq long, last binary, low binary, high binary"
+STATUS_OUT = "session_id string, parts long, status string, missing string"
 TRACK_OUT = "session_id string, arb_id long, n long, first_hex string, last_hex string, changing_bytes string"
 
 
+def _names(ddl: str) -> list[str]:
+    return [c.split()[0] for c in ddl.split(", ")]
+
+
 def _track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """First and last payload and the range of every byte of one id, batch after batch."""
     n, ft, fs, first, lt, ls, last, low, high = state.get if state.exists else (0, np.inf, 0, b"", -np.inf, 0, b"", b"", b"")
@@ -149,7 +155,7 @@ def _track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
         n += len(pdf)
     state.update((n, ft, fs, first, lt, ls, last, low, high))
     changing = [str(i) for i in range(min(len(low), len(first))) if low[i] != high[i]]
-    yield pd.DataFrame([[key[0], key[1], n, first.hex(), last.hex(), ",".join(changing)]])
+    yield pd.DataFrame([[key[0], key[1], n, first.hex(), last.hex(), ",".join(changing)]], columns=_names(TRACK_OUT))
 
 
 def track_payloads(stream: DataFrame) -> DataFrame:
@@ -159,7 +165,7 @@ def track_payloads(stream: DataFrame) -> DataFrame:
     )
 
 
-def _completeness(wait_ms: int) -> Callable:
+def _completeness(wait_ms: int | None) -> Callable:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         parts, edge, companion = state.get if state.exists else (0, False, False)
         for pdf in batches:
@@ -167,19 +173,25 @@ def _completeness(wait_ms: int) -> Callable:
             edge = edge or bool((pdf["role"] == "edge").any())
             companion = companion or bool((pdf["role"] == "companion").any())
         state.update((parts, edge, companion))
-        if not (edge and companion):
+        if wait_ms is not None and not (edge and companion):
             state.setTimeoutDuration(wait_ms)
         missing = ",".join(r for r, ok in (("edge", edge), ("companion", companion)) if not ok)
-        yield pd.DataFrame([[key[0], parts, "awaiting" if missing else "merged", missing]])
+        yield pd.DataFrame([[key[0], parts, "awaiting" if missing else "merged", missing]], columns=_names(STATUS_OUT))
 
     return step
 
 
-def session_completeness(parts: DataFrame, wait_ms: int = 3_600_000) -> DataFrame:
-    """Status of each session as its parts arrive; a timer repeats what still waits."""
+def session_completeness(parts: DataFrame, wait_ms: int | None = None) -> DataFrame:
+    """Status of each session as its parts arrive.
+
+    Given ``wait_ms``, a timer repeats the status of sessions that still wait;
+    such a query has always another batch to run, so it needs a processing-time
+    trigger and does not end by itself.
+    """
+    timeout = GroupStateTimeout.NoTimeout if wait_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return parts.select("session_id", "role").groupBy("session_id").applyInPandasWithState(
-        _completeness(wait_ms), "session_id string, parts long, status string, missing string",
-        "parts long, edge boolean, companion boolean", "update", GroupStateTimeout.ProcessingTimeTimeout,
+        _completeness(wait_ms), STATUS_OUT,
+        "parts long, edge boolean, companion boolean", "update", timeout,
     )
 
 
