@@ -8,7 +8,6 @@ from signalspark.functions.payload import all_fields, word_count
 from signalspark.operators import scoring
 from signalspark.operators import tseries as ts
 from signalspark.operators.frames import KEY, attach
-from signalspark.operators.identify import bit_set
 
 MIN_GRID = 16
 
@@ -72,10 +71,10 @@ def command_candidates(
     )
     words = word_count(payload_bytes)
     frac = (F.col("t0") + F.col("gi") / F.lit(float(hz)) - F.col("t_mono_p1")) / (F.col("t_mono") - F.col("t_mono_p1"))
-    keep = candidates.withColumn("seq", F.col("f.seq")).groupBy(*KEY).agg(F.collect_list("seq").alias("seqs"))
     fields = all_fields(payload_bytes)
+    keep = candidates.select(*KEY, F.col("f.seq").alias("seq")).groupBy(*KEY).agg(*scoring.kept("seq", len(fields)))
     anchor = history.groupBy(*KEY).agg(*[F.min_by(f"big_{j}", "t_mono").alias(f"big_{j}_at") for j in range(words)])
-    facts = keep.select(*KEY, bit_set(len(fields)).alias("keep")).join(anchor, KEY)
+    facts = keep.join(anchor, KEY)
     run = F.floor(F.col("gi") / F.lit(scoring.RUN_POINTS))
     left = attach(
         x.select(

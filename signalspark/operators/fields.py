@@ -80,36 +80,49 @@ def explode_fields(steps: DataFrame, fields: list[Field], keep: list[str] | None
     )
 
 
-def field_stats(steps: DataFrame, fields: list[Field]) -> DataFrame:
-    """Per id and field: range, change rate, lag-1 correlation, variance."""
+def field_ranges(steps: DataFrame, fields: list[Field]) -> DataFrame:
+    """Per id and field: rows, range and change rate."""
     x = explode_fields(steps, fields)
-    cur = F.when(F.col("v1").isNotNull(), F.col("v")).cast("double")
-    old = F.col("v1").cast("double")
-    a = x.groupBy(*KEY, "f").agg(
+    a = x.groupBy(*KEY, F.col("f.seq").alias("seq")).agg(
         F.count(F.lit(1)).alias("n"),
         F.max("size").alias("width"),
         F.min("v").alias("vmin"),
         F.max("v").alias("vmax"),
         F.sum(F.when(F.col("v") != F.col("v1"), 1).otherwise(0)).alias("n_flips"),
+    )
+    # the field itself is looked up once per result row, so rows group by a number
+    by_seq = {f.seq: f for f in fields}
+    lookup = [by_seq.get(i, fields[0]) for i in range(max(by_seq) + 1)]
+    a = a.withColumn("f", F.element_at(field_array(lookup), F.col("seq") + 1))
+    fits = F.col("f.off") + F.greatest(F.col("f.width"), F.lit(1)) <= F.col("width")
+    flips = F.when(F.col("n") > 1, F.col("n_flips") / (F.col("n") - 1)).otherwise(0.0)
+    return a.filter(fits).select(*KEY, "seq", "f", "n", "vmin", "vmax", flips.alias("flip_rate"))
+
+
+def lag_stats(steps: DataFrame, fields: list[Field]) -> DataFrame:
+    """Per id and field: correlation with the preceding value, and variance."""
+    x = explode_fields(steps, fields)
+    cur = F.when(F.col("v1").isNotNull(), F.col("v")).cast("double")
+    old = F.col("v1").cast("double")
+    a = x.groupBy(*KEY, F.col("f.seq").alias("seq")).agg(
         F.covar_pop(cur, old).alias("_cov"),
         F.stddev_pop(cur).alias("_s0"),
         F.stddev_pop(old).alias("_s1"),
         F.var_pop(F.col("v").cast("double")).alias("variance"),
     )
-    steps_n = F.col("n") - 1
-    return a.filter(F.col("f.off") + F.greatest(F.col("f.width"), F.lit(1)) <= F.col("width")).select(
+    return a.select(
         *KEY,
-        "f",
-        "n",
-        "vmin",
-        "vmax",
-        F.when(steps_n > 0, F.col("n_flips") / steps_n).otherwise(0.0).alias("flip_rate"),
+        "seq",
         F.least("_s0", "_s1").alias("lag_std"),
         F.try_divide("_cov", F.col("_s0") * F.col("_s1")).alias("lag_corr"),
         "variance",
     )
 
 
+def field_stats(steps: DataFrame, fields: list[Field]) -> DataFrame:
+    return field_ranges(steps, fields).join(lag_stats(steps, fields), [*KEY, "seq"])
+
+
 def counter_fields(steps: DataFrame, ranges: DataFrame, fields: list[Field]) -> DataFrame:
     """(id, field) pairs that step by one constant between wrap-arounds.
 
@@ -229,20 +242,18 @@ def candidates(
 ) -> DataFrame:
     """Fields worth matching: constants, counters, checksums, busy bits removed."""
     fields = all_fields(payload_bytes, max_width, bits)
-    st = field_stats(steps, fields).filter((F.col("n") >= MIN_FRAMES) & (F.col("vmax") > F.col("vmin")))
+    st = field_ranges(steps, fields).filter((F.col("n") >= MIN_FRAMES) & (F.col("vmax") > F.col("vmin")))
     st = st.filter((F.col("f.width") > 0) | (F.col("flip_rate") <= max_toggle))
     if drop_counters:
         byte_ranges = st.filter("f.width > 0")
         counters = counter_fields(steps, byte_ranges, [f for f in fields if f.width > 0])
-        st = st.withColumn("seq", F.col("f.seq")).join(counters.select(*KEY, "seq"), [*KEY, "seq"], "left_anti").drop("seq")
+        st = st.join(counters.select(*KEY, "seq"), [*KEY, "seq"], "left_anti")
     if drop_checksums:
-        spread = value_spread(value_counts(steps, 1)).select(*KEY, "off", "width", "distinct")
-        keyed = st.withColumn("off", F.col("f.off")).withColumn("width", F.col("f.width"))
-        st = (
-            keyed.join(spread, [*KEY, "off", "width"], "left")
-            .filter(~F.coalesce(checksum_rule(F.col("distinct")), F.lit(False)))
-            .drop("off", "width", "distinct")
-        )
+        # only one-byte fields can be checksums, so only they need lag statistics
+        spread = value_spread(value_counts(steps, 1)).select(*KEY, "off", "distinct")
+        lags = lag_stats(steps, [f for f in fields if f.width == 1]).join(st, [*KEY, "seq"]).withColumn("off", F.col("f.off"))
+        checksums = lags.join(spread, [*KEY, "off"]).filter(checksum_rule(F.col("distinct")))
+        st = st.join(checksums.select(*KEY, "seq"), [*KEY, "seq"], "left_anti")
     return st.withColumn("label", field_label(F.col("arb_id")))
 
 
@@ -257,7 +268,6 @@ def classify(
     x = (
         st.withColumn("off", F.col("f.off"))
         .withColumn("width", F.col("f.width"))
-        .withColumn("seq", F.col("f.seq"))
         .join(spread, [*KEY, "off", "width"])
         .join(counters, [*KEY, "seq"], "left")
     )

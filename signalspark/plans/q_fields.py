@@ -105,14 +105,14 @@ def decode_fields(spark: SparkSession, sf: str) -> DataFrame:
 SELECT session_id, arb_id, CAST(seq AS INT) AS seq, printf('0x%X', arb_id) || lab AS label, n, CAST(vmin AS BIGINT) AS vmin, CAST(vmax AS BIGINT) AS vmax
 FROM fst""", "fst"))
 def enumerate_fields(spark: SparkSession, sf: str) -> DataFrame:
-    st = fd.field_stats(_steps(spark, sf), all_fields())
-    return st.select(*fr.KEY, "f.seq", field_label(F.col("arb_id")).alias("label"), "n", "vmin", "vmax")
+    st = fd.field_ranges(_steps(spark, sf), all_fields())
+    return st.select(*fr.KEY, "seq", field_label(F.col("arb_id")).alias("label"), "n", "vmin", "vmax")
 
 
 @q("c04_informative_fields", with_views("""
 SELECT session_id, arb_id, COUNT(*) AS n_fields, CAST(COUNT_IF(vmax>vmin) AS BIGINT) AS n_informative FROM fst WHERE w>0 GROUP BY ALL""", "fst"))
 def informative_fields(spark: SparkSession, sf: str) -> DataFrame:
-    st = fd.field_stats(_steps(spark, sf), all_fields(bits=False))
+    st = fd.field_ranges(_steps(spark, sf), all_fields(bits=False))
     return st.groupBy(*fr.KEY).agg(
         F.count(F.lit(1)).alias("n_fields"), F.count_if(F.col("vmax") > F.col("vmin")).alias("n_informative")
     )
@@ -123,7 +123,7 @@ SELECT c.session_id, c.arb_id, CAST(c.seq AS INT) AS seq, CAST(step AS BIGINT) A
 def counter_fields(spark: SparkSession, sf: str) -> DataFrame:
     steps = _stored_steps(spark, sf)
     fields = all_fields(bits=False)
-    ranges = fd.field_stats(steps, fields).filter("vmax > vmin")
+    ranges = fd.field_ranges(steps, fields).filter("vmax > vmin")
     return fd.counter_fields(steps, ranges, fields)
 
 
@@ -149,7 +149,7 @@ def checksum_bytes(spark: SparkSession, sf: str) -> DataFrame:
 @q("c07_bit_fields", with_views("""
 SELECT session_id, arb_id, printf('0x%X', arb_id) || lab AS label, ROUND(flip,6) AS toggle_rate FROM fst WHERE w=0 AND vmax>vmin AND flip<=0.45""", "fst"))
 def bit_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    st = fd.field_stats(_steps(spark, sf), [f for f in all_fields() if f.bit >= 0])
+    st = fd.field_ranges(_steps(spark, sf), [f for f in all_fields() if f.bit >= 0])
     return st.filter("vmax > vmin AND flip_rate <= 0.45").select(
         *fr.KEY, field_label(F.col("arb_id")).alias("label"), F.round("flip_rate", 6).alias("toggle_rate")
     )
