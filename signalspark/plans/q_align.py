@@ -26,12 +26,14 @@ SELECT p.session_id, prior + COALESCE(k/10.0::DOUBLE,0) AS delta, COALESCE(ABS(r
 FROM prior_n p LEFT JOIN (SELECT * FROM ascore QUALIFY ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY ROUND(ABS(r),9) DESC, k)=1) b USING (session_id)""", "prior_n", "ascore")
 
 
-def alignment_l(spark: SparkSession, sf: str) -> DataFrame:
+def alignment_l(spark: SparkSession, sf: str, frames: DataFrame | None = None) -> DataFrame:
     """Alignment of the five bus sessions from their speed series."""
+    if frames is None:
+        frames = views.stored_frames(spark, sf)
     return al.estimate_alignment(
         al.manifest_prior(views.devices_n(spark, sf)),
-        al.edge_obd_speed(views.edge_speed_l(spark, sf)),
-        al.gps_speed_kmh(views.location_l(spark, sf)),
+        al.edge_obd_speed(views.edge_speed_l(spark, sf, frames)),
+        al.gps_speed_kmh(views.location_l(spark, sf, frames)),
     )
 
 

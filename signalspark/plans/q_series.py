@@ -52,7 +52,8 @@ def _event_resampled(spark: SparkSession, sf: str) -> DataFrame:
 
 def pair_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Every id's signal and its own reference on their pair grid."""
-    sig, ref = views.signals_l(spark, sf), views.refs_by_id(spark, sf)
+    frames = views.stored_frames(spark, sf)
+    sig, ref = views.signals_l(spark, sf, frames), views.refs_by_id(spark, sf, frames)
     both = ts.spans(sig, PAIR).unionByName(ts.spans(ref, PAIR))
     grid = ts.common_grid(both, PAIR, 10.0)
     return ts.resample(sig, grid, PAIR, PAIR, 10.0, 2.0), ts.resample(ref, grid, PAIR, PAIR, 10.0, 2.0)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from signalspark.context import cut_lineage
 from signalspark.operators.slices import trailing_sums, with_row_number
 
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
@@ -82,10 +83,19 @@ def frames_l(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def refs_l(spark: SparkSession, sf: str) -> DataFrame:
+def stored_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """``frames_l`` written once, for plans that read the recording several times."""
+    return cut_lineage(frames_l(spark, sf), "frames")
+
+
+def _frames(spark: SparkSession, sf: str, frames: DataFrame | None) -> DataFrame:
+    return frames_l(spark, sf) if frames is None else frames
+
+
+def refs_l(spark: SparkSession, sf: str, frames: DataFrame | None = None) -> DataFrame:
     """One 10 Hz reference per id of ``frames_l``, on the companion clock."""
     return (
-        frames_l(spark, sf)
+        _frames(spark, sf, frames)
         .filter((F.col("row_seq") - 1) % 5 == 0)
         .select(
             "session_id",
@@ -163,16 +173,16 @@ def frames_e(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def signals_l(spark: SparkSession, sf: str) -> DataFrame:
+def signals_l(spark: SparkSession, sf: str, frames: DataFrame | None = None) -> DataFrame:
     """The planted signal of every ``frames_l`` id as a series on the edge clock."""
-    return frames_l(spark, sf).select(
+    return _frames(spark, sf, frames).select(
         "session_id", "arb_id", F.col("t_mono").alias("t"), F.col("raw").cast("double").alias("v")
     )
 
 
-def refs_by_id(spark: SparkSession, sf: str) -> DataFrame:
+def refs_by_id(spark: SparkSession, sf: str, frames: DataFrame | None = None) -> DataFrame:
     """``refs_l`` keyed by the id each reference was made from."""
-    return refs_l(spark, sf).select(
+    return refs_l(spark, sf, frames).select(
         "session_id", F.substring_index("name", "_", -1).cast("long").alias("arb_id"), "t", "v"
     )
 
@@ -231,18 +241,18 @@ def car_hw_e(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def edge_speed_l(spark: SparkSession, sf: str) -> DataFrame:
+def edge_speed_l(spark: SparkSession, sf: str, frames: DataFrame | None = None) -> DataFrame:
     """Vehicle-speed samples of the lowest id of each session (edge clock)."""
-    f = frames_l(spark, sf).filter("(row_seq - 1) % 5 = 0")
+    f = _frames(spark, sf, frames).filter("(row_seq - 1) % 5 = 0")
     return f.filter(F.col("arb_id") < 261).select(
         "session_id", F.lit("vehicle_speed").alias("name"), F.col("t_utc").alias("t"),
         F.expr("CASE WHEN (row_seq - 1) % 50 = 0 THEN 'n/a' ELSE CAST(raw * 0.01D AS STRING) END").alias("value"),
     )
 
 
-def location_l(spark: SparkSession, sf: str) -> DataFrame:
+def location_l(spark: SparkSession, sf: str, frames: DataFrame | None = None) -> DataFrame:
     """GPS speed of the same motion (companion clock), unknown on some rows."""
-    f = frames_l(spark, sf).filter("(row_seq - 1) % 5 = 0")
+    f = _frames(spark, sf, frames).filter("(row_seq - 1) % 5 = 0")
     return f.filter(F.col("arb_id") < 261).select(
         "session_id", (F.col("t_utc") + CLOCK_SHIFT).alias("t"),
         F.expr("CASE WHEN (row_seq - 1) % 100 = 0 THEN -1.0D ELSE raw * 0.01D / 3.6D END").alias("speed"),
