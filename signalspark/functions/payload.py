@@ -8,6 +8,7 @@ shift, a mask and a sign fold, in whichever byte order.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
@@ -29,7 +30,7 @@ class Field:
     bit: int
     payload_bytes: int = 8
 
-    def sql(self) -> str:
+    def row(self) -> dict:
         word = min(self.off // 4, word_count(self.payload_bytes) - 1)
         local = self.off - 4 * word
         little = self.endian == "LE"
@@ -38,12 +39,16 @@ class Field:
         else:
             shift = 8 * local if little else 8 * (8 - local - self.width)
             mask = (1 << (8 * self.width)) - 1
-        half = 1 << (8 * self.width - 1) if self.signed else 0
-        return (
-            f"named_struct('seq',{self.seq},'off',{self.off},'width',{self.width},"
-            f"'endian','{self.endian}','signed',{str(self.signed).lower()},'bit',{self.bit},"
-            f"'word',{2 * word + little},'shift',{shift},'mask',{mask}L,'half',{half}L)"
-        )
+        return {
+            "seq": self.seq, "off": self.off, "width": self.width, "endian": self.endian, "signed": self.signed,
+            "bit": self.bit, "word": 2 * word + little, "shift": shift, "mask": mask,
+            "half": 1 << (8 * self.width - 1) if self.signed else 0,
+        }
+
+
+FIELD_TYPE = (
+    "seq int, off int, width int, endian string, signed boolean, bit int, word int, shift int, mask bigint, half bigint"
+)
 
 
 def byte_fields(payload_bytes: int = 8, max_width: int = 4) -> list[Field]:
@@ -68,7 +73,8 @@ def all_fields(payload_bytes: int = 8, max_width: int = 4, bits: bool = True) ->
 
 
 def field_array(fields: list[Field]) -> Column:
-    return F.expr("array(" + ",".join(f.sql() for f in fields) + ")")
+    """The fields as one constant array, folded to a literal by the optimizer."""
+    return F.from_json(F.lit(json.dumps([f.row() for f in fields])), f"array<struct<{FIELD_TYPE.replace(' ', ':').replace(',:', ',')}>>")
 
 
 def to_bytes(data: Column | str) -> Column:
