@@ -15,13 +15,16 @@ def spark_of(df: DataFrame) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``.
 
-    Only a session that names none (a test on one machine) gets a folder of
-    its own; the choice is kept so that every later call agrees.
+    A session in one process that names none (a test) gets a folder of its own,
+    kept so that every later call agrees; a cluster must name one, as executors
+    do not see each other's disks.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        current = spark.sparkContext.getCheckpointDir()
-        root = current or tempfile.mkdtemp(prefix="spark-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 

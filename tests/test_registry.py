@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import __spark_entry__ as entry
+from signalspark.plans import registry
 
 
 def test_every_oracle_has_a_query():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
+    q, o = registry.queries(), registry.oracle_sql()
     assert set(q) - set(o) == {"c22_masked_tokens", "d07_dtw_similarity"}
 
 
