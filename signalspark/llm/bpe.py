@@ -17,7 +17,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: Texts are cut into pieces of about so many characters.
 PIECE = 1 << 16
 #: White space as the splitting pattern's engine sees it (Unicode White_Space, fixed values).
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Runs of white space from this length on are encoded apart: the engine recurses over them.
 LONG_RUN = 4096
 _RUN = re.compile(f"[{SPACE}]{{{LONG_RUN},}}")

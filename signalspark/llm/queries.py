@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalspark.llm import bpe
+from signalspark.llm import bpe, exact_dedup, langid, pii
 from signalspark.plans.registry import Family
 
 FAMILY = Family()
@@ -18,3 +18,34 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query("op1_byte_bpe")
 def op1_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf, "documents"), keep=["doc_id"])
+
+
+def fold(buckets: int, held: int):
+    """The contract's folds: crc32 of the id as text, by remainder."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(buckets)) == held
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    held = F.coalesce(fold(3, 1), F.lit(False))
+    model = langid.train(documents, ~held)
+    x = documents.select("doc_id", held.alias("held_out"), "text")
+    return langid.predict(x, model, keep=["doc_id", "held_out"])
+
+
+@query("op5_pii")
+def op5_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.scan(table(spark, sf, "documents"), keep=["doc_id"]).drop("scored")
+
+
+@query(
+    "op6_exact_dedup",
+    r"""
+    WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents),
+    g AS (SELECT body, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM t JOIN g USING (body)
+    """,
+)
+def op6_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_dedup.find_copies(table(spark, sf, "documents"))
