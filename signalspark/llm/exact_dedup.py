@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from signalspark.llm import golomb
-from signalspark.llm.tables import partitions, remove, store
+from signalspark.llm.tables import keep_rows, partitions, remove, store
 from signalspark.llm.textmap import with_text_columns
 
 BITS = 48
@@ -196,18 +196,5 @@ def without_copies(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     several times, one of those rows stays.
     """
     found = find_copies(documents, doc_id, text)
-    pair = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    odd, _ = store(
-        pair.filter("not kept or n > 1").select(F.struct("doc_id", "text_sha256").alias("_pair"), "kept"), "odd"
-    )
-    names = [f"c{i}" for i in range(len(documents.columns))]
-    x = documents.toDF(*names)
-    ids, texts = (F.col(names[documents.columns.index(c)]) for c in (doc_id, text))
-    body = F.regexp_replace(F.coalesce(texts, F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    key = F.struct(ids.cast("long").alias("doc_id"), F.sha2(body.cast("binary"), 256).alias("text_sha256"))
-    x = x.withColumn("_pair", key)
-    out = x.join(odd, "_pair", "left_anti").select(*names)
-    repeated = odd.filter("kept")
-    if not repeated.isEmpty():
-        out = out.unionByName(x.join(repeated, "_pair", "left_semi").dropDuplicates(["_pair"]).select(*names))
-    return out.toDF(*documents.columns)
+    body = F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    return keep_rows(documents, found, doc_id, F.sha2(body.cast("binary"), 256), "text_sha256")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalspark.llm import bpe, exact_dedup, langid, pii
+from signalspark.llm import bpe, exact_dedup, langid, ngram_join, pii
 from signalspark.plans.registry import Family
 
 FAMILY = Family()
@@ -49,3 +49,24 @@ def op5_pii(spark: SparkSession, sf: str) -> DataFrame:
 )
 def op6_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf, "documents"))
+
+
+@query(
+    "op2_ngram_jaccard",
+    r"""
+    WITH RECURSIVE t AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM t),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+    e AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * o >= 80 * (p.n + q.n - o)),
+    r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.seen)
+    SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.seen) AS component_id
+    FROM t LEFT JOIN n USING (doc_id) JOIN r ON r.node = t.doc_id GROUP BY ALL
+    """,
+)
+def op2_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.find_groups(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from signalspark.context import fresh_path
 
@@ -25,3 +25,23 @@ def remove(spark: SparkSession, *paths: str) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def keep_rows(documents: DataFrame, found: DataFrame, doc_id: str, key: Column, name: str) -> DataFrame:
+    """The rows of ``documents`` that ``found`` (doc_id, ``name``, kept) keeps, with all their columns.
+
+    ``key`` computes ``name`` from a row of ``documents``; id and key name the
+    rows.  Where an id and key occur several times and one of them is kept, one
+    row stays.  Only rows that go or repeat are listed, so the list is short
+    beside the documents, and Spark broadcasts it if it measures it to be small.
+    """
+    pair = found.groupBy("doc_id", name).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    odd, _ = store(pair.filter("not kept or n > 1").select(F.struct("doc_id", F.col(name).alias("key")).alias("_pair"), "kept"), "odd")
+    names = [f"c{i}" for i in range(len(documents.columns))]
+    x = documents.withColumn("_pair", F.struct(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), key.alias("key")))
+    x = x.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(documents.columns, names, strict=True)], "_pair")
+    out = x.join(odd, "_pair", "left_anti").select(*names)
+    repeated = odd.filter("kept")
+    if not repeated.isEmpty():
+        out = out.unionByName(x.join(repeated, "_pair", "left_semi").dropDuplicates(["_pair"]).select(*names))
+    return out.toDF(*documents.columns)
