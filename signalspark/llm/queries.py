@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalspark.llm import bpe, exact_dedup, langid, ngram_join, pii
+from signalspark.llm import bpe, decontaminate, exact_dedup, langid, ngram_join, pii
 from signalspark.plans.registry import Family
 
 FAMILY = Family()
@@ -70,3 +70,27 @@ def op6_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 )
 def op2_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.find_groups(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query(
+    "op9_decontaminate",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    k AS (SELECT DISTINCT item_id, l, array_to_string(w[p:p + l - 1], ' ') AS g FROM (
+        SELECT item_id, w, least(10, len(w)) AS l, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+    g AS (SELECT r, p, l, array_to_string(w[p:p + l - 1], ' ') AS g FROM (
+        SELECT r, w, l, unnest(range(1, len(w) - l + 2)) AS p FROM d, (SELECT DISTINCT l FROM k) WHERE len(w) >= l)),
+    m AS (SELECT r, p, l, item_id FROM g JOIN k USING (l, g)),
+    h AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + l)) AS q FROM m) GROUP BY r),
+    n AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
+        FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM m WHERE item_id IS NOT NULL) GROUP BY r)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)
+    """,
+)
+def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"), keep=["doc_id"])
