@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalspark.llm import bpe, decontaminate, exact_dedup, langid, ngram_join, pii
+from signalspark.llm import bpe, decontaminate, exact_dedup, langid, ngram_join, pii, url_rules, warc
 from signalspark.plans.registry import Family
 
 FAMILY = Family()
@@ -94,3 +94,48 @@ def op2_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 )
 def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"), keep=["doc_id"])
+
+
+RULES = (
+    url_rules.Prefix("net/", "block"),
+    url_rules.Prefix("example.net/en/", "allow"),
+    url_rules.Prefix("example.com/de/", "block"),
+    url_rules.Prefix("org/fr/", "allow"),
+)
+
+
+def judged_sql() -> str:
+    def rows(rules):
+        return ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for x in (r.rule, r.verdict, r.regex))) for r in rules)
+
+    return rf"""
+    WITH u AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    p(rule, verdict, regex) AS (VALUES {rows(RULES)}), q(rule, verdict, regex) AS (VALUES {rows(url_rules.PATTERNS)})
+    SELECT page_id, host, path, (SELECT arg_max(rule, length(rule)) FROM p WHERE regexp_matches(host || path, regex)) AS rule,
+        coalesce((SELECT arg_max(verdict, length(rule)) FROM p WHERE regexp_matches(host || path, regex)),
+            CASE WHEN EXISTS (SELECT 1 FROM q WHERE regexp_matches(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), regex)) THEN 'block' ELSE 'allow' END) AS verdict
+    FROM u
+    """
+
+
+@query("op7_url_filter", judged_sql())
+def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf, "pages"), RULES, keep=["page_id"])
+
+
+@query(
+    "op10_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    g AS (SELECT h, min(page_id) AS f FROM p WHERE octet_length(encode(h)) >= 100 GROUP BY h)
+    SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha256(h) AS payload_digest,
+        CASE WHEN f <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN f <> page_id THEN f END AS refers_to
+    FROM p LEFT JOIN g USING (h)
+    """,
+)
+def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf, "pages"))
