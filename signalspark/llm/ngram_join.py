@@ -16,6 +16,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -171,11 +173,12 @@ def crowded(rows: DataFrame) -> DataFrame:
     )
 
 
-def sets_of(documents: DataFrame, wanted: DataFrame, classes: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """cls and sorted set of the wanted classes, read anew from their texts.
+def sets_of(documents: DataFrame, wanted: DataFrame, doc_id: str, text: str, cut: Callable) -> DataFrame:
+    """cls and sorted set of the wanted classes (cls, doc_id, set), read anew from the document named there.
 
-    A filter of fixed size, by id, keeps other texts out of this pass; it only
-    saves work, since sets are then joined to their classes.
+    ``cut`` gives a function from a text to its distinct sets.  A filter of
+    fixed size, by id, keeps other texts out of this pass; it only saves work,
+    since sets are then joined to their classes.
     """
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     got = (
@@ -187,19 +190,27 @@ def sets_of(documents: DataFrame, wanted: DataFrame, classes: DataFrame, doc_id:
     shared = documents.sparkSession.sparkContext.broadcast(words)
 
     def scan(batches):
-        table, seen = shared.value, WordHashes()
+        table, of = shared.value, cut()
         for batch in batches:
             bits = batch.column(0).to_numpy()
             ok = np.flatnonzero(table[bits >> 5] >> (bits & 31).astype(np.uint32) & 1)
-            texts = batch.column(1).take(pa.array(ok)).to_pylist()
-            sets = [u.tobytes() for t in texts if len(u := shingle_set(t, seen, size))]
+            texts = batch.column(2).take(pa.array(ok)).to_pylist()
+            ids = batch.column(1).take(pa.array(ok)).to_pylist()
+            rows = [(i, u.tobytes()) for i, t in zip(ids, texts, strict=True) for u in of(t)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["set", "hashes"]
+                [
+                    pa.array([i for i, _ in rows], pa.int64()),
+                    pa.array([xxhash.xxh3_128_digest(u) for _, u in rows], pa.binary()),
+                    pa.array([u for _, u in rows], pa.binary()),
+                ],
+                ["doc_id", "set", "hashes"],
             )
 
     x = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
-    sets = x.select(bit, "text").mapInArrow(scan, "set binary, hashes binary")
-    return sets.join(classes.select("set", "cls"), "set").select("cls", "hashes")
+    sets = x.select(bit, "doc_id", "text").mapInArrow(scan, "doc_id long, set binary, hashes binary")
+    names = wanted.select("cls", F.col("doc_id").alias("_doc"), F.col("set").alias("_set"))
+    same = (F.col("set") == F.col("_set")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
+    return sets.join(names, same).select("cls", "hashes")
 
 
 def verified(pairs: DataFrame, maps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -329,16 +340,20 @@ def close_pairs(dealt: DataFrame, percent: int, best: bool) -> DataFrame:
     return x.mapInArrow(scan, "src long, dst long").distinct()
 
 
-def link_classes(documents: DataFrame, table: DataFrame, classes: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
-    """node and label of the classes that have links to others."""
-    spark = documents.sparkSession
+def link_classes(table: DataFrame, classes: DataFrame, sets_for: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """node and label of the classes that have links to others.
+
+    ``table`` has row, doc_id, n, set, bitmap and prefix (the tokens on which
+    classes meet); a class is named by a row.  ``sets_for`` reads the sets.
+    """
+    spark = table.sparkSession
     reps = table.filter("prefix is not null").join(classes.select(F.col("cls").alias("row")), "row", "left_semi")
     rows = reps.select(F.explode("prefix").alias("token"), F.col("row").alias("cls"), F.col("n").cast("int").alias("n"))
     shared, shared_path = store(crowded(rows), "shared")
     maps, maps_path = store(
-        reps.select(F.col("row").alias("cls"), "n", "bitmap", "doc_id").join(shared.select("cls").distinct(), "cls", "left_semi"), "maps"
+        reps.select(F.col("row").alias("cls"), "n", "bitmap", "doc_id", "set").join(shared.select("cls").distinct(), "cls", "left_semi"), "maps"
     )
-    sets, sets_path = store(sets_of(documents, maps, classes, doc_id, text, size), "sets")
+    sets, sets_path = store(sets_for(maps), "sets")
 
     def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
         x = rows.join(labels.withColumnRenamed("node", "cls").withColumnRenamed("label", "_label"), "cls", "left")
@@ -383,7 +398,12 @@ def find_groups(
     """
     table, _ = store(shingled(documents, doc_id, text, size, percent), "shingled")
     classes, _ = store(table.filter("prefix is not null").groupBy("set").agg(F.min("row").alias("cls")), "classes")
-    labels = link_classes(documents, table, classes, doc_id, text, size, percent)
+
+    def cut():
+        seen = WordHashes()
+        return lambda t: [u for u in [shingle_set(t, seen, size)] if len(u)]
+
+    labels = link_classes(table, classes, lambda maps: sets_of(documents, maps, doc_id, text, cut), percent)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     first = table.filter("n > 0").groupBy("set").agg(F.min(order).alias("best"))
     named = classes.join(labels, classes["cls"] == labels["node"], "left").select("set", F.coalesce("label", "cls").alias("label"))

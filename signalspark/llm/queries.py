@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalspark.llm import bpe, decontaminate, exact_dedup, langid, ngram_join, pii, url_rules, warc
+from signalspark.llm import bpe, decontaminate, exact_dedup, langid, ngram_join, paragraph_dedup, pii, quality, url_rules, warc
 from signalspark.plans.registry import Family
 
 FAMILY = Family()
@@ -139,3 +139,17 @@ def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 )
 def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf, "pages"))
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    held = F.coalesce(fold(4, 2), F.lit(False))
+    labels = table(spark, sf, "labels").filter(~held).select("doc_id", "quality")
+    weights = quality.train(documents, labels)
+    return quality.score(documents.select("doc_id", held.alias("held_out"), "text"), weights, keep=["doc_id", "held_out"])
+
+
+@query("op3_paragraph_dedup")
+def op3_paragraph_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return paragraph_dedup.find_repeats(table(spark, sf, "documents")).drop("body")
