@@ -8,6 +8,7 @@ from signalspark.operators import tseries as ts
 from signalspark.operators.frames import attach
 
 SESSION = ["session_id"]
+# How an alignment was found, as the result format names it.
 METHOD_PRIOR = "manifest_prior"
 METHOD_XCORR = "xcorr(obd_speed,gps_speed)"
 

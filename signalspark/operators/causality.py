@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from signalspark.functions.payload import all_fields, word_count
 from signalspark.operators import scoring
 from signalspark.operators import tseries as ts
+from signalspark.operators.fields import payload_bytes_of
 from signalspark.operators.frames import KEY, attach
 
 MIN_GRID = 16
@@ -36,7 +37,7 @@ def command_candidates(
     min_lead_s: float = 0.08,
     min_r: float = 0.6,
     top_k: int = 3,
-    payload_bytes: int = 8,
+    payload_bytes: int | None = None,
 ) -> DataFrame:
     """Candidates that lead an effect, the strongest ``top_k`` per effect.
 
@@ -69,6 +70,7 @@ def command_candidates(
     x = x.withColumn(
         "gi", F.explode(ts.grid_points(hz, F.col("t_mono_p1"), F.col("t_mono"), F.col("t_mono_p2").isNull()))
     )
+    payload_bytes = payload_bytes or payload_bytes_of(history)
     words = word_count(payload_bytes)
     frac = (F.col("t0") + F.col("gi") / F.lit(float(hz)) - F.col("t_mono_p1")) / (F.col("t_mono") - F.col("t_mono_p1"))
     fields = all_fields(payload_bytes)

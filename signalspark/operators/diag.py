@@ -91,13 +91,15 @@ def request_id(arb_id: Column, extended: Column) -> Column:
 def reassemble(frames: DataFrame, slice_s: float = 60.0) -> DataFrame:
     """Multi-frame responses joined per responder.
 
-    A message starts at a single or first frame; the running number of starts
+    Only identifiers of responders are read: on a mixed bus the first byte of
+    other traffic means something else.  A message starts at a single or first frame; the running number of starts
     tells which message a consecutive frame belongs to.  Frames past the
     announced length are left out, which bounds a message to 4,095 bytes.
     """
     key = ["session_id", "arb_id"]
     kind = F.shiftright(decode_int(F.col("data"), 0, 1), 4)
-    x = frames.select(*key, "t_mono", "row_seq", "data", kind.alias("kind")).filter("kind IN (0, 1, 2)")
+    extended = F.coalesce("is_extended", F.lit(False)) if "is_extended" in frames.columns else F.col("arb_id") > 0x7FF
+    x = frames.filter(is_diag_response(F.col("arb_id"), extended)).select(*key, "t_mono", "row_seq", "data", kind.alias("kind")).filter("kind IN (0, 1, 2)")
     by = F.floor(F.col("t_mono") / F.lit(float(slice_s)))
     x = with_running_sum(
         x, key, ["t_mono", "row_seq"], {"msg": F.when(F.col("kind") < 2, 1).otherwise(0), "frame_no": F.lit(1)}, by
@@ -108,8 +110,7 @@ def reassemble(frames: DataFrame, slice_s: float = 60.0) -> DataFrame:
     y = x.join(starts, [*key, "msg"])
     at = F.col("frame_no") - F.col("start_no")
     wanted = F.when(F.col("start_kind") == 0, at == 0).otherwise(at <= F.ceil((F.col("length") - 6) / 7))
-    hexed = F.hex("data")
-    chunk = F.when(F.col("kind") == 1, F.substring(hexed, 5, 100)).otherwise(F.substring(hexed, 3, 100))
+    chunk = F.expr("substring(hex(data), CASE WHEN kind = 1 THEN 5 ELSE 3 END)")
     m = y.filter(wanted).groupBy(*key, "msg", "t", "length").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("frame_no", chunk.alias("c")))), lambda s: s["c"]), "").alias("hx")
     )

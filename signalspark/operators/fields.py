@@ -27,15 +27,28 @@ from signalspark.operators.slices import with_previous
 MIN_FRAMES = 8
 
 
+def payload_bytes_of(df: DataFrame) -> int:
+    """Payload width of a history or of steps, as ``frame_history`` noted it on their words."""
+    for c in ("w", "big_0"):
+        if c in df.columns and "payload_bytes" in df.schema[c].metadata:
+            return df.schema[c].metadata["payload_bytes"]
+    raise ValueError("no payload width on the words; make them with frame_history, or give the width")
+
+
 def frame_history(
-    frames: DataFrame, slice_s: float = SLICE_S, rx_only: bool = True, pad: bool = True, payload_bytes: int = 8
+    frames: DataFrame, slice_s: float = SLICE_S, rx_only: bool = True, pad: bool = True, payload_bytes: int | None = None
 ) -> DataFrame:
     """Payload of each frame next to the two before it, as ``big_<j>`` word columns.
 
+    The width is that of the widest payload, read off the frames unless the
+    caller knows it; it travels with the words, so every field of it is
+    enumerated later.
     Field statistics, value counts and counter tests each read this, so plans
     that need several of them store it first.
     """
     f = organic(frames) if rx_only else frames
+    if payload_bytes is None:
+        payload_bytes = f.agg(F.max(F.octet_length("data"))).first()[0] or 1
     f = padded(f.select(*KEY, "t_mono", "row_seq", "data")) if pad else f
     big = [f"big_{j}" for j in range(word_count(payload_bytes))]
     f = f.select(
@@ -45,9 +58,11 @@ def frame_history(
         F.octet_length("data").alias("size"),
         *[c.alias(n) for c, n in zip(big_words("data", payload_bytes), big)],
     )
+    noted = {"payload_bytes": payload_bytes}
     x = with_previous(f, KEY, ["t_mono", "row_seq"], ["t_mono", *big], time_slice("t_mono", slice_s), depth=2)
     cols = [f"{c}{p}" for c in big for p in ("", "_p1", "_p2")]
-    return x.select(*KEY, "t_mono", "t_mono_p1", "t_mono_p2", "row_seq", "size", *cols)
+    words = [F.col(c).alias(c, metadata=noted) for c in cols]
+    return x.select(*KEY, "t_mono", "t_mono_p1", "t_mono_p2", "row_seq", "size", *words)
 
 
 def frame_steps(history: DataFrame) -> DataFrame:
@@ -58,7 +73,7 @@ def frame_steps(history: DataFrame) -> DataFrame:
         "t_mono",
         "row_seq",
         "size",
-        word_array(big).alias("w"),
+        word_array(big).alias("w", metadata={"payload_bytes": payload_bytes_of(history)}),
         word_array([f"{c}_p1" for c in big]).alias("w1"),
         word_array([f"{c}_p2" for c in big]).alias("w2"),
     )
@@ -194,13 +209,13 @@ def _steps(x: DataFrame) -> DataFrame:
     )
 
 
-def value_counts(steps: DataFrame, max_width: int = 1, payload_bytes: int = 8) -> DataFrame:
+def value_counts(steps: DataFrame, max_width: int = 1, payload_bytes: int | None = None) -> DataFrame:
     """Occurrences of every value of every byte group of up to two bytes.
 
     Byte order and sign only rename values, so one count per (offset, width)
     serves all four variants of a field.  At most 65,536 values per group.
     """
-    groups = [f for f in byte_fields(payload_bytes, max_width) if f.endian == "BE" and not f.signed]
+    groups = [f for f in byte_fields(payload_bytes or payload_bytes_of(steps), max_width) if f.endian == "BE" and not f.signed]
     x = steps.select(*KEY, "w", "size", F.explode(field_array(groups)).alias("f")).filter(
         "f.off + f.width <= size"
     )
@@ -233,7 +248,7 @@ def checksum_rule(spread_distinct: Column) -> Column:
 
 def candidates(
     steps: DataFrame,
-    payload_bytes: int = 8,
+    payload_bytes: int | None = None,
     max_width: int = 4,
     bits: bool = True,
     drop_counters: bool = True,
@@ -241,6 +256,7 @@ def candidates(
     max_toggle: float = 0.45,
 ) -> DataFrame:
     """Fields worth matching: constants, counters, checksums, busy bits removed."""
+    payload_bytes = payload_bytes or payload_bytes_of(steps)
     fields = all_fields(payload_bytes, max_width, bits)
     st = field_ranges(steps, fields).filter((F.col("n") >= MIN_FRAMES) & (F.col("vmax") > F.col("vmin")))
     st = st.filter((F.col("f.width") > 0) | (F.col("flip_rate") <= max_toggle))
@@ -250,7 +266,7 @@ def candidates(
         st = st.join(counters.select(*KEY, "seq"), [*KEY, "seq"], "left_anti")
     if drop_checksums:
         # only one-byte fields can be checksums, so only they need lag statistics
-        spread = value_spread(value_counts(steps, 1)).select(*KEY, "off", "distinct")
+        spread = value_spread(value_counts(steps, 1, payload_bytes)).select(*KEY, "off", "distinct")
         lags = lag_stats(steps, [f for f in fields if f.width == 1]).join(st, [*KEY, "seq"]).withColumn("off", F.col("f.off"))
         checksums = lags.join(spread, [*KEY, "off"]).filter(checksum_rule(F.col("distinct")))
         st = st.join(checksums.select(*KEY, "seq"), [*KEY, "seq"], "left_anti")
@@ -258,12 +274,13 @@ def candidates(
 
 
 def classify(
-    steps: DataFrame, payload_bytes: int = 8, max_width: int = 2, switch_max_levels: int = 8
+    steps: DataFrame, payload_bytes: int | None = None, max_width: int = 2, switch_max_levels: int = 8
 ) -> DataFrame:
     """Behaviour class of every byte field of up to two bytes."""
+    payload_bytes = payload_bytes or payload_bytes_of(steps)
     fields = all_fields(payload_bytes, max_width, bits=False)
     st = field_stats(steps, fields)
-    spread = value_spread(value_counts(steps, max_width))
+    spread = value_spread(value_counts(steps, max_width, payload_bytes))
     counters = counter_fields(steps, st.filter("vmax > vmin"), fields).withColumn("is_counter", F.lit(True))
     x = (
         st.withColumn("off", F.col("f.off"))
@@ -299,9 +316,9 @@ def classify(
     )
 
 
-def fingerprint_bytes(steps: DataFrame, payload_bytes: int = 8) -> DataFrame:
+def fingerprint_bytes(steps: DataFrame, payload_bytes: int | None = None) -> DataFrame:
     """Behaviour vector inputs per byte: entropy, change rate, counter and checksum flags."""
-    singles = [f for f in byte_fields(payload_bytes, 1) if not f.signed]
+    singles = [f for f in byte_fields(payload_bytes or payload_bytes_of(steps), 1) if not f.signed]
     x = steps.select(
         *KEY,
         "size",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from signalspark.functions.payload import byte_at, byte_fields, decode, field_array, field_label
-from signalspark.operators.fields import value_counts, value_spread
+from signalspark.operators.fields import payload_bytes_of, value_counts, value_spread
 from signalspark.operators.frames import KEY, attach
 
 
@@ -75,7 +75,7 @@ def extract_multiplexed(steps: DataFrame, mux: DataFrame, max_width: int = 2, mi
     x = attach(
         steps.select(*KEY, "t_mono", "w", "size"), mux.select(*KEY, "mux_byte"), KEY, "t_mono"
     ).withColumn("mux_value", byte_at("w", "mux_byte").cast("int"))
-    x = x.withColumn("f", F.explode(field_array(byte_fields(8, max_width))))
+    x = x.withColumn("f", F.explode(field_array(byte_fields(payload_bytes_of(steps), max_width))))
     x = x.filter("NOT (f.off <= mux_byte AND mux_byte < f.off + f.width)")
     st = (
         x.select(*KEY, "mux_byte", "mux_value", "f", "size", decode("w").alias("v"))

@@ -75,12 +75,12 @@ WHERE st.w IN (1,2)""", "fst", "fspread", "fctr")
 
 def _steps(spark: SparkSession, sf: str) -> DataFrame:
     """Steps for one pass over the frames."""
-    return fd.frame_steps(fd.frame_history(views.frames_l(spark, sf)))
+    return fd.frame_steps(fd.frame_history(views.frames_l(spark, sf), payload_bytes=8))
 
 
 def _stored_steps(spark: SparkSession, sf: str) -> DataFrame:
     """Steps for several passes: the history is written once and scanned by each."""
-    return fd.frame_steps(cut_lineage(fd.frame_history(views.frames_l(spark, sf)), "history"))
+    return fd.frame_steps(cut_lineage(fd.frame_history(views.frames_l(spark, sf), payload_bytes=8), "history"))
 
 
 @q("c01_decode_int", with_views("""
@@ -211,7 +211,7 @@ def fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    history = cut_lineage(fd.frame_history(views.frames_l(spark, sf)), "history")
+    history = cut_lineage(fd.frame_history(views.frames_l(spark, sf), payload_bytes=8), "history")
     return fd.fingerprint_rows(fd.fingerprint_bytes(fd.frame_steps(history)), fr.period_estimate(history))
 
 
@@ -237,7 +237,7 @@ def multiplexor(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mux_steps(spark: SparkSession, sf: str) -> DataFrame:
-    return fd.frame_steps(cut_lineage(fd.frame_history(views.frames_mux(spark, sf)), "history"))
+    return fd.frame_steps(cut_lineage(fd.frame_history(views.frames_mux(spark, sf), payload_bytes=8), "history"))
 
 
 @q("c14_correlation_ratio", with_views(MUX.format(src="fmux", w=4) + """

@@ -108,7 +108,7 @@ def bus_census(spark: SparkSession, sf: str) -> DataFrame:
     f = views.frames_mux(spark, sf)
     roles = fr.message_roles(f)
     width = fr.payload_width(f)
-    history = cut_lineage(frame_history(f, rx_only=False), "history")
+    history = cut_lineage(frame_history(f, rx_only=False, payload_bytes=8), "history")
     mux = detect_multiplexor(frame_steps(history))
     return (
         roles.join(width, fr.KEY)

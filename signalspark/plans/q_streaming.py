@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalspark.context import fresh_path
+from signalspark.context import cut_lineage, fresh_path
 from signalspark.operators.fleet import scan_parts
 from signalspark.plans import views
 from signalspark.plans.q_fleet import STATUS, parts_o
@@ -14,19 +14,39 @@ from signalspark.streaming import jobs
 
 FAMILY = Family()
 q = FAMILY.query
-DELAY = "40 days"
+#: A landing slice holds a quarter of the 30 days of data, and the files of a
+#: slice arrive in any order, so clocks may be that far apart.
+SLICES = 4
+DELAY_S = 8 * 86400
+DELAY = f"{DELAY_S} seconds"
 FILES = 4
+LANDED = ("session_id", "arb_id", "t_mono", "row_seq", "data", "direction", "is_extended")
 
 
-def _land(frames: DataFrame, name: str) -> str:
-    """Frames as a landing folder of a few files in time order."""
+def _land(frames: DataFrame, name: str, slices: int = SLICES) -> str:
+    """Frames as a landing folder, filled by successive writes in time order.
+
+    The file source takes files by modification time, which is random inside one
+    write but ascends from one write to the next.
+    """
     path = fresh_path(frames.sparkSession, name)
-    frames.select("session_id", "arb_id", "t_mono", "row_seq", "data", "direction", "is_extended").repartitionByRange(
-        FILES, "t_mono"
-    ).write.parquet(path)
+    frames = cut_lineage(frames.select(*LANDED), name)
+    low, high = frames.agg(F.min("t_mono"), F.max("t_mono")).first()
+    if low is None:
+        frames.write.parquet(path)
+        return path
+    step = max((high - low) / slices, 1e-6)
+    slice_no = F.least(F.floor((F.col("t_mono") - low) / step), F.lit(slices - 1))
+    for i in range(slices):
+        _drop(frames.filter(slice_no == i), path)
     return path
 
 
+def _drop(frames: DataFrame, path: str) -> None:
+    """One more write into a landing folder."""
+    frames.select(*LANDED).write.mode("append").parquet(path)
+
+
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return jobs.frame_stream(spark, _land(views.frames_e(spark, sf), name))
 
@@ -89,17 +109,17 @@ def session_completeness(spark: SparkSession, sf: str) -> DataFrame:
 , g AS (SELECT session_id, t, SUM(CASE WHEN t-pt<3600 THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY t, rn) AS no FROM (SELECT *, LAG(t) OVER (PARTITION BY session_id ORDER BY t, rn) AS pt FROM fe))
 SELECT session_id, COUNT(*) AS frames, MIN(t) AS t_start, MAX(t) AS t_end FROM g GROUP BY session_id, no""", "fe"))
 def recordings_by_gap(spark: SparkSession, sf: str) -> DataFrame:
-    """A marker a year later closes the last recordings."""
+    """A marker a year later, landed after the first run has ended, closes the last recordings."""
     f = views.frames_e(spark, sf)
-    last = f.agg(F.max("t_mono").alias("t"))
-    end = last.select(
+    landed, checkpoint, out = _land(f, "n06"), _checkpoint(spark, "n06"), fresh_path(spark, "n06-recordings")
+    run = lambda: jobs.recordings_by_gap(jobs.frame_stream(spark, landed), DELAY, "1 hour")
+    jobs.appended(run(), checkpoint, out)
+    end = spark.read.schema(jobs.FRAME_STREAM).parquet(landed).agg(F.max("t_mono").alias("t")).select(
         F.lit("flush").alias("session_id"), F.lit(0).cast("long").alias("arb_id"), (F.col("t") + 366 * 86400.0).alias("t_mono"),
         F.lit(-1).cast("long").alias("row_seq"), F.unhex(F.lit("00")).alias("data"), F.lit("rx").alias("direction"), F.lit(False).alias("is_extended"),
     )
-    cols = end.columns
-    landed = _land(f.select(*cols).unionByName(end), "n06")
-    s = jobs.recordings_by_gap(jobs.frame_stream(spark, landed), DELAY, "1 hour")
-    return jobs.appended(s, _checkpoint(spark, "n06")).filter("session_id <> 'flush'")
+    _drop(end, landed)
+    return jobs.appended(run(), checkpoint, out).filter("session_id <> 'flush'")
 
 
 @q("n07_cadence_windows", with_views("""
@@ -112,14 +132,20 @@ def cadence_windows(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.latest_updates(c, ["session_id", "arb_id", "window_start"], _checkpoint(spark, "n07"))
 
 
-@q("n08_late_repair", with_views(COUNTS, "fe"))
+@q("n08_late_repair", with_views("""
+, m AS (SELECT MAX(t) AS t FROM fe WHERE rn % 50 <> 7),
+w AS (SELECT session_id, rn, FLOOR(t/86400)*86400.0::DOUBLE AS window_start FROM fe)
+SELECT session_id, window_start, COUNT(*) AS frames, CAST(SUM(4) AS BIGINT) AS payload_bytes,
+  CAST(COUNT_IF(rn % 50 = 7 AND window_start + 86400 <= (SELECT t FROM m) - 8*86400) AS BIGINT) AS late_frames FROM w GROUP BY ALL""", "fe"))
 def late_repair(spark: SparkSession, sf: str) -> DataFrame:
-    """A tight watermark drops what arrives late; the batch job repairs those windows."""
+    """One frame in fifty lands after the others: the live job drops those behind its watermark, a batch job repairs their windows."""
     f = views.frames_e(spark, sf)
-    landed = _land(f, "n08")
-    live = jobs.latest_updates(
-        jobs.live_counts(jobs.frame_stream(spark, landed), "1 hour", "1 day"), ["session_id", "window_start"], _checkpoint(spark, "n08")
-    )
-    bronze = spark.read.schema(jobs.FRAME_STREAM).parquet(landed).withColumn("ts", F.timestamp_micros((F.col("t_mono") * 1e6).cast("long")))
-    fixed = jobs.repair_windows(live, bronze, lambda b: jobs.live_counts(b, "1 hour", "1 day"), ["session_id", "window_start"])
-    return fixed.drop("late_frames")
+    late = F.col("row_seq") % 50 == 7
+    landed, checkpoint, out = _land(f.filter(~late), "n08"), _checkpoint(spark, "n08"), fresh_path(spark, "n08-counts")
+    keys = ["session_id", "window_start"]
+    count = lambda frames: jobs.live_counts(frames, DELAY, "1 day")
+    jobs.latest_updates(count(jobs.frame_stream(spark, landed)), keys, checkpoint, out)
+    arrivals = cut_lineage(f.filter(late).select(*LANDED), "n08-late")
+    _drop(arrivals, landed)
+    live = jobs.latest_updates(count(jobs.frame_stream(spark, landed)), keys, checkpoint, out)
+    return jobs.repair_windows(live, jobs.timed(spark.read.schema(jobs.FRAME_STREAM).parquet(landed)), jobs.timed(arrivals), count, keys, "1 day")

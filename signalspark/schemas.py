@@ -22,7 +22,7 @@ MANIFEST = (
 )
 DISCOVERY = (
     "session_id STRING, obd STRUCT<supported_pids:ARRAY<STRING>,samples:ARRAY<STRUCT<mode:INT,pid:STRING,name:STRING,"
-    "t_utc:DOUBLE,raw:STRING,value:STRING,unit:STRING>>>, uds STRUCT<ecus:ARRAY<STRUCT<tx:STRING,rx:STRING,dids:ARRAY<STRING>>>>, "
+    "t_utc:DOUBLE,raw:STRING,value:STRING,unit:STRING>>>, uds STRUCT<ecus:ARRAY<STRUCT<tx_id:STRING,rx_id:STRING,dids:ARRAY<STRING>>>>, "
     "plain_can STRUCT<arb_ids:ARRAY<STRUCT<arb_id:STRING,count:BIGINT,dlc:INT>>>"
 )
 LABEL_DASHBOARD = "session_id STRING, t_utc DOUBLE, field STRING, value DOUBLE, conf DOUBLE"

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from signalspark import schemas
 
 
-def _frame_defaults(df: DataFrame) -> DataFrame:
+def frame_defaults(df: DataFrame) -> DataFrame:
     """Optional columns: UTC falls back to the monotonic time, 11-bit ids, received."""
     return df.select(
         "session_id", "t_mono", F.coalesce("t_utc", "t_mono").alias("t_utc"), "channel", "arb_id",
@@ -18,13 +18,13 @@ def _frame_defaults(df: DataFrame) -> DataFrame:
 
 
 def read_frames_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return _frame_defaults(spark.read.schema(schemas.FRAMES).parquet(path))
+    return frame_defaults(spark.read.schema(schemas.FRAMES).parquet(path))
 
 
 def read_frames_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines with hexadecimal payloads; blank lines carry no id and are skipped."""
     raw = spark.read.schema(schemas.FRAMES_JSON).json(path).filter("arb_id IS NOT NULL")
-    return _frame_defaults(raw.withColumn("data", F.unhex("data")))
+    return frame_defaults(raw.withColumn("data", F.unhex("data")))
 
 
 def read_frames(spark: SparkSession, parquet: str, jsonl: str) -> DataFrame:
@@ -69,9 +69,12 @@ def read_motion(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_location(spark: SparkSession, path: str) -> DataFrame:
+    return known_location(spark.read.schema(schemas.LOCATION).json(path))
+
+
+def known_location(loc: DataFrame) -> DataFrame:
     """Speed and course use -1 for unknown in the files, NULL here."""
     known = lambda c: F.when(F.col(c) >= 0, F.col(c)).alias(c)
-    loc = spark.read.schema(schemas.LOCATION).json(path)
     return loc.select("session_id", F.col("t_utc").alias("t"), "lat", "lon", "alt", known("speed"), known("course"))
 
 
@@ -105,7 +108,7 @@ def discovery_samples(discovery: DataFrame) -> DataFrame:
 
 
 def discovery_ecus(discovery: DataFrame) -> DataFrame:
-    return discovery.select("session_id", F.explode("uds.ecus").alias("e")).select("session_id", "e.tx", "e.rx", "e.dids")
+    return discovery.select("session_id", F.explode("uds.ecus").alias("e")).select("session_id", "e.tx_id", "e.rx_id", "e.dids")
 
 
 def discovery_ids(discovery: DataFrame) -> DataFrame:

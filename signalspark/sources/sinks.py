@@ -58,7 +58,7 @@ def signal_database(hypotheses: DataFrame, min_r: float = 0.9, node: str = "BUS"
     notes = c.select(
         "session_id", F.lit(2).alias("part"), "arb_id", F.row_number().over(w).alias("line_no"),
         F.format_string(
-            'CM_ BO_ %d "%s matched r=%.3f (candidate %s)";', "arb_id", signal_name(F.col("reference")), "r", "label"
+            'CM_ BO_ %d "%s: correlation %.3f, field %s";', "arb_id", signal_name(F.col("reference")), "r", "label"
         ).alias("line"),
     )
     head = hypotheses.select("session_id").distinct().select(

@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from signalspark.context import fresh_path
-from signalspark.functions.payload import ascii_preview, big_words, to_bytes
+from signalspark.functions.payload import ascii_preview, to_bytes
 from signalspark.operators.frames import KEY
 
+#: Longest payload of the record format (fixed value).
+MAX_PAYLOAD = 64
 FRAME_STREAM = (
     "session_id STRING, arb_id BIGINT, t_mono DOUBLE, row_seq BIGINT, data BINARY, direction STRING, is_extended BOOLEAN"
 )
@@ -25,7 +27,12 @@ FRAME_STREAM = (
 
 def frame_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     raw = spark.readStream.schema(FRAME_STREAM).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    return raw.withColumn("ts", F.timestamp_micros((F.col("t_mono") * 1e6).cast("long")))
+    return timed(raw)
+
+
+def timed(frames: DataFrame) -> DataFrame:
+    """Frames with their event time ``ts``."""
+    return frames.withColumn("ts", F.timestamp_micros((F.col("t_mono") * 1e6).cast("long")))
 
 
 def run_to_end(query_writer) -> None:
@@ -39,14 +46,16 @@ def append_frames(stream: DataFrame, path: str, checkpoint: str, delay: str) ->
     run_to_end(once.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append"))
 
 
-def latest_updates(updates: DataFrame, keys: list[str], checkpoint: str) -> DataFrame:
+def latest_updates(updates: DataFrame, keys: list[str], checkpoint: str, path: str | None = None) -> DataFrame:
     """Run an updating aggregate and return the last state of every key.
 
+    A later run on the same checkpoint and ``path`` goes on where this one ended.
+
     Each micro-batch is written with its number; a replayed batch overwrites its
     own folder, so a lost executor or driver changes nothing.
     """
     spark = updates.sparkSession
-    path = fresh_path(spark, "updates")
+    path = path or fresh_path(spark, "updates")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -66,6 +75,11 @@ def live_counts(frames: DataFrame, delay: str, width: str = "1 second") -> DataF
     ).select("session_id", F.col("w.start").cast("double").alias("window_start"), "frames", "payload_bytes")
 
 
+def _quad(j: int, pad: str):
+    """Four bytes of a payload as a number; bytes past its end are ``pad``, which an OR or an AND passes over."""
+    return F.expr(f"CAST(conv(hex(rpad(substring(data, {4 * j + 1}, 4), 4, X'{pad}')), 16, 10) AS BIGINT)")
+
+
 def rolling_census(frames: DataFrame, delay: str, width: str = "10 seconds") -> DataFrame:
     """Message census per capture window in one aggregation.
 
@@ -73,17 +87,21 @@ def rolling_census(frames: DataFrame, delay: str, width: str = "10 seconds") ->
     AND, so changing bytes need neither a second pass nor state of their own.
     """
     w = frames.withWatermark("ts", delay) if frames.isStreaming else frames
-    rx = w.filter("direction = 'rx'").withColumn("word", big_words("data")[0])
+    rx = w.filter("direction = 'rx'")
+    quads = range(MAX_PAYLOAD // 4)
     order = F.struct("t_mono", "row_seq")
     a = rx.groupBy(*KEY, F.window("ts", width).alias("w")).agg(
         F.count(F.lit(1)).alias("n"), F.min("t_mono").alias("t0"), F.max("t_mono").alias("t1"),
         F.max(F.octet_length("data")).alias("dlc"), F.max_by("data", order).alias("last"),
-        F.bit_or("word").bitwiseXOR(F.bit_and("word")).alias("diff"),
+        F.min_by(F.octet_length("data"), order).alias("first_len"),
+        F.array(*[F.bit_or(_quad(j, "00")).bitwiseXOR(F.bit_and(_quad(j, "FF"))) for j in quads]).alias("diff"),
     )
     span = F.col("t1") - F.col("t0")
+    # a byte that no payload has differs in its padding only, and lies past the first one's end
     changing = F.filter(
-        F.sequence(F.lit(0), F.lit(7)),
-        lambda i: F.call_function("shiftrightunsigned", F.col("diff"), (7 - i) * 8).bitwiseAND(F.lit(255)) != 0,
+        F.sequence(F.lit(0), F.lit(MAX_PAYLOAD - 1)),
+        lambda i: (i < F.col("first_len"))
+        & (F.call_function("shiftright", F.element_at("diff", F.floor(i / 4).cast("int") + 1), (3 - i % 4) * 8).bitwiseAND(F.lit(255)) != 0),
     )
     return a.select(
         *KEY, F.col("w.start").cast("double").alias("window_start"), "n", "dlc",
@@ -118,10 +136,10 @@ def recordings_by_gap(frames: DataFrame, delay: str, gap: str) -> DataFrame:
     ).select("session_id", "frames", "t_start", "t_end")
 
 
-def appended(stream: DataFrame, checkpoint: str) -> DataFrame:
-    """Run an appending query into a table and return it."""
+def appended(stream: DataFrame, checkpoint: str, path: str | None = None) -> DataFrame:
+    """Run an appending query into a table and return it; later runs on the same checkpoint and ``path`` go on."""
     spark = stream.sparkSession
-    path = fresh_path(spark, "appended")
+    path = path or fresh_path(spark, "appended")
     run_to_end(stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append"))
     return spark.read.schema(stream.schema).parquet(path)
 
@@ -195,8 +213,18 @@ def session_completeness(parts: DataFrame, wait_ms: int | None = None) -> DataFr
     )
 
 
-def repair_windows(live: DataFrame, bronze: DataFrame, recompute: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
-    """Windows as the batch job sees them, with how many rows the live job had missed."""
-    full = recompute(bronze)
-    seen = live.select(*keys, F.col("frames").alias("live_frames"))
-    return full.join(seen, keys, "left").withColumn("late_frames", F.col("frames") - F.coalesce("live_frames", F.lit(0))).drop("live_frames")
+def repair_windows(
+    live: DataFrame, bronze: DataFrame, arrivals: DataFrame, recompute: Callable[[DataFrame], DataFrame], keys: list[str], width: str
+) -> DataFrame:
+    """Live windows, those that ``arrivals`` touch computed again from all rows, and how many rows the live job had missed.
+
+    Only the rows of touched windows are read again; ``keys`` are the session and
+    the window's start, ``width`` the length of a window.
+    """
+    start = F.window("ts", width)["start"].cast("double").alias(keys[-1])
+    touched = arrivals.select(*keys[:-1], start).distinct()
+    rows = bronze.select("*", start).join(touched, keys, "left_semi").select(*bronze.columns)
+    again = recompute(rows)
+    seen = live.select(*keys, F.col("frames").alias("_live"))
+    again = again.join(seen, keys, "left").withColumn("late_frames", F.col("frames") - F.coalesce("_live", F.lit(0))).drop("_live")
+    return live.join(touched, keys, "left_anti").withColumn("late_frames", F.lit(0).cast("long")).unionByName(again)

@@ -147,3 +147,28 @@ def test_exact_median(spark):
     df = spark.createDataFrame([("a", float(x)) for x in (5, 1, 9, 1)] + [("b", 2.0)], "k string, v double")
     got = {r.k: r.median for r in fr.exact_median(df, ["k"], "v", F.floor("v")).collect()}
     assert got == {"a": 3.0, "b": 2.0}
+
+
+def test_wide_payloads_are_read_to_their_end(spark):
+    rng = random.Random(16)
+    payloads = []
+    for i in range(200):
+        p = bytearray(16)
+        p[1], p[2], p[9], p[12] = i // 50, rng.randrange(256), rng.randrange(256), i % 256
+        p[14:16] = (1000 + (i * 37) % 500).to_bytes(2, "big")
+        payloads.append(bytes(p))
+    s = steps(frames(spark, payloads))
+    assert fd.payload_bytes_of(s) == 16
+    kinds = {r.off: r.behaviour for r in fd.classify(s, max_width=1).filter("NOT f.signed").select("f.off", "behaviour").collect()}
+    assert set(kinds) == set(range(16)) and kinds[12] == "counter" and kinds[0] == "constant"
+    single = {r.off for r in fd.candidates(s, max_width=1, bits=False).select("f.off").collect()}
+    assert not single & {2, 9} and 14 in single
+    assert {r.off for r in fd.value_counts(s, 1).collect()} == set(range(16))
+
+
+def test_selector_behind_the_eighth_byte(spark):
+    payloads = [bytes(10) + bytes([i % 3, (i % 3) * 80 + i // 9 % 8]) for i in range(200)]
+    s = steps(frames(spark, payloads))
+    found = mx.detect_multiplexor(s).collect()
+    assert [(r.mux_byte, list(r.mux_values)) for r in found] == [(10, [0, 1, 2])]
+    assert {r.off for r in mx.extract_multiplexed(s, mx.detect_multiplexor(s)).select("f.off").collect()} >= {11}

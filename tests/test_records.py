@@ -121,3 +121,11 @@ def test_catalog_and_vin(spark):
     df = spark.range(1)
     assert one(df, catalog.hash_vin(F.lit(" abc "))) == one(df, catalog.hash_vin(F.lit("ABC")))
     assert abs(one(df, catalog.to_g(F.lit(9.80665))) - 1) < 1e-12
+
+
+def test_long_frames_and_other_traffic(spark):
+    body = bytes(range(62))
+    first = bytes([0x10, 62]) + body[:6]
+    more = bytes([0x21]) + body[6:] + bytes(7)
+    assert [bytes(r.pdu) for r in diag.reassemble(frames(spark, [first, more], 0x7E8)).collect()] == [body]
+    assert diag.reassemble(frames(spark, [b"\x02\x41\x00"] * 5, 0x3C0)).count() == 0
