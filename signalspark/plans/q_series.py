@@ -69,19 +69,26 @@ def numeric_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @q("b06_joint_finite", with_views("""
-SELECT a.session_id, COUNT(*) AS n_joint, ROUND(SUM(a.v*b.v),4) AS dot FROM eres a JOIN eres b ON a.session_id=b.session_id AND a.gi=b.gi AND a.name='click' AND b.name='view' GROUP BY ALL""", "eres"))
+SELECT a.session_id, a.name AS x_name, b.name AS y_name, COUNT(*) AS n_joint, ROUND(SUM(a.v*b.v),4) AS dot
+FROM eres a JOIN eres b ON a.session_id=b.session_id AND a.gi=b.gi AND a.name<b.name GROUP BY ALL""", "eres"))
 def joint_finite(spark: SparkSession, sf: str) -> DataFrame:
-    r = _event_resampled(spark, sf)
-    wide = r.groupBy("session_id", "gi").agg(
-        F.max(F.when(F.col("name") == "click", F.col("v"))).alias("x"),
-        F.max(F.when(F.col("name") == "view", F.col("v"))).alias("y"),
-    )
+    """Every two of a session's five series."""
     x, y = stats.both(F.col("x"), F.col("y"))
-    return wide.groupBy("session_id").agg(
+    return _name_pairs(_event_resampled(spark, sf)).groupBy("session_id", "x_name", "y_name").agg(
         F.count(x).alias("n_joint"), F.round(F.sum(x * y), 4).alias("dot")
     ).filter("n_joint > 0")
 
 
+def _name_pairs(r: DataFrame) -> DataFrame:
+    """Values of every two named series of a session at the grid points that both have."""
+    at = r.groupBy("session_id", "gi").agg(F.sort_array(F.collect_list(F.struct("name", "v"))).alias("s"))
+    at = at.select("session_id", "gi", "s", F.posexplode("s").alias("i", "a"))
+    return at.select("session_id", "gi", "a", F.explode(F.expr("slice(s, i + 2, size(s))")).alias("b")).select(
+        "session_id", "gi", F.col("a.name").alias("x_name"), F.col("b.name").alias("y_name"),
+        F.col("a.v").alias("x"), F.col("b.v").alias("y"),
+    )
+
+
 @q("d01_resample", with_views("SELECT session_id, name, gi, ROUND(v,6) AS v FROM eres", "eres"))
 def resample(spark: SparkSession, sf: str) -> DataFrame:
     return _event_resampled(spark, sf).withColumn("v", F.round("v", 6))
@@ -93,12 +100,10 @@ def common_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @q("d03_pearson", with_views(f"""
-SELECT a.session_id, COUNT(*) AS n, ROUND({pearson_sql('a.v', 'b.v')},6) AS r
-FROM eres a JOIN eres b ON a.session_id=b.session_id AND a.gi=b.gi AND a.name='click' AND b.name='view' GROUP BY ALL""", "eres"))
+SELECT a.session_id, a.name AS x_name, b.name AS y_name, COUNT(*) AS n, ROUND({pearson_sql('a.v', 'b.v')},6) AS r
+FROM eres a JOIN eres b ON a.session_id=b.session_id AND a.gi=b.gi AND a.name<b.name GROUP BY ALL""", "eres"))
 def pearson(spark: SparkSession, sf: str) -> DataFrame:
-    r = _event_resampled(spark, sf)
-    j = ts.series_pairs(r.filter("name = 'click'"), r.filter("name = 'view'"), USER)
-    return j.groupBy("session_id").agg(
+    return _name_pairs(_event_resampled(spark, sf)).groupBy("session_id", "x_name", "y_name").agg(
         F.count(F.lit(1)).alias("n"), F.round(stats.pearson(F.col("x"), F.col("y")), 6).alias("r")
     )
 

@@ -88,7 +88,7 @@ cte("samp", """
 SELECT session_id, arb_id*10000000+rn AS pos, CASE arb_id%4 WHEN 0 THEN 'vehicle_speed' WHEN 1 THEN 'engine_rpm' WHEN 2 THEN '' ELSE 'SOC' END AS name,
   printf('0x%02X', arb_id%256) AS pid, t, CASE WHEN (rn-1)%50=0 THEN 'n/a' ELSE CAST(raw AS VARCHAR) END AS value,
   CASE arb_id%4 WHEN 0 THEN 'km/h' WHEN 1 THEN 'rpm' END AS unit, arb_id, raw
-FROM fl WHERE (rn-1)%5=0""", "fl")
+FROM fl""", "fl")
 
 cte("lab", """
 SELECT session_id, event_id, t, event_type AS field, event_type AS name, CASE WHEN event_id%17=0 THEN NULL ELSE speed END AS value,
