@@ -129,3 +129,21 @@ def test_long_frames_and_other_traffic(spark):
     more = bytes([0x21]) + body[6:] + bytes(7)
     assert [bytes(r.pdu) for r in diag.reassemble(frames(spark, [first, more], 0x7E8)).collect()] == [body]
     assert diag.reassemble(frames(spark, [b"\x02\x41\x00"] * 5, 0x3C0)).count() == 0
+
+
+def test_text_frames_and_motion_import(spark, tmp_path):
+    f = spark.createDataFrame([("s", 1.0, None, None, 5, None, None, b"\x0a\xff", None, None)], "session_id string, t_mono double, t_utc double, channel string, arb_id long, is_extended boolean, dlc short, data binary, direction string, probe_id string")
+    rec.write_frames_jsonl(f, str(tmp_path / "j"))
+    r = rec.read_frames_jsonl(spark, str(tmp_path / "j")).first()
+    assert (r.arb_id, bytes(r.data), r.dlc, r.direction, r.t_utc) == (5, b"\x0a\xff", 2, "rx", 1.0)
+    m = spark.createDataFrame([(1.0, 2.0, 3.0)], "t double, a double, b double")
+    got = rec.import_motion(m, F.col("t"), [F.col("a")] * 3, [F.col("b")] * 3, F.lit("s")).first()
+    assert (got.session_id, got.t_utc, got.acc, got.rot) == ("s", 1.0, [2.0] * 3, [3.0] * 3)
+
+
+def test_signal_database_files(spark, tmp_path):
+    rows = [("s", 0, 0, 0, "VERSION"), ("s", 1, 7, 0, "BO_ 7"), ("s", 1, 7, 1, " SG_ a"), ("t", 0, 0, 0, "VERSION")]
+    lines = spark.createDataFrame(rows, "session_id string, part int, arb_id long, line_no int, line string")
+    sinks.write_signal_database(lines, str(tmp_path / "db"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "db" / "session_id=s").glob("part-*")))
+    assert text == "VERSION\nBO_ 7\n SG_ a\n"
