@@ -13,12 +13,13 @@ keeps shingles that no window needs where they are read, the rest is shuffled.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from signalspark.llm.shingles import WordHashes, rolled
+from signalspark.llm.shingles import rolled, word_hashes
 from signalspark.llm.tables import store
 from signalspark.llm.textmap import with_text_columns
 
@@ -43,6 +44,12 @@ def low_bits(h: np.ndarray, bits: int) -> np.ndarray:
     return (h & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
+def hashed(texts: Sequence[bytes | None]):
+    """Word hashes of each text, a few hundred texts at once."""
+    for at in range(0, len(texts), 256):
+        yield from word_hashes(texts[at : at + 256], TABLE)
+
+
 class Index:
     """Windows of items, by their rarest shingle.
 
@@ -52,7 +59,7 @@ class Index:
     """
 
     def __init__(self, items: list[tuple[int | None, bytes | None]], window: int = WINDOW, shingle: int = SHINGLE) -> None:
-        seen, place = WordHashes(), {}
+        place: dict[tuple, int] = {}
         self.items, self.windows = [], []  # windows: words, items that have them
         for item, text in items:
             w = words(text)
@@ -65,10 +72,10 @@ class Index:
                 if item is not None:
                     self.windows[at][1].add(item)
         self.length = np.array([len(k) for k, _ in self.windows], np.int64)
-        hashed = [seen.of(list(k)) for k, _ in self.windows]
-        self.full = np.array([rolled(h, len(h))[0] for h in hashed], np.uint64)
+        hashes = word_hashes([b" ".join(k) for k, _ in self.windows])
+        self.full = np.array([rolled(h, len(h))[0] for h in hashes], np.uint64)
         self.size = np.minimum(self.length, shingle)
-        self.parts = [rolled(h, s) for h, s in zip(hashed, self.size, strict=True)]
+        self.parts = [rolled(h, s) for h, s in zip(hashes, self.size, strict=True)]
         self.shingles = {int(s): np.unique(np.concatenate([p for p, z in zip(self.parts, self.size, strict=True) if z == s])) for s in np.unique(self.size)}
         self.chosen: dict[int, tuple] = {}
 
@@ -113,10 +120,9 @@ def shingle_counts(documents: DataFrame, index: Index, text: str) -> dict[int, n
     shared = documents.sparkSession.sparkContext.broadcast(index.lookups(index.shingles))
 
     def count(batches):
-        seen, found = WordHashes(), {s: np.zeros(len(t), np.int64) for s, (t, _) in shared.value.items()}
+        found = {s: np.zeros(len(t), np.int64) for s, (t, _) in shared.value.items()}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                hashes = seen.of(words(text))
+            for hashes in hashed(batch.column(0).to_pylist()):
                 for s, (tokens, mask) in shared.value.items():
                     k = hits(hashes, s, tokens, mask)[1]
                     if len(k):
@@ -133,9 +139,9 @@ def shingle_counts(documents: DataFrame, index: Index, text: str) -> dict[int, n
     return counts
 
 
-def matches(w: list[bytes], hashes: np.ndarray, index: Index, lookups: dict) -> list[tuple[int, int]]:
+def matches(text: bytes | None, hashes: np.ndarray, index: Index, lookups: dict) -> list[tuple[int, int]]:
     """(start, window) of every occurrence of a window in a document."""
-    out, full = [], {}
+    out, full, w = [], {}, None
     for s, (tokens, first, n, window, offset) in index.chosen.items():
         at, k = hits(hashes, s, tokens, lookups[s][1])
         if not len(at):
@@ -144,12 +150,13 @@ def matches(w: list[bytes], hashes: np.ndarray, index: Index, lookups: dict) ->
         row = np.repeat(first[k], n[k]) + step
         found, start = window[row], np.repeat(at, n[k]) - offset[row]
         length = index.length[found]
-        ok = (start >= 0) & (start + length <= len(w))
+        ok = (start >= 0) & (start + length <= len(hashes))
         for size in np.unique(length[ok]):
             if size not in full:
                 full[size] = rolled(hashes, int(size))
             of = np.flatnonzero(ok & (length == size))
             of = of[full[size][start[of]] == index.full[found[of]]]
+            w = words(text) if w is None and len(of) else w
             for a, x in zip(start[of].tolist(), found[of].tolist(), strict=True):
                 if tuple(w[a : a + size]) == index.windows[x][0]:
                     out.append((a, x))
@@ -172,16 +179,15 @@ def by_index(documents: DataFrame, items: list, text: str, keep: list[str] | Non
     shared = documents.sparkSession.sparkContext.broadcast(index)
 
     def task():
-        index, seen = shared.value, WordHashes()
+        index = shared.value
         lookups = index.lookups({s: c[0] for s, c in index.chosen.items()})
 
         def run(texts):
             rows = []
-            for text in texts:
-                w = words(text)
-                found = matches(w, seen.of(w), index, lookups)
+            for text, hashes in zip(texts, hashed(texts), strict=True):
+                found = matches(text, hashes, index, lookups)
                 items = set().union(*(index.windows[x][1] for _, x in found)) if found else set()
-                rows.append(summary(len(w), [(a, int(index.length[x])) for a, x in found], items))
+                rows.append(summary(len(hashes), [(a, int(index.length[x])) for a, x in found], items))
             return list(zip(*rows, strict=True)) if rows else [[]] * 5
 
         return run
@@ -194,16 +200,14 @@ def by_join(documents: DataFrame, benchmark: DataFrame, item_id: str, text: str,
     spark = documents.sparkSession
 
     def cut(batches):
-        seen = WordHashes()
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 w = words(text)
                 length = min(window, len(w))
                 for i in range(len(w) - length + 1 if w else 0):
-                    part = w[i : i + length]
-                    tokens = rolled(seen.of(part), min(shingle, length)).view(np.int64)
-                    rows.append((item, b" ".join(part), length, tokens))
+                    part = b" ".join(w[i : i + length])
+                    rows.append((item, part, length, rolled(word_hashes([part])[0], min(shingle, length)).view(np.int64)))
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             types = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["item", "words", "length", "tokens"])
@@ -237,9 +241,8 @@ def by_join(documents: DataFrame, benchmark: DataFrame, item_id: str, text: str,
     all_bits = mask_of(parts)
 
     def count(batches):
-        seen = WordHashes()
         for batch in batches:
-            found = [positions(h, s, all_bits.value)[1] for t in batch.column(0).to_pylist() for h in [seen.of(words(t))] for s in sizes]
+            found = [positions(h, s, all_bits.value)[1] for h in hashed(batch.column(0).to_pylist()) for s in sizes]
             token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
 
@@ -250,13 +253,10 @@ def by_join(documents: DataFrame, benchmark: DataFrame, item_id: str, text: str,
     bits = mask_of(needed)
 
     def task():
-        seen = WordHashes()
-
         def run(texts):
             n, found = [], []
-            for text in texts:
+            for text, hashes in zip(texts, hashed(texts), strict=True):
                 w = words(text)
-                hashes = seen.of(w)
                 n.append(len(w))
                 rows = []
                 for s in sizes:
@@ -269,8 +269,12 @@ def by_join(documents: DataFrame, benchmark: DataFrame, item_id: str, text: str,
         return run
 
     fields = "n_words long, found array<struct<token:long,p:long,low:long,near:array<binary>>>"
-    numbered = documents.withColumn("_row", F.monotonically_increasing_id()) if "_row" not in documents.columns else documents
-    base, _ = store(with_text_columns(numbered, task, fields, text, [*keep, "_row"], binary=True), "near")
+    names = [f"_k{i}" for i in range(len(keep))]  # carried columns may have any name
+    numbered = documents.select(
+        *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)],
+        F.col(f"`{text}`").alias("_words"), F.monotonically_increasing_id().alias("_row"),
+    )
+    base, _ = store(with_text_columns(numbered, task, fields, "_words", [*names, "_row"], binary=True), "near")
     near = base.select("_row", F.explode("found").alias("f")).select("_row", "f.*")
     salt = 8  # a needed shingle may stand in a third of all documents
     near = near.withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(salt)).cast("int"))
@@ -283,11 +287,11 @@ def by_join(documents: DataFrame, benchmark: DataFrame, item_id: str, text: str,
     items = x.select("_row", "words").join(windows.select("words", "item").filter("item is not null").distinct(), "words")
     items = items.groupBy("_row").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))
     out = base.drop("found").join(spans, "_row", "left").join(items, "_row", "left")
-    names = F.coalesce("items", F.array().cast("array<string>"))
+    found = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("hit", F.lit(0)).cast("long")
     return out.select(
-        *keep, "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"),
-        F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        *[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)],
+        "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), F.sha2(F.array_join(found, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 
 

@@ -4,8 +4,9 @@
 2. A class is dealt to one tile per necessary shingle: with sets ordered alike,
    frequent shingles last, two sets of the wanted similarity share one of their
    first n - ceil(t n) + 1.  Shingles of one class make no tile.
-3. In every tile the classes meet the smallest one.  What that links is joined
-   to components, and tiles that lie in one component are done: a group of
+3. In a tile of at most ``SMALL`` classes all meet that sizes and positions allow.
+   In a larger one the classes of a size band meet its first one.  What that links
+   is joined to components, and tiles that lie in one component are done: a group of
    thousands of near copies costs a row each, not a pair each.
 4. Tiles left open are cut into bands of set sizes (ratio 1.26) and blocks of at
    most some ``BLOCK`` classes.  Blocks of equal and neighbouring bands meet,
@@ -24,17 +25,21 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from signalspark.llm.components import components
-from signalspark.llm.shingles import WORDS, WordHashes, shingle_set
+from signalspark.llm.shingles import WORDS, shingle_sets
 from signalspark.llm.tables import keep_rows, partitions, remove, store
 from signalspark.llm.textmap import with_text_columns
 
-#: Bits of a class's bitmap; each shingle flips one.
-BITMAP = 1024
+#: Bits of a class's bitmap; each shingle flips one.  Sets over half as large have a wider one too.
+BITMAP, WIDEST = 1024, 1 << 16
 BLOCK = 512
-#: At most so many frequent shingles are ordered last (9 MB); the order of the rest is that of their hashes.
-FREQUENT = 1 << 20
-#: Documents that are looked at together for frequent shingles, and rows that make one frequent there.
-LOOK, OFTEN = 2048, 4
+#: Tiles of at most so many classes compare all of them at once: 3.5 pairs a class.
+SMALL = 8
+#: Buckets by which shingles are ranked, and how many of them one row packs.
+RANKS, RANK_BLOCK = 1 << 24, 1 << 16
+#: Shingles that are looked at together for repeated ones (some 70 MB).
+LOOK = 1 << 22
+#: Texts that are hashed at once.
+TEXTS = 1024
 FILTER_BITS = 1 << 26
 #: Pairs whose bitmaps are compared at once.
 PAIRS = 1 << 17
@@ -45,70 +50,84 @@ def least_overlap(n, percent: int):
     return -(-n * percent // 100)
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
+def bitmap(hashes: np.ndarray, bits: int = BITMAP) -> bytes:
     """A bit per hash value, flipped by each shingle: two bitmaps differ in no more bits than the sets do."""
-    bits = np.bincount((hashes >> np.uint64(17)).astype(np.int64) & (BITMAP - 1), minlength=BITMAP) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    flips = np.bincount((hashes >> np.uint64(17)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
 
 
-def frequent(documents: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many documents share, ascending, and the class of their frequency.
+def wide(hashes: np.ndarray) -> bytes | None:
+    """A bitmap of at least two bits per shingle, where ``BITMAP`` has fewer; halves can be folded onto each other."""
+    if 2 * len(hashes) <= BITMAP:
+        return None
+    return bitmap(hashes, min(WIDEST, 1 << (2 * len(hashes) - 1).bit_length()))
 
-    Any order of the shingles gives the same result; this one keeps tiles small.
-    """
 
-    def look(batches):
-        seen = WordHashes()
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ, the wider one folded to the other's width."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def frequency_ranks(documents: DataFrame, text: str, size: int) -> np.ndarray:
+    """For each of ``RANKS`` buckets of shingles, how often those occur that several texts share: a power of two.
+
+    Any order of the shingles gives the same links; this one keeps tiles small.
+    The array has one size for every corpus (16 MB); a fuller one tells less apart.
+    """
 
-        def counted(sets):
-            values, times = np.unique(np.concatenate(sets), return_counts=True)
-            often = times >= OFTEN
-            return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(times[often])], ["token", "n"])
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.concatenate(sets)
+        h.sort()
+        again, times = np.unique(h[1:][h[1:] == h[:-1]], return_counts=True)
+        bucket = pa.array((again & np.uint64(RANKS - 1)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([bucket, pa.array(times + 1)], ["bucket", "n"])
 
-        sets = []
+    def look(batches):
+        sets, held = [], 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                sets.append(shingle_set(t, seen, size))
-                if len(sets) == LOOK:
+            for at in range(0, batch.num_rows, TEXTS):
+                sets += (new := shingle_sets(batch.column(0).slice(at, TEXTS).to_pylist(), size))
+                held += sum(map(len, new))
+                if held >= LOOK:
                     yield counted(sets)
-                    sets = []
+                    sets, held = [], 0
         if sets:
             yield counted(sets)
 
-    found = documents.select(F.col(f"`{text}`").cast("binary")).mapInArrow(look, "token long, n long")
-    top = found.groupBy("token").agg(F.sum("n").alias("n")).filter(f"n >= {2 * OFTEN}").orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
-    tokens = top["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], np.log2(np.maximum(top["n"].to_numpy(float), 1))[order].astype(np.uint8)
+    def pack(t: pa.Table) -> pa.Table:
+        ranks = np.zeros(RANK_BLOCK, np.uint8)
+        ranks[t["at"].to_numpy()] = np.log2(t["n"].to_numpy().astype(float)).astype(np.uint8)
+        return pa.table({"block": t["block"].slice(0, 1), "ranks": pa.array([ranks.tobytes()], pa.binary())})
+
+    found = documents.select(F.col(f"`{text}`").cast("binary")).mapInArrow(look, "bucket int, n long")
+    found = found.groupBy("bucket").agg(F.sum("n").alias("n"))
+    blocks = found.select((F.col("bucket") % RANK_BLOCK).alias("at"), F.floor(F.col("bucket") / RANK_BLOCK).alias("block"), "n")
+    got = blocks.groupBy("block").applyInArrow(pack, "block long, ranks binary").toArrow()
+    out = np.zeros((RANKS // RANK_BLOCK, RANK_BLOCK), np.uint8)
+    for block, ranks in zip(got["block"].to_pylist(), got["ranks"].to_pylist(), strict=True):
+        out[block] = np.frombuffer(ranks, np.uint8)
+    return out.reshape(-1)
 
 
 def shingled(documents: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
-    """row, doc_id, body (hash of the text), n, set (hash of the set); of the first row of a set in a task also bitmap and prefix."""
-    tokens, classes = frequent(documents, text, size)
-    mask = np.zeros(1 << 22, bool)
-    mask[(tokens & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-    shared = documents.sparkSession.sparkContext.broadcast((tokens, classes, mask))
+    """row, doc_id, body (hash of the text), n, set (hash of the set); of the first row of a set in a task also bitmaps and prefix."""
+    shared = documents.sparkSession.sparkContext.broadcast(frequency_ranks(documents, text, size))
 
     def task():
-        tokens, classes, mask = shared.value
-        seen, done = WordHashes(), set()
+        ranks, done = shared.value, set()
 
         def first(u: np.ndarray) -> np.ndarray:
-            p = len(u) - least_overlap(len(u), percent) + 1
-            maybe = np.flatnonzero(mask[(u & np.uint64((1 << 22) - 1)).astype(np.int64)])
-            at = np.searchsorted(tokens, u[maybe]) if len(maybe) else maybe
-            if len(maybe):
-                at[at == len(tokens)] = 0
-                hit = tokens[at] == u[maybe]
-                rank = np.zeros(len(u), np.uint8)
-                rank[maybe[hit]] = classes[at[hit]] + 1
+            rank = ranks[(u & np.uint64(RANKS - 1)).astype(np.int64)]
+            if rank.any():
                 u = u[np.argsort(rank, kind="stable")]
-            return u[:p].view(np.int64)
+            return u[: len(u) - least_overlap(len(u), percent) + 1].view(np.int64)
 
         def run(texts):
-            n, sets, maps, prefixes = [], [], [], []
-            for t in texts:
-                u = shingle_set(t, seen, size)
+            n, sets, maps, wides, prefixes = [], [], [], [], []
+            for u in shingle_sets(texts, size):
                 key = xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None
                 n.append(len(u))
                 sets.append(key)
@@ -118,8 +137,9 @@ def shingled(documents: DataFrame, doc_id: str, text: str, size: int, percent: i
                         done.clear()
                     done.add(key)
                 maps.append(bitmap(u) if new else None)
+                wides.append(wide(u) if new else None)
                 prefixes.append(first(u) if new else None)
-            return n, sets, maps, prefixes
+            return n, sets, maps, wides, prefixes
 
         return run
 
@@ -129,54 +149,86 @@ def shingled(documents: DataFrame, doc_id: str, text: str, size: int, percent: i
         F.xxhash64(F.col(f"`{text}`")).alias("body"),
         F.col(f"`{text}`").alias("text"),
     )
-    fields = "n long, set binary, bitmap binary, prefix array<long>"
+    fields = "n long, set binary, bitmap binary, wide binary, prefix array<long>"
     return with_text_columns(x, task, fields, "text", ["row", "doc_id", "body"], binary=True)
 
 
-def crowded(rows: DataFrame) -> DataFrame:
-    """Rows (token, cls, n) of tokens with several classes, and the token's first class as ``leader``.
+def band_of(n: str):
+    """Number of a set size's band; sizes within a ratio of 1.25 lie in one band or in neighbouring ones."""
+    return F.floor(F.log(n) / F.log(F.lit(1.26))).cast("int")
+
+
+def crowded(rows: DataFrame, percent: int) -> DataFrame:
+    """Tiles from rows (token, cls, n, pos), two kinds of results in one pass.
+
+    Tokens of 2 to ``SMALL`` classes give pairs (leader, cls), with token null,
+    that sizes and positions allow: if the token is the first that two sets share, no
+    more can follow than the shorter rest holds.  Tokens of more classes keep
+    their rows, with the first class of token and band as ``leader``.
 
-    Rows arrive sorted by token; a task holds a batch and the row before it.
+    Rows arrive sorted by token and band; a task holds a batch and at most
+    ``SMALL`` rows before it.
     """
+    names = ["token", "cls", "n", "leader"]
+
+    def pairs(cls, n, pos, start, count):
+        """All pairs within the runs of ``count`` rows from ``start`` on."""
+        first = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        after = np.repeat(start + count, count) - first - 1
+        i = np.repeat(first, after)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+        most = 1 + np.minimum(n[i] - 1 - pos[i], n[j] - 1 - pos[j])
+        total = n[i] + n[j]
+        most = np.minimum(most, np.minimum(n[i], n[j]))
+        ok = 100 * most >= percent * (total - most)
+        i, j = i[ok], j[ok]
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(len(i), pa.int64()), pa.array(np.maximum(cls[i], cls[j])), pa.nulls(len(i), pa.int32()), pa.array(np.minimum(cls[i], cls[j]))],
+            names,
+        )
 
     def scan(batches):
-        held = lead = None
+        held = large = None  # a run that may go on; token, band and leader of one that has shown to be large
         for batch in batches:
+            if not batch.num_rows:
+                continue
             t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([held, t]) if held is not None else t
-            token, cls = t["token"].to_numpy(), t["cls"].to_numpy()
+            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+            token, band, cls, n, pos = (t[c].to_numpy() for c in ("token", "band", "cls", "n", "pos"))
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
             new = np.ones(len(token), bool)
             new[1:] = token[1:] != token[:-1]
-            start = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
-            leader = cls[start]
-            if lead is not None and len(token):  # the held row belongs to a run that began earlier
-                leader[token == lead[0]] = lead[1]
-            several = np.ones(len(token), bool)
-            several[new] = np.append(~new[1:], False)[new]
-            if lead is not None:
-                several[token == lead[0]] = True
-            if len(token) == 0:
-                continue
-            emit = several.copy()
-            emit[-1] = False
-            out = t.append_column("leader", pa.array(leader)).filter(pa.array(emit))
-            yield from out.to_batches()
-            held = t.slice(len(token) - 1)
-            inside = not new[-1] or (lead is not None and token[-1] == lead[0])
-            lead = (token[-1], leader[-1]) if inside else None
-        if held is not None and lead is not None:
-            yield from held.append_column("leader", pa.array([lead[1]], pa.int64())).to_batches()
+            start = np.flatnonzero(new)
+            count = np.diff(np.append(start, len(token)))
+            big = count > SMALL
+            big[0] |= large is not None and token[0] == large[0]
+            group = new.copy()
+            group[1:] |= band[1:] != band[:-1]
+            leader = cls[np.maximum.accumulate(np.where(group, np.arange(len(token)), 0))]
+            if large is not None:
+                leader[(token == large[0]) & (band == large[1])] = large[2]
+            of = np.repeat(big, count)
+            if of.any():
+                yield pa.RecordBatch.from_arrays([pa.array(token[of]), pa.array(cls[of]), pa.array(n[of].astype(np.int32)), pa.array(leader[of])], names)
+            large = (token[-1], band[-1], leader[-1]) if big[-1] else None
+            small = ~big
+            small[-1] = False
+            if (small & (count > 1)).any():
+                yield pairs(cls, n, pos, start[small], count[small])
+            held = None if big[-1] else t.slice(int(start[-1]))
+        if held is not None and len(held) > 1:
+            cls, n, pos = (held[c].to_numpy().astype(np.int64) for c in ("cls", "n", "pos"))
+            yield pairs(cls, n, pos, np.array([0]), np.array([len(held)]))
 
     spark = rows.sparkSession
-    return rows.repartition(partitions(spark), "token").sortWithinPartitions("token", "cls").mapInArrow(
-        scan, "token long, cls long, n int, leader long"
-    )
+    x = rows.withColumn("band", band_of("n")).repartition(partitions(spark), "token")
+    return x.sortWithinPartitions("token", "band", "cls").mapInArrow(scan, "token long, cls long, n int, leader long")
 
 
 def sets_of(documents: DataFrame, wanted: DataFrame, doc_id: str, text: str, cut: Callable) -> DataFrame:
     """cls and sorted set of the wanted classes (cls, doc_id, set), read anew from the document named there.
 
-    ``cut`` gives a function from a text to its distinct sets.  A filter of
+    ``cut`` gives a function from texts to the distinct sets of each.  A filter of
     fixed size, by id, keeps other texts out of this pass; it only saves work,
     since sets are then joined to their classes.
     """
@@ -196,7 +248,7 @@ def sets_of(documents: DataFrame, wanted: DataFrame, doc_id: str, text: str, cut
             ok = np.flatnonzero(table[bits >> 5] >> (bits & 31).astype(np.uint32) & 1)
             texts = batch.column(2).take(pa.array(ok)).to_pylist()
             ids = batch.column(1).take(pa.array(ok)).to_pylist()
-            rows = [(i, u.tobytes()) for i, t in zip(ids, texts, strict=True) for u in of(t)]
+            rows = [(i, u.tobytes()) for i, found in zip(ids, of(texts), strict=True) for u in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([i for i, _ in rows], pa.int64()),
@@ -213,7 +265,7 @@ def sets_of(documents: DataFrame, wanted: DataFrame, doc_id: str, text: str, cut
     return sets.join(names, same).select("cls", "hashes")
 
 
-def verified(pairs: DataFrame, maps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, maps: DataFrame, sets_for: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """The pairs (src, dst) of the wanted similarity: bit counts first, then sorted intersection."""
 
     def bounded(batches):
@@ -221,8 +273,12 @@ def verified(pairs: DataFrame, maps: DataFrame, sets: DataFrame, percent: int) -
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(-1, BITMAP // 64) for i in (4, 5))
             total = b.column(2).to_numpy() + b.column(3).to_numpy()
             most = (total - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2
-            ok = pa.array(100 * most >= percent * (total - most))
-            yield b.select(["src", "dst"]).filter(ok)
+            ok = 100 * most >= percent * (total - most)
+            large = np.flatnonzero(ok & b.column(6).is_valid().to_numpy(False) & b.column(7).is_valid().to_numpy(False))
+            for i in large.tolist():
+                most = (int(total[i]) - differing(b.column(6)[i].as_py(), b.column(7)[i].as_py())) // 2
+                ok[i] = 100 * most >= percent * (int(total[i]) - most)
+            yield b.select(["src", "dst"]).filter(pa.array(ok))
 
     def exact(batches):
         for b in batches:
@@ -237,12 +293,16 @@ def verified(pairs: DataFrame, maps: DataFrame, sets: DataFrame, percent: int) -
         other = side.select(F.col("cls").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
         return x.join(other, name)
 
-    x = joined(joined(pairs.select("src", "dst").distinct(), maps, "src", "n", "bitmap"), maps, "dst", "n", "bitmap")
-    x = x.select("src", "dst", "src_n", "dst_n", "src_bitmap", "dst_bitmap").mapInArrow(bounded, "src long, dst long")
-    x, path = store(x, "bounded")
+    spark, facts = pairs.sparkSession, ("n", "bitmap", "wide")
+    x = joined(joined(pairs.select("src", "dst").distinct(), maps, "src", *facts), maps, "dst", *facts)
+    x = x.select("src", "dst", *[f"{side}_{c}" for c in facts for side in ("src", "dst")])
+    x, path = store(x.mapInArrow(bounded, "src long, dst long"), "bounded")
+    # sets are read for the classes that are still in question
+    cls = x.select(F.explode(F.array("src", "dst")).alias("cls")).distinct()
+    sets, sets_path = store(sets_for(maps.join(cls, "cls", "left_semi")), "sets")
     y = joined(joined(x, sets, "src", "hashes"), sets, "dst", "hashes")
     out, _ = store(y.select("src", "dst", "src_hashes", "dst_hashes").mapInArrow(exact, "src long, dst long"), "links")
-    remove(pairs.sparkSession, path)
+    remove(spark, path, sets_path)
     return out
 
 
@@ -251,8 +311,7 @@ def tiles(rows: DataFrame, maps: DataFrame) -> DataFrame:
 
     ``side`` tells the two blocks of a tile apart; in a tile of one block it is -1.
     """
-    band = F.floor(F.log("n") / F.log(F.lit(1.26))).cast("int")
-    x = rows.withColumn("band", band)
+    x = rows.withColumn("band", band_of("n"))
     blocks = x.groupBy("token", "band").agg(F.count(F.lit(1)).alias("c"))
     blocks = blocks.groupBy("token").agg(
         F.sum("c").alias("rows"),
@@ -277,17 +336,38 @@ def tiles(rows: DataFrame, maps: DataFrame) -> DataFrame:
     one = "array(named_struct('b1', 0, 'i1', 0, 'b2', 0, 'i2', 0, 'side', -1))"
     dealt = F.expr(f"CASE WHEN rows <= {BLOCK} THEN {one} ELSE concat({own}, {above}, {below}) END")
     x = x.withColumn("tile", F.explode(dealt)).select("token", "tile.*", "cls", F.col("n").cast("long").alias("n"), "label")
-    return x.join(maps.select("cls", "bitmap"), "cls")
+    return x.join(maps.select("cls", "bitmap", "wide"), "cls")
+
+
+def possible(i: np.ndarray, j: np.ndarray, total: np.ndarray, wides: list[bytes | None], percent: int) -> np.ndarray:
+    """Which pairs of rows their wide bitmaps allow, at the smaller width of the two."""
+    width = np.array([len(w) // 8 if w else 0 for w in wides])
+    both, ok = np.minimum(width[i], width[j]), np.ones(len(i), bool)
+    for size in np.unique(both[both > 0]).tolist():
+        of = np.flatnonzero(both == size)
+        rows = np.unique(np.concatenate([i[of], j[of]]))
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(wides[r], np.uint64).reshape(-1, size), axis=0) for r in rows.tolist()])
+        step = max(1, (1 << 21) // size)
+        for at in range(0, len(of), step):
+            k = of[at : at + step]
+            x, y = folded[np.searchsorted(rows, i[k])], folded[np.searchsorted(rows, j[k])]
+            most = (total[k] - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2
+            ok[k] = 100 * most >= percent * (total[k] - most)
+    return ok
 
 
 def close_pairs(dealt: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs of a tile, of different labels, whose bitmaps allow the similarity; if ``best``, one for two labels."""
+    """Pairs of a tile, of different labels, whose bitmaps allow the similarity.
+
+    If ``best``, one for two labels; ``held`` tells that others of the tile stand behind.
+    """
     key = ["token", "b1", "i1", "b2", "i2"]
 
     def meet(t: pa.Table):
         cols = [t[c].to_numpy() for c in key]
         n, label, cls, side = (t[c].to_numpy() for c in ("n", "label", "cls", "side"))
         maps = np.frombuffer(b"".join(t["bitmap"].to_pylist()), np.uint64).reshape(-1, BITMAP // 64)
+        wides = t["wide"].to_pylist()
         new = np.ones(len(n), bool)
         new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
         run = np.cumsum(new) - 1
@@ -305,18 +385,23 @@ def close_pairs(dealt: DataFrame, percent: int, best: bool) -> DataFrame:
             i, j, total = i[ok], j[ok], total[ok]
             most = (total - np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64)) // 2
             ok = 100 * most >= percent * (total - most)
-            i, j, spare = i[ok], j[ok], (most / total)[ok]
+            i, j, total, spare = i[ok], j[ok], total[ok], (most / total)[ok]
+            ok = possible(i, j, total, wides, percent)
+            i, j, spare = i[ok], j[ok], spare[ok]
             if best and len(i):
                 a, b = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
                 order = np.lexsort((-spare, b, a, run[i]))
                 r, a, b = run[i][order], a[order], b[order]
                 first = np.ones(len(r), bool)
                 first[1:] = (r[1:] != r[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+                behind = np.bincount(r[~first], minlength=run[-1] + 1) > 0
                 i, j = i[order[first]], j[order[first]]
+                held = behind[run[i]]
+            else:
+                held = np.zeros(len(i), bool)
             if len(i):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], ["src", "dst"]
-                )
+                out = [cols[0][i], np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), held]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, out)), ["token", "src", "dst", "held"])
             at = stop
 
     def scan(batches):
@@ -337,48 +422,60 @@ def close_pairs(dealt: DataFrame, percent: int, best: bool) -> DataFrame:
 
     spark = dealt.sparkSession
     x = dealt.repartition(partitions(spark), *key).sortWithinPartitions(*key)
-    return x.mapInArrow(scan, "src long, dst long").distinct()
+    return x.mapInArrow(scan, "token long, src long, dst long, held boolean")
 
 
-def link_classes(table: DataFrame, classes: DataFrame, sets_for: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def link_classes(
+    table: DataFrame, classes: DataFrame, sets_for: Callable[[DataFrame], DataFrame], percent: int, ordered: bool = True
+) -> DataFrame:
     """node and label of the classes that have links to others.
 
-    ``table`` has row, doc_id, n, set, bitmap and prefix (the tokens on which
-    classes meet); a class is named by a row.  ``sets_for`` reads the sets.
+    ``table`` has row, doc_id, n, set, bitmaps and prefix (the tokens on which
+    classes meet; ``ordered`` if they are the first of the set in an order that all
+    sets share); a class is named by a row.  ``sets_for`` reads the sets.
     """
     spark = table.sparkSession
     reps = table.filter("prefix is not null").join(classes.select(F.col("cls").alias("row")), "row", "left_semi")
-    rows = reps.select(F.explode("prefix").alias("token"), F.col("row").alias("cls"), F.col("n").cast("int").alias("n"))
-    shared, shared_path = store(crowded(rows), "shared")
+    rows = reps.select(F.posexplode("prefix").alias("pos", "token"), F.col("row").alias("cls"), F.col("n").cast("int").alias("n"))
+    rows = rows if ordered else rows.withColumn("pos", F.lit(0))
+    met, met_path = store(crowded(rows, percent), "met")
+    pairs = met.filter("leader <> cls").select(F.col("leader").alias("src"), F.col("cls").alias("dst"))
+    shared = met.filter("token is not null").select("token", "cls", "n")
+    used = met.select(F.explode(F.array("cls", "leader")).alias("cls")).distinct()
     maps, maps_path = store(
-        reps.select(F.col("row").alias("cls"), "n", "bitmap", "doc_id", "set").join(shared.select("cls").distinct(), "cls", "left_semi"), "maps"
+        reps.select(F.col("row").alias("cls"), "n", "bitmap", "wide", "doc_id", "set").join(used, "cls", "left_semi"), "maps"
     )
-    sets, sets_path = store(sets_for(maps), "sets")
 
     def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
         x = rows.join(labels.withColumnRenamed("node", "cls").withColumnRenamed("label", "_label"), "cls", "left")
         return x.select("token", "cls", "n", F.coalesce("_label", "cls").alias("label"))
 
     def still_open(rows: DataFrame) -> tuple[DataFrame, str]:
-        x = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        return store(rows.join(x.select("token"), "token", "left_semi"), "open")
-
-    links = verified(shared.filter("leader <> cls").select(F.col("leader").alias("src"), F.col("cls").alias("dst")), maps, sets, percent)
+        """Rows whose token has a class of another label in their size band or one beside it."""
+        rows = rows.withColumn("band", band_of("n"))
+        x = rows.groupBy("token", "band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        x = x.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+        x = x.groupBy("token", "band").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high")
+        return store(rows.join(x.select("token", "band"), ["token", "band"], "left_semi").drop("band"), "open")
+
+    links = verified(pairs, maps, sets_for, percent)
     labels = components(links)
     left, left_path = still_open(labelled(shared, labels))
-    tested = close_pairs(tiles(left, maps), percent, best=True)
-    tested, tested_path = store(tested, "tested")
+    tested, tested_path = store(close_pairs(tiles(left, maps), percent, best=True), "tested")
     if not tested.isEmpty():
-        links = links.union(verified(tested, maps, sets, percent))
+        links = links.union(verified(tested, maps, sets_for, percent))
         labels = components(links)
-        rest, rest_path = still_open(labelled(left, labels))
-        more = close_pairs(tiles(rest, maps), percent, best=False).join(tested, ["src", "dst"], "left_anti")
-        more, more_path = store(more, "more")
-        if not more.isEmpty():
-            links = links.union(verified(more, maps, sets, percent))
-            labels = components(links)
-        remove(spark, rest_path, more_path)
-    remove(spark, shared_path, maps_path, sets_path, left_path, tested_path)
+        # tiles where pairs stood behind the best one of their two labels
+        again = tested.filter("held").select("token").distinct()
+        if not again.isEmpty():
+            rest, rest_path = still_open(labelled(left.join(again, "token", "left_semi"), labels))
+            more = close_pairs(tiles(rest, maps), percent, best=False).join(tested.select("src", "dst"), ["src", "dst"], "left_anti")
+            more, more_path = store(more, "more")
+            if not more.isEmpty():
+                links = links.union(verified(more, maps, sets_for, percent))
+                labels = components(links)
+            remove(spark, rest_path, more_path)
+    remove(spark, met_path, maps_path, left_path, tested_path)
     return labels
 
 
@@ -400,8 +497,7 @@ def find_groups(
     classes, _ = store(table.filter("prefix is not null").groupBy("set").agg(F.min("row").alias("cls")), "classes")
 
     def cut():
-        seen = WordHashes()
-        return lambda t: [u for u in [shingle_set(t, seen, size)] if len(u)]
+        return lambda texts: [[u] if len(u) else [] for u in shingle_sets(texts, size)]
 
     labels = link_classes(table, classes, lambda maps: sets_of(documents, maps, doc_id, text, cut), percent)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")

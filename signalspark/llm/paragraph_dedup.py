@@ -8,12 +8,14 @@ bucket first, bitmaps, exact Jaccard, components.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from signalspark.llm.ngram_join import bitmap, link_classes, sets_of
-from signalspark.llm.shingles import LOWER, WORDS, WordHashes, rolled
+from signalspark.llm.ngram_join import bitmap, link_classes, sets_of, wide
+from signalspark.llm.shingles import WORDS, shingle_sets
 from signalspark.llm.tables import remove, store
 from signalspark.llm.textmap import with_text_columns
 
@@ -40,14 +42,21 @@ def bands(u: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def paragraphs(text: str | None, seen: WordHashes, least: int, size: int):
-    """(line, start, end, words, set) of each paragraph, places in code points."""
-    at = 0
-    for line, part in enumerate((text or "").split("\n")):
-        words = part.encode().translate(LOWER).split() if len(part) >= 2 * least - 1 else []
-        if len(words) >= least:
-            yield line, at, at + len(part), len(words), np.unique(rolled(seen.of(words), size))
-        at += len(part) + 1
+def paragraphs(texts: Sequence[str | None], least: int, size: int) -> list[list[tuple]]:
+    """(line, start, end, words, set) of each paragraph of each text, places in code points."""
+    lines, places = [], []
+    for row, text in enumerate(texts):
+        at = 0
+        for line, part in enumerate((text or "").split("\n")):
+            # a line of n words has at least 2 n - 1 characters
+            if len(part) >= 2 * least - 1 and (n := len((body := part.encode()).split())) >= least:
+                lines.append(body)
+                places.append((row, line, at, at + len(part), n))
+            at += len(part) + 1
+    out: list[list[tuple]] = [[] for _ in texts]
+    for (row, *place), u in zip(places, shingle_sets(lines, size), strict=True):
+        out[row].append((*place, u))
+    return out
 
 
 def find_repeats(
@@ -65,13 +74,13 @@ def find_repeats(
     """
 
     def task():
-        seen, done = WordHashes(), set()
+        done = set()
 
         def run(texts):
             out = []
-            for t in texts:
+            for found in paragraphs(texts, least, size):
                 rows = []
-                for line, start, end, n_words, u in paragraphs(t, seen, least, size):
+                for line, start, end, n_words, u in found:
                     key = xxhash.xxh3_128_digest(u.tobytes())
                     new = key not in done
                     if new:
@@ -80,7 +89,7 @@ def find_repeats(
                         done.add(key)
                     rows.append({
                         "line": line, "start": start, "end": end, "n_words": n_words, "n": len(u), "set": key,
-                        "bitmap": bitmap(u) if new else None, "prefix": bands(u) if new else None,
+                        "bitmap": bitmap(u) if new else None, "wide": wide(u) if new else None, "prefix": bands(u) if new else None,
                     })
                 out.append(rows)
             return [out]
@@ -93,22 +102,20 @@ def find_repeats(
         F.xxhash64(F.col(f"`{text}`")).alias("body"),
         F.col(f"`{text}`").alias("text"),
     )
-    fields = "p array<struct<line:long,start:long,end:long,n_words:long,n:long,set:binary,bitmap:binary,prefix:array<long>>>"
+    fields = "p array<struct<line:long,start:long,end:long,n_words:long,n:long,set:binary,bitmap:binary,wide:binary,prefix:array<long>>>"
     x = with_text_columns(x, task, fields, "text", ["doc", "doc_id", "body"])
     x = x.select("doc", "doc_id", "body", F.explode("p").alias("p")).select("doc", "doc_id", "body", "p.*")
     table, _ = store(x.withColumn("row", F.monotonically_increasing_id()), "paragraphs")
     classes, _ = store(table.filter("prefix is not null").groupBy("set").agg(F.min("row").alias("cls")), "classes")
 
     def cut():
-        seen = WordHashes()
-
-        def of(t: bytes | None) -> list[np.ndarray]:
-            found = (u for *_, u in paragraphs(t.decode() if t else None, seen, least, size))
-            return list({u.tobytes(): u for u in found}.values())
+        def of(texts: list[bytes | None]) -> list[list[np.ndarray]]:
+            found = paragraphs([t.decode() if t else None for t in texts], least, size)
+            return [list({u.tobytes(): u for *_, u in rows}.values()) for rows in found]
 
         return of
 
-    labels = link_classes(table, classes, lambda maps: sets_of(documents, maps, doc_id, text, cut), percent)
+    labels = link_classes(table, classes, lambda maps: sets_of(documents, maps, doc_id, text, cut), percent, ordered=False)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc", "start")
     facts = table.groupBy("set").agg(
         F.min(order).alias("best"), F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("size")

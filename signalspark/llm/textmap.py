@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Rows whose texts and results are Python objects at once.
+ROWS = 1024
 #: Bytes to bytes: A-Z to a-z, nothing else.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -39,9 +41,11 @@ def with_text_columns(
     def run(batches):
         fn = task()
         for batch in batches:
-            values = fn(batch.column(len(carried)).to_pylist())
-            arrays = [batch.column(i) for i in range(len(carried))]
-            arrays += [pa.array(v, type=f.type) for v, f in zip(values, arrow, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *names])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                values = fn(part.column(len(carried)).to_pylist())
+                arrays = [part.column(i) for i in range(len(carried))]
+                arrays += [pa.array(v, type=f.type) for v, f in zip(values, arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *names])
 
     return df.select(*cols).mapInArrow(run, out)

@@ -75,9 +75,11 @@ def near_copies(seed, groups=12):
     return rows
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_near_copies(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "small"), [(512, 8), (3, 1)])
+def test_near_copies(spark, monkeypatch, block, small):
+    """The second case sends every tile through leaders and blocks."""
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "SMALL", small)
     texts = [*near_copies(block), None, "", " \n", "One two", "one  TWO", "one two three", "x" * 20_000, "X" * 20_000, "é É", "É É"]
     rows = [(1000 - i, t) for i, t in enumerate(texts)] + [(None, "one two"), (None, texts[0]), (500, texts[3]), (500, texts[3])]
     df = docs(spark, rows, label=F.lit(0), set=F.lit("x"), token=F.lit(1), n=F.lit(2)).repartition(5)
