@@ -1,9 +1,10 @@
-"""Substring dedup: near-equal paragraphs across documents.
+"""Substring dedup: near-equal paragraphs, and runs of equal words, across documents.
 
 Paragraphs are lines of at least ``LEAST_WORDS`` words.  Those with equal
 shingle sets are one class.  Classes meet where a band of their MinHash
 signatures collides, and from there on as in the n-gram join: the smallest of a
-bucket first, bitmaps, exact Jaccard, components.
+bucket first, bitmaps, exact Jaccard, components.  Runs of ``RUN`` equal words
+or more are found whatever lines they lie in (``passages``).
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from signalspark.llm.ngram_join import bitmap, link_classes, sets_of, wide
-from signalspark.llm.shingles import WORDS, shingle_sets
+from signalspark.llm.passages import RUN, Anchors, run_rows, shared_runs
+from signalspark.llm.shingles import WORDS, shingle_sets, word_hashes
 from signalspark.llm.tables import remove, store
 from signalspark.llm.textmap import with_text_columns
 
@@ -60,15 +62,20 @@ def paragraphs(texts: Sequence[str | None], least: int, size: int) -> list[list[
 
 
 def find_repeats(
-    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, size: int = WORDS, percent: int = 80
+    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, size: int = WORDS, percent: int = 80, run: int = RUN
 ) -> DataFrame:
-    """Paragraphs that occur, equal or with a Jaccard similarity of ``percent`` / 100, in several documents.
+    """Paragraphs (equal or of a Jaccard similarity of ``percent`` / 100) and runs of equal words that occur in several documents.
 
     Groups are components of similar paragraphs.  One row per paragraph of a
     group that spans several rows of ``documents``: doc_id, body (hash of the
     text), line, start, end (code points), n_words, group_size, keep_doc_id and
     keep_start (where the group's first paragraph lies, by doc_id and place;
-    null ids last), removed (all but the first).  Other documents, null and
+    null ids last), removed (all but the first).  A run of ``run`` equal words or
+    more, line ends and A-Z or a-z aside, that does not lie in such a paragraph
+    has rows of the same columns: where its windows of ``run`` words first
+    occur, by doc_id and place; rows of one document overlap where that
+    changes, and group_size counts the places of the row's most frequent
+    window.  Other documents, null and
     empty texts have no rows; repeated rows are documents of their own; other
     columns are ignored; an empty table gives an empty result.
     """
@@ -76,10 +83,12 @@ def find_repeats(
     def task():
         done = set()
 
-        def run(texts):
+        def scan(texts):
             out = []
-            for found in paragraphs(texts, least, size):
-                rows = []
+            hashes = word_hashes([t.encode() if t else None for t in texts])
+            for found, h in zip(paragraphs(texts, least, size), hashes, strict=True):
+                a = Anchors(h, run)
+                rows = [{"first": a.first.astype(np.int32), "many": a.many.astype(np.int32), "seed": a.seed, "ctx": a.ctx}] if len(a.first) else []
                 for line, start, end, n_words, u in found:
                     key = xxhash.xxh3_128_digest(u.tobytes())
                     new = key not in done
@@ -94,7 +103,7 @@ def find_repeats(
                 out.append(rows)
             return [out]
 
-        return run
+        return scan
 
     x = documents.select(
         F.monotonically_increasing_id().alias("doc"),
@@ -102,10 +111,15 @@ def find_repeats(
         F.xxhash64(F.col(f"`{text}`")).alias("body"),
         F.col(f"`{text}`").alias("text"),
     )
-    fields = "p array<struct<line:long,start:long,end:long,n_words:long,n:long,set:binary,bitmap:binary,wide:binary,prefix:array<long>>>"
+    fields = "p array<struct<line:long,start:long,end:long,n_words:long,n:long,set:binary,bitmap:binary,wide:binary,prefix:array<long>,"
+    fields += "first:array<int>,many:array<int>,seed:array<long>,ctx:array<long>>>"
     x = with_text_columns(x, task, fields, "text", ["doc", "doc_id", "body"])
     x = x.select("doc", "doc_id", "body", F.explode("p").alias("p")).select("doc", "doc_id", "body", "p.*")
     table, _ = store(x.withColumn("row", F.monotonically_increasing_id()), "paragraphs")
+    anchors = table.filter("line is null").select("doc", "doc_id", "body", F.inline(F.arrays_zip("first", "many", "seed", "ctx")))
+    runs = shared_runs(anchors, documents, text, run)
+    runs, _ = store(run_rows(runs, documents, doc_id, text, run), "run-rows")
+    table = table.filter("line is not null").drop("first", "many", "seed", "ctx")
     classes, _ = store(table.filter("prefix is not null").groupBy("set").agg(F.min("row").alias("cls")), "classes")
 
     def cut():
@@ -129,14 +143,17 @@ def find_repeats(
     sets, _ = store(named.select("set", "label").join(groups, "label").drop("label"), "groups")
     remove(documents.sparkSession, path)
     first = (F.col("doc") == F.col("best.doc")) & (F.col("start") == F.col("best.start"))
-    return table.select("doc", "doc_id", "body", "line", "start", "end", "n_words", "set").join(sets, "set").select(
-        "doc_id", "body", "line", "start", "end", "n_words", "group_size",
+    lines = table.select("doc", "doc_id", "body", "line", "start", "end", "n_words", "set").join(sets, "set").select(
+        "doc", "doc_id", "body", "line", "start", "end", "n_words", "group_size",
         F.col("best.doc_id").alias("keep_doc_id"), F.col("best.start").alias("keep_start"), (~first).alias("removed"),
     )
+    around = lines.select(F.col("doc").alias("_doc"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+    inside = (F.col("doc") == F.col("_doc")) & (F.col("_start") <= F.col("start")) & (F.col("end") <= F.col("_end"))
+    return lines.unionByName(runs.join(around, inside, "left_anti")).drop("doc")
 
 
 def without_repeats(documents: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with all their columns, removed paragraphs (and their line ends) cut from the texts.
+    """The documents with all their columns, removed paragraphs and runs (and what parts them from the rest) cut from the texts.
 
     Rows are named by id and text; rows that repeat both lose the same paragraphs.
     """
@@ -148,7 +165,10 @@ def without_repeats(documents: DataFrame, found: DataFrame, doc_id: str = "doc_i
     names = [f"c{i}" for i in range(len(documents.columns))]
     t = names[documents.columns.index(text)]
     x = documents.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(documents.columns, names, strict=True)], key.alias("_pair"))
-    step = "named_struct('at', s.end + 1, 'out', concat(a.out, substr({0}, int(a.at + 1), int(s.start - a.at))))".format(t)
+    # the blank or line end behind goes too, but a line that goes on before the span keeps its end
+    after = "CASE WHEN substr({0}, int(s.end + 1), 1) = '\n' AND s.start > 0 AND substr({0}, int(s.start), 1) <> '\n' THEN s.end ELSE s.end + 1 END".format(t)
+    # spans may overlap
+    step = "named_struct('at', greatest(a.at, {1}), 'out', concat(a.out, substr({0}, int(a.at + 1), int(s.start - a.at))))".format(t, after)
     kept = (
         f"aggregate(_spans, named_struct('at', 0L, 'out', ''), (a, s) -> {step}, "
         f"a -> concat(a.out, substr({t}, int(a.at + 1))))"

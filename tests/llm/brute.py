@@ -91,5 +91,17 @@ def leaks(rows, items, window=10):
     return out
 
 
+def repeated_words(rows, run=50):
+    """(row, word) of all words in windows of ``run`` words that several rows hold, and those of them whose window occurs earlier."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) for _, t in rows]
+    places = {}
+    for i in sorted(range(len(rows)), key=lambda i: none_last((rows[i][0],))):
+        for p in range(len(words[i]) - run + 1):
+            places.setdefault(tuple(words[i][p : p + run]), []).append((i, p))
+    shared = [x for x in places.values() if len({i for i, _ in x}) > 1]
+    spread = lambda x: {(i, p + k) for i, p in x for k in range(run)}
+    return set().union(*map(spread, shared)), set().union(*(spread(x[1:]) for x in shared))
+
+
 def none_last(row):
     return tuple((x is None, x if x is not None else 0) for x in row)

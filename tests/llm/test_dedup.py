@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 import pytest
-from brute import components, copies, docs, leaks, near_groups, none_last, shingles, similar
+from brute import components, copies, docs, leaks, near_groups, none_last, repeated_words, shingles, similar
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -168,6 +168,75 @@ def test_repeated_paragraphs(spark):
     assert paragraph_dedup.find_repeats(docs(spark, [])).count() == 0
 
 
+def test_repeated_runs_against_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(400)] + ["é", "Ü1"]
+    passages = [[rng.choice(vocabulary) for _ in range(n)] for n in (50, 51, 59, 70, 140, 200, 49)] + [["again"] * 120]
+
+    def text(parts, broken):
+        out = ""
+        for w in [w for part in parts for w in part]:
+            out += (w.upper() if w.isascii() and rng.random() < 0.1 else w) + ("\n" if rng.random() < broken else " ")
+        return out
+
+    rows = [(None, None), (90, ""), (91, "a few words")]
+    for i in range(40):
+        filler = lambda: [rng.choice(vocabulary) for _ in range(rng.randint(0, 90))]
+        parts = [filler()]
+        for q in rng.sample(passages, rng.randint(0, 3)):
+            a = rng.choice([0, 0, 10])
+            parts += [q[a:], filler()]
+        rows.append((i if i % 13 else None, text(parts, rng.choice([0, 0, 0.02, 0.2]))))
+    rows += [rows[5], (200, rows[9][1]), (7, text([passages[5]], 0.1))]
+    shared, later = repeated_words(rows)
+    df = docs(spark, rows).repartition(3)
+    found = paragraph_dedup.find_repeats(df)
+    got = found.collect()
+    text_of = {(r[0], r[1]): r[1] for r in rows}
+    by_body = {(r.doc_id, r.body): r.text for r in df.select("doc_id", F.xxhash64("text").alias("body"), "text").collect()}
+    covered, removed = {}, {}
+    for r in got:
+        t = by_body[r.doc_id, r.body]
+        span = t[r.start : r.end]
+        assert len(span.split()) == r.n_words and t[: r.start].count("\n") == r.line
+        first = len(t[: r.start].split())
+        covered.setdefault((r.doc_id, t), set()).update(range(first, first + r.n_words))
+        if r.removed:
+            removed.setdefault((r.doc_id, t), set()).update(range(first, first + r.n_words))
+        if r.n_words >= 50:  # the row that is kept reads the same (rows of lines: nearly)
+            assert any(k == r.keep_doc_id and shingles(span) & shingles(u[r.keep_start : r.keep_start + 2 * len(span)]) for k, u in text_of)
+    for (i, w) in shared:
+        assert w in covered[rows[i]]
+    for (i, w) in later:
+        if rows.count(rows[i]) == 1:
+            assert w in removed[rows[i]]
+    assert len(shared) > 2000 and any("\n" in by_body[r.doc_id, r.body][r.start : r.end].strip("\n") for r in got)
+    # what is cut is held by another document
+    kept = {w for r in paragraph_dedup.without_repeats(df, found).collect() for w in (r.text or "").lower().split()}
+    assert kept == {w for _, t in rows for w in (t or "").lower().split()}
+
+
+def test_runs_inside_longer_lines_and_broken_lines(spark):
+    words = iter(f"w{i}" for i in range(10_000))
+    some = lambda n: [next(words) for _ in range(n)]
+    run, other = some(59), some(54)
+    join = " ".join
+    rows = [
+        (85, join(some(40) + run + some(40))), (676, join(some(30) + run + some(54)) + "\n"),
+        (39, join(some(9) + other[:15]) + "\n" + join(other[15:] + some(20))), (900, join(some(40) + other[:39]) + "\n" + join(other[39:] + some(50))),
+        (1, join(some(200))),
+    ]
+    found = paragraph_dedup.find_repeats(docs(spark, rows))
+    got = {r.doc_id: r for r in found.collect()}
+    text = dict(rows)
+    assert set(got) == {85, 676, 39, 900} and {i for i, r in got.items() if r.removed} == {676, 900}
+    assert {i: text[i][r.start : r.end].split() for i, r in got.items()} == {85: run, 676: run, 39: other, 900: other}
+    assert got[676].keep_doc_id == 85 and got[676].keep_start == got[85].start and got[676].group_size == 2
+    cut = {r.doc_id: r.text for r in paragraph_dedup.without_repeats(docs(spark, rows), found).collect()}
+    assert cut[676].split() == [w for w in text[676].split() if w not in run] and cut[900].split() == [w for w in text[900].split() if w not in other]
+    assert cut[85] == text[85] and cut[1] == text[1]
+
+
 def test_bands_find_nearly_all_pairs():
     rng = np.random.default_rng(8)
     met = 0
