@@ -148,6 +148,23 @@ def test_identify_finds_planted_field_and_partitions_do_not_matter(spark):
     assert all(abs(pruned[k] - full[k]) < 1e-9 for k in best)
 
 
+def test_cluster_blocks_do_not_grow(spark):
+    from pyspark.sql import functions as F
+
+    x = spark.range(3000).select(
+        F.when(F.col("id") < 2960, "all").otherwise("small").alias("session_id"), F.format_string("s%05d", "id").alias("name"),
+        F.sequence(F.lit(0), F.lit(9)).alias("gi"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.sin(i * (1 + F.col("id") % 7))).alias("v"),
+        F.lit(10).alias("n_grid"),
+    )
+    sizes = cl.dealt(x, 100).groupBy("session_id", "b1", "b2").count().collect()
+    assert max(r["count"] for r in sizes) < 300 and len(sizes) == 30 * 31 // 2 + 1
+    few = x.filter("pmod(hash(name), 20) = 0")
+    names = few.select("session_id", "name")
+    got = cl.connected_components(names, cl.correlation_edges(few, 0.99, block=10)).collect()
+    one = cl.connected_components(names, cl.correlation_edges(few, 0.99, block=10_000)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, one)) and len({r.label for r in got}) < len(got)
+
+
 def test_clusters(spark):
     pts = [("s", n, float(i), f(i)) for i in range(60) for n, f in (
         ("A", lambda i: math.sin(i / 5)), ("B", lambda i: -3 * math.sin(i / 5) + 1), ("C", lambda i: float((i * 7919) % 13)))]
