@@ -8,7 +8,7 @@
    In a larger one the classes of a size band meet its first one.  What that links
    is joined to components, and tiles that lie in one component are done: a group of
    thousands of near copies costs a row each, not a pair each.
-4. Tiles left open are cut into bands of set sizes (ratio 1.26) and blocks of at
+4. Tiles left open are cut into bands of set sizes (ratio 1.26 for a threshold of 0.8) and blocks of at
    most some ``BLOCK`` classes.  Blocks of equal and neighbouring bands meet,
    and bitmaps bound the overlap of all pairs of different components at once:
    first the best pair of two components, then, where that joined nothing, all.
@@ -153,9 +153,9 @@ def shingled(documents: DataFrame, doc_id: str, text: str, size: int, percent: i
     return with_text_columns(x, task, fields, "text", ["row", "doc_id", "body"], binary=True)
 
 
-def band_of(n: str):
-    """Number of a set size's band; sizes within a ratio of 1.25 lie in one band or in neighbouring ones."""
-    return F.floor(F.log(n) / F.log(F.lit(1.26))).cast("int")
+def band_of(n: str, percent: int):
+    """Number of a set size's band; sizes within a ratio of 100 / ``percent`` lie in one band or in neighbouring ones."""
+    return F.floor(F.log(n) / F.log(F.lit(100.8 / percent))).cast("int")
 
 
 def crowded(rows: DataFrame, percent: int) -> DataFrame:
@@ -221,7 +221,7 @@ def crowded(rows: DataFrame, percent: int) -> DataFrame:
             yield pairs(cls, n, pos, np.array([0]), np.array([len(held)]))
 
     spark = rows.sparkSession
-    x = rows.withColumn("band", band_of("n")).repartition(partitions(spark), "token")
+    x = rows.withColumn("band", band_of("n", percent)).repartition(partitions(spark), "token")
     return x.sortWithinPartitions("token", "band", "cls").mapInArrow(scan, "token long, cls long, n int, leader long")
 
 
@@ -306,12 +306,12 @@ def verified(pairs: DataFrame, maps: DataFrame, sets_for: Callable[[DataFrame],
     return out
 
 
-def tiles(rows: DataFrame, maps: DataFrame) -> DataFrame:
+def tiles(rows: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """Open rows (token, cls, n, label) dealt to tiles of size bands, with their bitmaps.
 
     ``side`` tells the two blocks of a tile apart; in a tile of one block it is -1.
     """
-    x = rows.withColumn("band", band_of("n"))
+    x = rows.withColumn("band", band_of("n", percent))
     blocks = x.groupBy("token", "band").agg(F.count(F.lit(1)).alias("c"))
     blocks = blocks.groupBy("token").agg(
         F.sum("c").alias("rows"),
@@ -452,7 +452,7 @@ def link_classes(
 
     def still_open(rows: DataFrame) -> tuple[DataFrame, str]:
         """Rows whose token has a class of another label in their size band or one beside it."""
-        rows = rows.withColumn("band", band_of("n"))
+        rows = rows.withColumn("band", band_of("n", percent))
         x = rows.groupBy("token", "band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
         x = x.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
         x = x.groupBy("token", "band").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high")
@@ -461,7 +461,7 @@ def link_classes(
     links = verified(pairs, maps, sets_for, percent)
     labels = components(links)
     left, left_path = still_open(labelled(shared, labels))
-    tested, tested_path = store(close_pairs(tiles(left, maps), percent, best=True), "tested")
+    tested, tested_path = store(close_pairs(tiles(left, maps, percent), percent, best=True), "tested")
     if not tested.isEmpty():
         links = links.union(verified(tested, maps, sets_for, percent))
         labels = components(links)
@@ -469,7 +469,7 @@ def link_classes(
         again = tested.filter("held").select("token").distinct()
         if not again.isEmpty():
             rest, rest_path = still_open(labelled(left.join(again, "token", "left_semi"), labels))
-            more = close_pairs(tiles(rest, maps), percent, best=False).join(tested.select("src", "dst"), ["src", "dst"], "left_anti")
+            more = close_pairs(tiles(rest, maps, percent), percent, best=False).join(tested.select("src", "dst"), ["src", "dst"], "left_anti")
             more, more_path = store(more, "more")
             if not more.isEmpty():
                 links = links.union(verified(more, maps, sets_for, percent))

@@ -142,6 +142,13 @@ def test_leaks_by_index_and_by_join(spark):
         assert decontaminate.find_leaks(df.filter("false"), bench, indexed_bytes=limit).count() == 0
 
 
+def test_low_thresholds_reach_across_sizes(spark):
+    base = [f"b{i}" for i in range(104)]
+    rows = [" ".join(base)] + [" ".join(base + [f"x{k}_{i}" for i in range(60)]) for k in range(12)] + ["something else"]
+    got = {r.doc_id: r.component_id for r in ngram_join.find_groups(docs(spark, rows), percent=60).collect()}
+    assert got == {i: 0 for i in range(13)} | {13: 13}
+
+
 def test_repeated_paragraphs(spark):
     rng = random.Random(6)
     words = [f"w{i}" for i in range(3000)]
