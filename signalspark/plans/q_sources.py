@@ -244,7 +244,7 @@ SELECT DISTINCT session_id, 0 AS part, 0::BIGINT AS arb_id, CAST(i-1 AS INT) AS
 UNION ALL SELECT session_id, 1, arb_id, 0, printf('BO_ %d MSG_%X: %d BUS', arb_id, arb_id, 8) FROM c
 UNION ALL SELECT session_id, 1, arb_id, 1, printf(' SG_ %s : %d|%d@%d%s (%s,%s) [0|0] "" Vector__XXX', nm, CASE WHEN w=0 THEN 4*8+7-33%8 WHEN e='LE' THEN off*8 ELSE off*8+7 END,
    CASE WHEN w=0 THEN 1 ELSE w*8 END, CASE WHEN w=0 OR e='LE' THEN 1 ELSE 0 END, CASE WHEN sg THEN '-' ELSE '+' END, printf('%g', scale), printf('%g', off_)) FROM c
-UNION ALL SELECT session_id, 2, arb_id, 1, printf('CM_ BO_ %d "%s matched r=%.3f (candidate %s)";', arb_id, nm, r, label) FROM c""", "hypn"))
+UNION ALL SELECT session_id, 2, arb_id, 1, printf('CM_ BO_ %d "%s: correlation %.3f, field %s";', arb_id, nm, r, label) FROM c""", "hypn"))
 def signal_database(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.signal_database(hypotheses_l(spark, sf))
 
