@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalspark.llm import bpe, decontaminate, exact_dedup, langid, ngram_join, paragraph_dedup, pii, quality, url_rules, warc
+from signalspark.llm import bpe, decontaminate, exact_dedup, filter_audit, langid, line_dedup, ngram_join, paragraph_dedup, pii, quality, url_rules, warc
 from signalspark.plans.registry import Family
 
 FAMILY = Family()
@@ -153,3 +153,53 @@ def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_paragraph_dedup")
 def op3_paragraph_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return paragraph_dedup.find_repeats(table(spark, sf, "documents")).drop("body")
+
+
+@query(
+    "op12_line_dedup",
+    r"""
+    WITH l AS (SELECT r, doc_id, i, lines[i] AS line, translate(trim(lines[i], E' \t\n\x0B\f\r'),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+        FROM (SELECT r, doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (
+            SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+    k AS (SELECT key, min(doc_id) AS first_doc FROM l WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+    m AS (SELECT l.*, coalesce(doc_id > first_doc, FALSE) AS goes FROM l LEFT JOIN k USING (key))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT goes), '')) AS kept_sha256
+    FROM m GROUP BY r, doc_id
+    """,
+)
+def op12_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.without_repeated_lines(table(spark, sf, "documents"), with_text=False)
+
+
+@query(
+    "op13_filter_audit",
+    r"""
+    WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body FROM documents),
+    w AS (SELECT *, regexp_extract_all(body, '[^ 	-]+') AS w FROM t),
+    e AS (SELECT body, min(doc_id) AS first_doc FROM t GROUP BY body),
+    f AS (SELECT w.doc_id, part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+            + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+            + CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body) THEN 4 ELSE 0 END
+            + CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 8 ELSE 0 END
+            + CASE WHEN w.doc_id > first_doc THEN 16 ELSE 0 END AS mask FROM w JOIN e USING (body)),
+    m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS bad
+        FROM f LEFT JOIN labels USING (doc_id) GROUP BY part, mask),
+    b(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+    o AS (SELECT '' AS filter_order, 0 AS seen UNION ALL SELECT filter_order || letter, seen + bit FROM o JOIN b ON seen & bit = 0),
+    s AS (SELECT filter_order, step, bit, (SELECT coalesce(sum(x.bit), 0) FROM b x WHERE instr(filter_order[1:step - 1], x.letter) > 0)::INT AS before
+        FROM (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM o WHERE length(filter_order) = 5) JOIN b ON filter_order[step] = letter),
+    c AS (SELECT part, filter_order, step, bit,
+        sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+        sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+        sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+        sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+        sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+        sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN bad ELSE 0 END)::BIGINT AS toxic_lost
+        FROM m, s GROUP BY ALL)
+    SELECT * EXCLUDE (bit), sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM c
+    """,
+)
+def op13_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))

@@ -2,50 +2,76 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows whose texts and results are Python objects at once.
-ROWS = 1024
+#: Rows, and bytes of text, whose texts and results are Python objects at once.
+ROWS, BYTES = 1024, 4 << 20
 #: Bytes to bytes: A-Z to a-z, nothing else.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def with_text_columns(
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Start and number of rows of runs of at most ``ROWS`` rows and, unless one row has more, ``BYTES`` bytes."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = size[at - 1] if at else 0
+        end = min(at + ROWS, max(at + 1, int(np.searchsorted(size, before + BYTES, "right"))))
+        yield at, end - at
+        at = end
+
+
+def with_columns(
     df: DataFrame,
-    task: Callable[[], Callable[[list], Sequence]],
+    task: Callable[[], Callable[..., Sequence]],
     fields: str,
-    text: str = "text",
+    inputs: Sequence[Column],
     keep: Sequence[str] | None = None,
-    binary: bool = False,
 ) -> DataFrame:
-    """Append columns computed from the text of each row, without a shuffle.
+    """Append columns computed from ``inputs`` of each row, without a shuffle.
 
-    ``task`` is called once per task and returns a function from a list of
-    texts (``bytes`` if ``binary``; None for null) to one list per new column.
-    ``keep`` names the columns to carry along (default: all); a new column
-    replaces an old one of the same name.  Rows keep their order and number.
+    ``task`` is called once per task and returns a function that takes one list
+    per input and returns one list per new column.  The first input is a text
+    (string or binary), whose size bounds what is in memory at once.  ``keep``
+    names the columns to carry along (default: all); a new column replaces an
+    old one of the same name.  Rows keep their order and number.
     """
     new = T._parse_datatype_string(fields)
     names = [f.name for f in new.fields]
     carried = [c for c in (df.columns if keep is None else keep) if c not in names]
     out = T.StructType([df.schema[c] for c in carried] + new.fields)
     arrow = to_arrow_schema(T.StructType(new.fields))
-    # a clash-free name for the text, which may be carried or replaced
-    source = next(n for i in range(10**6) if (n := f"_text{i}") not in (*carried, *names))
-    cols = [F.col(f"`{c}`") for c in carried] + [F.col(f"`{text}`").cast("binary" if binary else "string").alias(source)]
+    # clash-free names for the inputs, which may be carried or replaced
+    free = (n for i in range(10**6) if (n := f"_text{i}") not in (*carried, *names))
+    cols = [F.col(f"`{c}`") for c in carried] + [c.alias(next(free)) for c in inputs]
+    n, k = len(carried), len(inputs)
 
     def run(batches):
         fn = task()
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                values = fn(part.column(len(carried)).to_pylist())
-                arrays = [part.column(i) for i in range(len(carried))]
+            for at, rows in slices(batch.column(n)):
+                part = batch.slice(at, rows)
+                values = fn(*(part.column(n + i).to_pylist() for i in range(k)))
+                arrays = [part.column(i) for i in range(n)]
                 arrays += [pa.array(v, type=f.type) for v, f in zip(values, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *names])
 
     return df.select(*cols).mapInArrow(run, out)
+
+
+def with_text_columns(
+    df: DataFrame,
+    task: Callable[[], Callable[[list], Sequence]],
+    fields: str,
+    text: str = "text",
+    keep: Sequence[str] | None = None,
+    binary: bool = False,
+) -> DataFrame:
+    """``with_columns`` of one text column: ``bytes`` if ``binary``, None for null."""
+    return with_columns(df, task, fields, [F.col(f"`{text}`").cast("binary" if binary else "string")], keep)
