@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -105,3 +106,71 @@ def repeated_words(rows, run=50):
 
 def none_last(row):
     return tuple((x is None, x if x is not None else 0) for x in row)
+
+
+def word_runs(words, least=24, times=3):
+    """(start, length, period) of all longest stretches with smallest period, period by period."""
+    n, out = len(words), []
+    for q in range(1, n // times + 1):
+        start = None
+        for i in range(n - q + 1):
+            if i < n - q and words[i] == words[i + q]:
+                start = i if start is None else start
+                continue
+            if start is not None and (length := i - start + q) >= max(least, times * q):
+                stretch = words[start : start + length]
+                if not any(stretch[:-p] == stretch[p:] for p in range(1, q)):
+                    out.append((start, length, q))
+            start = None
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def cut_lines(rows, least=10):
+    """(doc_id, n_lines, n_dropped, kept text) of (doc_id, text) rows."""
+    key = lambda line: line.strip(" \t\n\r\x0b\x0c").translate(LOWER)
+    holders = {}
+    for r, (doc, text) in enumerate(rows):
+        for line in (text or "").split("\n"):
+            if len(key(line)) >= least:
+                holders.setdefault(key(line), {})[r] = doc
+    out = []
+    for doc, text in rows:
+        lines, kept = (text or "").split("\n"), []
+        for line in lines:
+            ids = [i for i in holders.get(key(line), {}).values() if i is not None]
+            if not (len(holders.get(key(line), {})) >= 2 and ids and (doc is None or doc > min(ids))):
+                kept.append(line)
+        out.append((doc, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
+
+
+def filter_effects(rows, labels):
+    """Result rows of the filter audit, order by order, of (doc_id, text, part) rows."""
+    docs = []
+    for doc, text, part in rows:
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        fails = {
+            "A": len(words) < 200, "B": 100 * len(set(words)) < 50 * len(words),
+            "C": 100 * len(re.findall("[A-Z]", text)) > 2 * len(text), "D": bool(re.search(r"[#$%&*|]", text)),
+            "E": doc is not None and any(i is not None and i < doc and (t or "") == text for i, t, _ in rows),
+        }
+        mine = [(q, x) for i, q, x in labels if i is not None and i == doc]
+        docs.append((part or "", fails, any(q == 1 for q, _ in mine), any(x == 1 for _, x in mine)))
+    out = []
+    for part in {d[0] for d in docs}:
+        total = {}
+        for order in itertools.permutations("ABCDE"):
+            left = [d for d in docs if d[0] == part]
+            seen = list(left)
+            for step, f in enumerate(order, 1):
+                gone = [d for d in left if d[1][f]]
+                left = [d for d in left if not d[1][f]]
+                all_fails = [d for d in seen if d[1][f]]
+                alone = [d for d in seen if d[1][f] and sum(d[1].values()) == 1]
+                total[f] = total.get(f, 0) + len(gone)
+                out.append([part, "".join(order), step, len(left), len(gone), len(all_fails) - len(gone), len(alone), sum(d[2] for d in gone), sum(d[3] for d in gone), f])
+        for r in out:
+            if r[0] == part:
+                r[-1] = total[r[-1]]
+    return sorted(map(tuple, out))
