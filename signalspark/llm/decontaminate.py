@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from signalspark.llm.shingles import rolled, word_hashes
 from signalspark.llm.tables import store
-from signalspark.llm.textmap import with_text_columns
+from signalspark.llm.textmap import slices, with_text_columns
 
 WINDOW = 10
 SHINGLE = 5
@@ -122,7 +122,8 @@ def shingle_counts(documents: DataFrame, index: Index, text: str) -> dict[int, n
     def count(batches):
         found = {s: np.zeros(len(t), np.int64) for s, (t, _) in shared.value.items()}
         for batch in batches:
-            for hashes in hashed(batch.column(0).to_pylist()):
+            texts = (t for at, n in slices(batch.column(0)) for t in hashed(batch.column(0).slice(at, n).to_pylist()))
+            for hashes in texts:
                 for s, (tokens, mask) in shared.value.items():
                     k = hits(hashes, s, tokens, mask)[1]
                     if len(k):

@@ -143,7 +143,9 @@ def train(
     share = F.coalesce(
         *[F.when(F.col("lang") == x, F.lit(min(scale, scale * docs_per_lang // sizes[x]))) for x in langs]
     )
-    sample = known.filter(F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(scale)) < share)
+    # rows without an id are told apart by their text
+    draw = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64(F.col("id").cast("string")))
+    sample = known.filter(F.pmod(draw, F.lit(scale)) < share)
     index = {x: i for i, x in enumerate(langs)}
 
     def count(batches):

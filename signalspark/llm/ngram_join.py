@@ -1,6 +1,7 @@
 """Similarity join of documents on word shingles, exact for a Jaccard threshold.
 
-1. Documents with equal sets are one class; only one row of a class goes on.
+1. Documents with equal sets are one class, named by a 64-bit hash of the set, so
+   tasks agree on it without a shuffle; a task sends a class on once.
 2. A class is dealt to one tile per necessary shingle: with sets ordered alike,
    frequent shingles last, two sets of the wanted similarity share one of their
    first n - ceil(t n) + 1.  Shingles of one class make no tile.
@@ -22,12 +23,13 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from signalspark.llm.components import components
 from signalspark.llm.shingles import WORDS, shingle_sets
 from signalspark.llm.tables import keep_rows, partitions, remove, store
 from signalspark.llm.textmap import with_text_columns
+from signalspark.operators.frames import attach
 
 #: Bits of a class's bitmap; each shingle flips one.  Sets over half as large have a wider one too.
 BITMAP, WIDEST = 1024, 1 << 16
@@ -153,6 +155,10 @@ def shingled(documents: DataFrame, doc_id: str, text: str, size: int, percent: i
     return with_text_columns(x, task, fields, "text", ["row", "doc_id", "body"], binary=True)
 
 
+def class_of(key: str = "set") -> Column:
+    return F.xxhash64(key)
+
+
 def band_of(n: str, percent: int):
     """Number of a set size's band; sizes within a ratio of 100 / ``percent`` lie in one band or in neighbouring ones."""
     return F.floor(F.log(n) / F.log(F.lit(100.8 / percent))).cast("int")
@@ -166,8 +172,8 @@ def crowded(rows: DataFrame, percent: int) -> DataFrame:
     more can follow than the shorter rest holds.  Tokens of more classes keep
     their rows, with the first class of token and band as ``leader``.
 
-    Rows arrive sorted by token and band; a task holds a batch and at most
-    ``SMALL`` rows before it.
+    Rows arrive sorted by token, band and class, which drops a class that several
+    tasks have sent; a task holds a batch and at most ``SMALL`` rows before it.
     """
     names = ["token", "cls", "n", "leader"]
 
@@ -188,8 +194,16 @@ def crowded(rows: DataFrame, percent: int) -> DataFrame:
         )
 
     def scan(batches):
-        held = large = None  # a run that may go on; token, band and leader of one that has shown to be large
+        held = large = last = None  # a run that may go on; token, band and leader of one that has shown to be large
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, cls = batch.column("token").to_numpy(), batch.column("cls").to_numpy()
+            fresh = np.ones(len(token), bool)
+            fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
+            fresh[0] = last != (token[0], cls[0])
+            last = (token[-1], cls[-1])
+            batch = batch.filter(pa.array(fresh))
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
@@ -317,7 +331,7 @@ def tiles(rows: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
         F.sum("c").alias("rows"),
         F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("c") / BLOCK).cast("int").alias("k")))).alias("ks"),
     )
-    x = x.join(blocks, "token")
+    x = attach(x, blocks, ["token"], "cls")
     x = x.withColumn("i", F.pmod(F.xxhash64("cls"), F.col("ks")[F.col("band")]).cast("int"))
 
     # the blocks that this one meets: of its own band, of the next and of the one before
@@ -426,24 +440,24 @@ def close_pairs(dealt: DataFrame, percent: int, best: bool) -> DataFrame:
 
 
 def link_classes(
-    table: DataFrame, classes: DataFrame, sets_for: Callable[[DataFrame], DataFrame], percent: int, ordered: bool = True
+    table: DataFrame, sets_for: Callable[[DataFrame], DataFrame], percent: int, ordered: bool = True
 ) -> DataFrame:
     """node and label of the classes that have links to others.
 
-    ``table`` has row, doc_id, n, set, bitmaps and prefix (the tokens on which
+    ``table`` has doc_id, n, set, bitmaps and prefix (the tokens on which
     classes meet; ``ordered`` if they are the first of the set in an order that all
-    sets share); a class is named by a row.  ``sets_for`` reads the sets.
+    sets share); a class is named as by ``class_of``.  ``sets_for`` reads the sets.
     """
     spark = table.sparkSession
-    reps = table.filter("prefix is not null").join(classes.select(F.col("cls").alias("row")), "row", "left_semi")
-    rows = reps.select(F.posexplode("prefix").alias("pos", "token"), F.col("row").alias("cls"), F.col("n").cast("int").alias("n"))
+    reps = table.filter("prefix is not null").withColumn("cls", class_of())
+    rows = reps.select(F.posexplode("prefix").alias("pos", "token"), "cls", F.col("n").cast("int").alias("n"))
     rows = rows if ordered else rows.withColumn("pos", F.lit(0))
     met, met_path = store(crowded(rows, percent), "met")
     pairs = met.filter("leader <> cls").select(F.col("leader").alias("src"), F.col("cls").alias("dst"))
     shared = met.filter("token is not null").select("token", "cls", "n")
     used = met.select(F.explode(F.array("cls", "leader")).alias("cls")).distinct()
     maps, maps_path = store(
-        reps.select(F.col("row").alias("cls"), "n", "bitmap", "wide", "doc_id", "set").join(used, "cls", "left_semi"), "maps"
+        reps.select("cls", "n", "bitmap", "wide", "doc_id", "set").join(used, "cls", "left_semi").dropDuplicates(["cls"]), "maps"
     )
 
     def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -456,7 +470,7 @@ def link_classes(
         x = rows.groupBy("token", "band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
         x = x.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
         x = x.groupBy("token", "band").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high")
-        return store(rows.join(x.select("token", "band"), ["token", "band"], "left_semi").drop("band"), "open")
+        return store(attach(rows, x.select("token", "band"), ["token", "band"], "cls", how="left_semi").drop("band"), "open")
 
     links = verified(pairs, maps, sets_for, percent)
     labels = components(links)
@@ -494,16 +508,15 @@ def find_groups(
     are ignored; an empty table gives an empty result.
     """
     table, _ = store(shingled(documents, doc_id, text, size, percent), "shingled")
-    classes, _ = store(table.filter("prefix is not null").groupBy("set").agg(F.min("row").alias("cls")), "classes")
 
     def cut():
         return lambda texts: [[u] if len(u) else [] for u in shingle_sets(texts, size)]
 
-    labels = link_classes(table, classes, lambda maps: sets_of(documents, maps, doc_id, text, cut), percent)
+    labels = link_classes(table, lambda maps: sets_of(documents, maps, doc_id, text, cut), percent)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     first = table.filter("n > 0").groupBy("set").agg(F.min(order).alias("best"))
-    named = classes.join(labels, classes["cls"] == labels["node"], "left").select("set", F.coalesce("label", "cls").alias("label"))
-    named, _ = store(named.join(first, "set"), "named")
+    named = first.withColumn("node", class_of()).join(labels, "node", "left")
+    named, _ = store(named.select("set", F.coalesce("label", "node").alias("label"), "best"), "named")
     smallest = named.groupBy("label").agg(F.min("best").alias("best"))
     named, _ = store(named.select("set", "label").join(smallest, "label").select("set", "best"), "groups")
     x = table.select("row", "doc_id", "body", "n", "set").join(named, "set", "left")
@@ -516,6 +529,6 @@ def find_groups(
 
 
 def without_near_copies(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = 80) -> DataFrame:
-    """The first document of each component, with all its columns."""
-    found = find_groups(documents, doc_id, text, size, percent).withColumnRenamed("first", "kept")
+    """The first document of each component, with all its columns; texts without words all stay."""
+    found = find_groups(documents, doc_id, text, size, percent).filter("n_shingles > 0").withColumnRenamed("first", "kept")
     return keep_rows(documents, found, doc_id, F.xxhash64(F.col(f"`{text}`")), "body")

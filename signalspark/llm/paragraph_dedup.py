@@ -15,7 +15,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from signalspark.llm.ngram_join import bitmap, link_classes, sets_of, wide
+from signalspark.llm.ngram_join import bitmap, class_of, link_classes, sets_of, wide
 from signalspark.llm.passages import RUN, Anchors, run_rows, shared_runs
 from signalspark.llm.shingles import WORDS, shingle_sets, word_hashes
 from signalspark.llm.tables import remove, store
@@ -115,12 +115,11 @@ def find_repeats(
     fields += "first:array<int>,many:array<int>,seed:array<long>,ctx:array<long>>>"
     x = with_text_columns(x, task, fields, "text", ["doc", "doc_id", "body"])
     x = x.select("doc", "doc_id", "body", F.explode("p").alias("p")).select("doc", "doc_id", "body", "p.*")
-    table, _ = store(x.withColumn("row", F.monotonically_increasing_id()), "paragraphs")
+    table, _ = store(x, "paragraphs")
     anchors = table.filter("line is null").select("doc", "doc_id", "body", F.inline(F.arrays_zip("first", "many", "seed", "ctx")))
     runs = shared_runs(anchors, documents, text, run)
     runs, _ = store(run_rows(runs, documents, doc_id, text, run), "run-rows")
     table = table.filter("line is not null").drop("first", "many", "seed", "ctx")
-    classes, _ = store(table.filter("prefix is not null").groupBy("set").agg(F.min("row").alias("cls")), "classes")
 
     def cut():
         def of(texts: list[bytes | None]) -> list[list[np.ndarray]]:
@@ -129,13 +128,13 @@ def find_repeats(
 
         return of
 
-    labels = link_classes(table, classes, lambda maps: sets_of(documents, maps, doc_id, text, cut), percent, ordered=False)
+    labels = link_classes(table, lambda maps: sets_of(documents, maps, doc_id, text, cut), percent, ordered=False)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc", "start")
     facts = table.groupBy("set").agg(
         F.min(order).alias("best"), F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("size")
     )
-    named = classes.join(labels, classes["cls"] == labels["node"], "left").select("set", F.coalesce("label", "cls").alias("label"))
-    named, path = store(named.join(facts, "set"), "named")
+    named = facts.withColumn("node", class_of()).join(labels, "node", "left")
+    named, path = store(named.withColumn("label", F.coalesce("label", "node")).drop("node"), "named")
     groups = named.groupBy("label").agg(
         F.min("best").alias("best"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("size").alias("group_size")
     )

@@ -49,8 +49,8 @@ def keep_rows(documents: DataFrame, found: DataFrame, doc_id: str, key: Column,
     """The rows of ``documents`` that ``found`` (doc_id, ``name``, kept) keeps, with all their columns.
 
     ``key`` computes ``name`` from a row of ``documents``; id and key name the
-    rows.  Where an id and key occur several times and one of them is kept, one
-    row stays.  Only rows that go or repeat are listed.  A filter of fixed size
+    rows.  Where an id and key occur several times in ``found`` and one of them is
+    kept, one row stays; rows that ``found`` leaves out stay.  Only rows that go or repeat are listed.  A filter of fixed size
     lets all others pass where they are read: only rows that may be listed are shuffled.
     """
     pair = found.groupBy("doc_id", name).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))

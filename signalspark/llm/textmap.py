@@ -31,14 +31,16 @@ def with_columns(
     df: DataFrame,
     task: Callable[[], Callable[..., Sequence]],
     fields: str,
-    inputs: Sequence[Column],
+    inputs: Sequence[Column | str],
     keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Append columns computed from ``inputs`` of each row, without a shuffle.
 
     ``task`` is called once per task and returns a function that takes one list
     per input and returns one list per new column.  The first input is a text
-    (string or binary), whose size bounds what is in memory at once.  ``keep``
+    (string or binary), whose size bounds what is in memory at once.  An input
+    may name a string column to be read as bytes; if it is carried along anyway,
+    it is sent to Python once.  ``keep``
     names the columns to carry along (default: all); a new column replaces an
     old one of the same name.  Rows keep their order and number.
     """
@@ -49,15 +51,24 @@ def with_columns(
     arrow = to_arrow_schema(T.StructType(new.fields))
     # clash-free names for the inputs, which may be carried or replaced
     free = (n for i in range(10**6) if (n := f"_text{i}") not in (*carried, *names))
-    cols = [F.col(f"`{c}`") for c in carried] + [c.alias(next(free)) for c in inputs]
-    n, k = len(carried), len(inputs)
+    cols, place = [F.col(f"`{c}`") for c in carried], []
+    for c in inputs:
+        if isinstance(c, str) and c in carried:
+            place.append(carried.index(c))
+            continue
+        place.append(len(cols))
+        cols.append((F.col(f"`{c}`") if isinstance(c, str) else c).alias(next(free)))
+    as_bytes = [isinstance(c, str) for c in inputs]
+    n = len(carried)
 
     def run(batches):
         fn = task()
         for batch in batches:
-            for at, rows in slices(batch.column(n)):
+            texts = [batch.column(at) for at in place]
+            texts = [t.cast(pa.binary()) if b else t for t, b in zip(texts, as_bytes, strict=True)]
+            for at, rows in slices(texts[0]):
                 part = batch.slice(at, rows)
-                values = fn(*(part.column(n + i).to_pylist() for i in range(k)))
+                values = fn(*(t.slice(at, rows).to_pylist() for t in texts))
                 arrays = [part.column(i) for i in range(n)]
                 arrays += [pa.array(v, type=f.type) for v, f in zip(values, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *names])
@@ -74,4 +85,5 @@ def with_text_columns(
     binary: bool = False,
 ) -> DataFrame:
     """``with_columns`` of one text column: ``bytes`` if ``binary``, None for null."""
-    return with_columns(df, task, fields, [F.col(f"`{text}`").cast("binary" if binary else "string")], keep)
+    named = binary and df.schema[text].dataType == T.StringType()
+    return with_columns(df, task, fields, [text if named else F.col(f"`{text}`").cast("binary" if binary else "string")], keep)

@@ -252,3 +252,20 @@ def test_bands_find_nearly_all_pairs():
         a, b = (np.concatenate([both, rng.integers(0, 1 << 63, 10, np.uint64)]) for _ in range(2))
         met += bool(np.any(paragraph_dedup.bands(a) == paragraph_dedup.bands(b)))
     assert met >= 299
+
+
+def test_rows_linked_with_nothing_all_stay(spark):
+    rows = [(1, None), (1, None), (None, None), (None, None), (2, ""), (2, ""), (3, " \n"), (3, " \n"), (4, "a b c"), (4, "a b c"), (5, "a b c")]
+    df = docs(spark, rows)
+    kept = ngram_join.without_near_copies(df.repartition(3))
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == sorted(rows[:8] + [(4, "a b c")], key=str)
+
+
+def test_a_set_that_many_tasks_have(spark):
+    """A class is sent by every task that has it, and counts once in a tile."""
+    rng = random.Random(8)
+    hot = [str(rng.randrange(1000)) for _ in range(60)]
+    rows = [(i, " ".join(hot)) for i in range(90)] + [(100 + i, " ".join([*hot[:59], f"x{i}"])) for i in range(30)]
+    rows += [(200 + i, " ".join(str(rng.randrange(1000)) for _ in range(40))) for i in range(20)]
+    got = ngram_join.find_groups(docs(spark, rows).repartition(23)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(near_groups(rows))
