@@ -10,7 +10,7 @@ from signalspark.plans import views
 from signalspark.plans.q_fleet import STATUS, parts_o
 from signalspark.plans.registry import Family
 from signalspark.plans.sqlviews import with_views
-from signalspark.streaming import jobs
+from signalspark.streaming import jobs, stateful
 
 FAMILY = Family()
 q = FAMILY.query
@@ -19,6 +19,8 @@ q = FAMILY.query
 SLICES = 4
 DELAY_S = 8 * 86400
 DELAY = f"{DELAY_S} seconds"
+#: No id is silent for longer than the data lasts.
+SILENCE_MS = 90 * 86400 * 1000
 FILES = 4
 LANDED = ("session_id", "arb_id", "t_mono", "row_seq", "data", "direction", "is_extended")
 
@@ -51,6 +53,14 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return jobs.frame_stream(spark, _land(views.frames_e(spark, sf), name))
 
 
+def _marker(spark: SparkSession, landed: str) -> DataFrame:
+    """A frame a year behind all others, which lets the watermark pass them."""
+    return spark.read.schema(jobs.FRAME_STREAM).parquet(landed).agg(F.max("t_mono").alias("t")).select(
+        F.lit("flush").alias("session_id"), F.lit(0).cast("long").alias("arb_id"), (F.col("t") + 366 * 86400.0).alias("t_mono"),
+        F.lit(-1).cast("long").alias("row_seq"), F.unhex(F.lit("00")).alias("data"), F.lit("rx").alias("direction"), F.lit(False).alias("is_extended"),
+    )
+
+
 def _checkpoint(spark: SparkSession, name: str) -> str:
     return fresh_path(spark, f"{name}-checkpoint")
 
@@ -89,20 +99,49 @@ def rolling_census(spark: SparkSession, sf: str) -> DataFrame:
 @q("n04_payload_tracking", with_views("""
 , x AS (SELECT *, FIRST_VALUE(p) OVER w AS p0, FIRST_VALUE(hx) OVER w AS h0, LAST_VALUE(hx) OVER w AS hl FROM fe WHERE direction='rx' WINDOW w AS (PARTITION BY session_id, arb_id ORDER BY t, rn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 c AS (SELECT session_id, arb_id, string_agg(pos, ',' ORDER BY pos) AS ch FROM (SELECT DISTINCT session_id, arb_id, i AS pos FROM x, range(0,4) r(i) WHERE p[i+1]<>p0[i+1]) GROUP BY ALL)
-SELECT session_id, arb_id, COUNT(*) AS n, ANY_VALUE(h0) AS first_hex, ANY_VALUE(hl) AS last_hex, COALESCE(ANY_VALUE(ch),'') AS changing_bytes FROM x LEFT JOIN c USING (session_id, arb_id) GROUP BY ALL""", "fe"))
+SELECT session_id, arb_id, COUNT(*) AS n, ANY_VALUE(h0) AS first_hex, ANY_VALUE(hl) AS last_hex, COALESCE(ANY_VALUE(ch),'') AS changing_bytes, TRUE AS silent FROM x LEFT JOIN c USING (session_id, arb_id) GROUP BY ALL""", "fe"))
 def payload_tracking(spark: SparkSession, sf: str) -> DataFrame:
-    t = jobs.track_payloads(_stream(spark, sf, "n04"))
-    return jobs.latest_updates(t, ["session_id", "arb_id"], _checkpoint(spark, "n04"))
+    """Every id falls silent behind a marker a year later: its last row comes from its timer."""
+    landed, checkpoint, out = _land(views.frames_e(spark, sf), "n04"), _checkpoint(spark, "n04"), fresh_path(spark, "n04-tracks")
+
+    def run() -> DataFrame:
+        tracks = stateful.track_payloads(jobs.frame_stream(spark, landed, 2 * FILES), DELAY, SILENCE_MS)
+        with stateful.rocksdb_state(spark):
+            return jobs.latest_updates(tracks, ["session_id", "arb_id"], checkpoint, out)
+
+    run()
+    _drop(_marker(spark, landed), landed)
+    return run().filter("session_id <> 'flush'")
 
 
 @q("n05_session_completeness", with_views(STATUS + """
-, np AS (SELECT session_id, COUNT(*) AS parts FROM scan GROUP BY ALL)
+, np AS (SELECT session_id, COUNT(DISTINCT folder) AS parts FROM scan GROUP BY ALL)
 SELECT session_id, np.parts, CASE WHEN complete THEN 'merged' ELSE 'awaiting' END AS status, CASE WHEN roles='edge' THEN 'companion' WHEN roles='companion' THEN 'edge' ELSE '' END AS missing FROM stt JOIN np USING (session_id)""", "scan"))
 def session_completeness(spark: SparkSession, sf: str) -> DataFrame:
-    path = fresh_path(spark, "n05")
-    scan_parts(parts_o(spark, sf)).select("session_id", "role", "part_seq").repartitionByRange(FILES, "part_seq").write.parquet(path)
-    parts = spark.readStream.schema("session_id STRING, role STRING").option("maxFilesPerTrigger", 1).parquet(path)
-    return jobs.latest_updates(jobs.session_completeness(parts), ["session_id"], _checkpoint(spark, "n05"))
+    """Parts arrive a second of ``part_seq`` apart, from a day behind the first watermark on; who still waits behind the marker is told by a timer."""
+    path, checkpoint, out = fresh_path(spark, "n05"), _checkpoint(spark, "n05"), fresh_path(spark, "n05-status")
+    scanned = scan_parts(parts_o(spark, sf)).select("session_id", "folder", "role", F.timestamp_seconds(F.col("part_seq") + 86400).alias("ts"))
+    scanned = cut_lineage(scanned, "n05-parts")
+    low, high = scanned.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    step = max(1, -(-(high - low + 1) // SLICES)) if low is not None else 1
+
+    def land(rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(path)
+
+    def run() -> DataFrame:
+        parts = spark.readStream.schema(scanned.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        status = stateful.session_completeness(parts, f"{step + 1} seconds", wait_ms=1000 * step, keep_ms=1000 * SLICES * step)
+        with stateful.rocksdb_state(spark):
+            return jobs.latest_updates(status, ["session_id"], checkpoint, out)
+
+    # the file source takes files by modification time, which ascends from one write to the next
+    for i in range(SLICES):
+        land(scanned.filter(F.floor((F.unix_seconds("ts") - F.lit(low)) / step) == i))
+    run()
+    land(scanned.agg(F.max("ts").alias("ts")).select(
+        F.lit("flush").alias("session_id"), F.lit("flush").alias("folder"), F.lit("edge").alias("role"), (F.col("ts") + F.expr("INTERVAL 100 YEARS")).alias("ts")
+    ))
+    return run().filter("session_id <> 'flush'")
 
 
 @q("n06_recordings_by_gap", with_views("""
@@ -114,11 +153,7 @@ def recordings_by_gap(spark: SparkSession, sf: str) -> DataFrame:
     landed, checkpoint, out = _land(f, "n06"), _checkpoint(spark, "n06"), fresh_path(spark, "n06-recordings")
     run = lambda: jobs.recordings_by_gap(jobs.frame_stream(spark, landed), DELAY, "1 hour")
     jobs.appended(run(), checkpoint, out)
-    end = spark.read.schema(jobs.FRAME_STREAM).parquet(landed).agg(F.max("t_mono").alias("t")).select(
-        F.lit("flush").alias("session_id"), F.lit(0).cast("long").alias("arb_id"), (F.col("t") + 366 * 86400.0).alias("t_mono"),
-        F.lit(-1).cast("long").alias("row_seq"), F.unhex(F.lit("00")).alias("data"), F.lit("rx").alias("direction"), F.lit(False).alias("is_extended"),
-    )
-    _drop(end, landed)
+    _drop(_marker(spark, landed), landed)
     return jobs.appended(run(), checkpoint, out).filter("session_id <> 'flush'")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from signalspark.context import fresh_path
 from signalspark.operators.frames import message_census
-from signalspark.streaming import jobs
+from signalspark.streaming import jobs, stateful
 
 LANDED = "session_id string, arb_id long, t_mono double, row_seq long, data binary, direction string, is_extended boolean"
 
@@ -92,15 +92,73 @@ def test_late_windows_are_repaired(spark, land):
     assert got.agg(F.sum("late_frames")).first()[0] == missed > 0
 
 
-def test_tracking_and_completeness_state(spark, land, tmp_path):
-    rows = _rows()
-    t = jobs.latest_updates(jobs.track_payloads(jobs.frame_stream(spark, land(rows))), ["session_id", "arb_id"], fresh_path(spark, "c"))
-    got = {(r.session_id, r.arb_id): r for r in t.collect()}
-    for key in {(r[0], r[1]) for r in rows}:
-        own = [r[4] for r in rows if (r[0], r[1]) == key]
-        assert (got[key].n, got[key].first_hex, got[key].last_hex) == (len(own), own[0].hex(), own[-1].hex())
-    for k, part in enumerate([[("a", "edge"), ("b", "edge")], [("a", "companion"), ("a", "edge")]]):
-        spark.createDataFrame(part, "session_id string, role string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/parts")
-    parts = spark.readStream.schema("session_id string, role string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/parts")
-    status = jobs.latest_updates(jobs.session_completeness(parts), ["session_id"], fresh_path(spark, "c"))
-    assert {tuple(r) for r in status.collect()} == {("a", 3, "merged", ""), ("b", 1, "awaiting", "companion")}
+def _run(spark, make, keys, checkpoint, out):
+    """The last rows of a stateful job, and how many keys its state still holds."""
+    with stateful.rocksdb_state(spark):
+        got = jobs.latest_updates(make(), keys, checkpoint, out)
+        state = spark.read.format("statestore").option("path", checkpoint)
+    return got, state
+
+
+def test_tracked_ids_fall_silent_and_come_back(spark, land):
+    rows = _rows(300)
+    checkpoint, out = fresh_path(spark, "c"), fresh_path(spark, "o")
+    for k in range(3):
+        path = land(rows[k * 100 : (k + 1) * 100], files=1)
+    make = lambda: stateful.track_payloads(jobs.frame_stream(spark, path), "20 minutes", 3_600_000)
+    keys = ["session_id", "arb_id"]
+    got, state = _run(spark, make, keys, checkpoint, out)
+    own = {}
+    for r in rows:
+        own.setdefault((r[0], r[1]), []).append(r[4])
+
+    def changing(data):
+        low = [d[i] for d in data for i in range(len(d)) if i < len(data[0])]
+        assert low
+        return ",".join(str(i) for i in range(len(data[0])) if len({d[i] for d in data if i < len(d)}) > 1)
+
+    seen = {(r.session_id, r.arb_id): (r.n, r.first_hex, r.last_hex, r.changing_bytes, r.silent) for r in got.collect()}
+    assert seen == {k: (len(d), d[0].hex(), d[-1].hex(), changing(d), False) for k, d in own.items()}
+    assert state.option("stateVarName", "facts").load().count() == len(own)
+    # one id goes on two hours later; the others are then silent and forgotten, and it starts anew
+    again = [("s0", 100, 2100.0 + 7200 + i, 1000 + i, bytes([i, 1]), "rx", False) for i in range(3)]
+    land(again[:1], files=1)
+    land(again[1:], files=1)
+    got, state = _run(spark, make, keys, checkpoint, out)
+    seen = {(r.session_id, r.arb_id): r for r in got.collect()}
+    assert {k for k, r in seen.items() if r.silent} == set(own) - {("s0", 100)}
+    assert all(seen[k].n == len(own[k]) for k in set(own) - {("s0", 100)})
+    assert [(r.key.session_id, r.key.arb_id) for r in state.option("stateVarName", "facts").load().collect()] == [("s0", 100)]
+
+
+def test_incomplete_sessions_are_told_by_a_timer_and_forgotten(spark, tmp_path):
+    checkpoint, out, path = fresh_path(spark, "c"), fresh_path(spark, "o"), f"{tmp_path}/parts"
+
+    def land(*rows):
+        df = spark.createDataFrame(list(rows), "session_id string, folder string, role string, t double")
+        df.select("session_id", "folder", "role", F.timestamp_seconds("t").alias("ts")).coalesce(1).write.mode("append").parquet(path)
+
+    def make():
+        parts = spark.readStream.schema("session_id string, folder string, role string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+        return stateful.session_completeness(parts, "1 second", wait_ms=60_000, keep_ms=600_000)
+
+    def run():
+        got, state = _run(spark, make, ["session_id"], checkpoint, out)
+        return {tuple(r) for r in got.collect()}, {r.key.session_id for r in state.option("stateVarName", "seen").load().collect()}
+
+    land(("a", "a1", "edge", 1.0), ("b", "b1", "edge", 2.0), ("c", "c1", "companion", 3.0))
+    land(("a", "a2", "companion", 10.0), ("a", "a1", "edge", 10.0))
+    assert run() == ({("a", 2, "merged", "")}, {"a", "b", "c"})
+    # the timers of all three run out: b and c are told, a is done and goes
+    land(("x", "x1", "edge", 100.0))
+    assert run() == ({("a", 2, "merged", ""), ("b", 1, "awaiting", "companion"), ("c", 1, "awaiting", "edge")}, {"b", "c", "x"})
+    # a part that is late, but in time, completes c
+    land(("c", "c2", "edge", 200.0))
+    told = {("a", 2, "merged", ""), ("b", 1, "awaiting", "companion"), ("c", 2, "merged", "")}
+    rows, state = run()
+    assert rows - {("x", 1, "awaiting", "companion")} == told and {"b", "c"} <= state
+    # later still, b is forgotten too
+    land(("y", "y1", "edge", 5000.0))
+    land(("y", "y1", "edge", 9000.0))
+    rows, state = run()
+    assert told <= rows and state == {"y"}
