@@ -8,6 +8,8 @@ return the columns of ``documents``, in their order.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from signalspark.llm import bpe, decontaminate, exact_dedup, langid, ngram_join
@@ -15,8 +17,22 @@ from signalspark.llm.tables import store
 
 #: Least posterior probability of a document's language.
 SURE = 0.5
+#: Bytes of rows that Spark sends to a Python worker at once; texts may be long.
+BATCH = "8m"
+
+
+def bounded(stage):
+    """The stage with small batches for Python; rows and results are the same."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@bounded
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters, without text, or of no clear language.
 
@@ -33,16 +49,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return x.filter(ok).select(*names).toDF(*columns)
 
 
+@bounded
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal up to white space, keep the row with the smallest doc_id."""
     return exact_dedup.without_copies(docs)
 
 
+@bounded
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 on five-word shingles, keep the one with the smallest doc_id."""
     return ngram_join.without_near_copies(docs)
 
 
+@bounded
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with ten or more words in a row of a benchmark item (all words of a shorter one)."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -51,6 +70,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return x.filter("not contaminated").select(*names).toDF(*docs.columns)
 
 
+@bounded
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, number of tokens, hashes of the ids and of the bytes they decode to, and the ids."""
     return bpe.encode_documents(docs, keep=["doc_id"], with_ids=True)

@@ -482,7 +482,7 @@ def link_classes(
         # tiles where pairs stood behind the best one of their two labels
         again = tested.filter("held").select("token").distinct()
         if not again.isEmpty():
-            rest, rest_path = still_open(labelled(left.join(again, "token", "left_semi"), labels))
+            rest, rest_path = still_open(labelled(attach(left, again, ["token"], "cls", how="left_semi"), labels))
             more = close_pairs(tiles(rest, maps, percent), percent, best=False).join(tested.select("src", "dst"), ["src", "dst"], "left_anti")
             more, more_path = store(more, "more")
             if not more.isEmpty():

@@ -72,6 +72,7 @@ def with_columns(
                 arrays = [part.column(i) for i in range(n)]
                 arrays += [pa.array(v, type=f.type) for v, f in zip(values, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *names])
+        pa.default_memory_pool().release_unused()  # an idle worker outlives its task
 
     return df.select(*cols).mapInArrow(run, out)
 
