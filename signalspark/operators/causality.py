@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from signalspark.functions.payload import all_fields, word_count
 from signalspark.operators import scoring
 from signalspark.operators import tseries as ts
+from signalspark.operators.align import on_companion_clock
 from signalspark.operators.fields import payload_bytes_of
 from signalspark.operators.frames import KEY, attach
 
@@ -14,9 +15,16 @@ MIN_GRID = 16
 
 
 def causality_lead(
-    cause: DataFrame, effect: DataFrame, pair: list[str], hz: float = 20.0, max_lead_s: float = 1.5, max_gap: float = 1.0
+    cause: DataFrame, effect: DataFrame, pair: list[str], hz: float = 20.0, max_lead_s: float = 1.5, max_gap: float = 1.0,
+    alignment: DataFrame | None = None,
 ) -> DataFrame:
-    """Seconds by which ``cause`` leads ``effect``; (0, 0) when they barely overlap."""
+    """Seconds by which ``cause`` leads ``effect``; (0, 0) when they barely overlap.
+
+    Given ``alignment`` (session_id, delta), both have a column ``clock``, and
+    samples on the edge clock are moved to the companion's first.
+    """
+    if alignment is not None:
+        cause, effect = (on_companion_clock(x, alignment).select(*pair, "t", "v") for x in (cause, effect))
     both = ts.spans(cause, pair).unionByName(ts.spans(effect, pair))
     grid = ts.common_grid(both, pair, hz).filter(F.col("n_grid") >= MIN_GRID)
     c = ts.resample(cause, grid, pair, pair, hz, max_gap)
@@ -38,14 +46,21 @@ def command_candidates(
     min_r: float = 0.6,
     top_k: int = 3,
     payload_bytes: int | None = None,
+    alignment: DataFrame | None = None,
 ) -> DataFrame:
     """Candidates that lead an effect, the strongest ``top_k`` per effect.
 
     Every (id, effect) pair has its own grid.  An effect moved by a lag is a
     reference of its own, so all lags of all candidates of an id come out of the
-    same matrix products as plain matching.
+    same matrix products as plain matching; it is moved inside the task.  Given
+    ``alignment`` (session_id, delta), frames are moved from the edge clock to the
+    companion's, on which the effects are.
     """
     k = round(max_lead_s * hz)
+    if alignment is not None:
+        moved = attach(history, alignment.select("session_id", "delta"), ["session_id"], "t_mono", how="left")
+        at = [c for c in ("t_mono", "t_mono_p1", "t_mono_p2") if c in history.columns]
+        history = moved.withColumns({c: F.col(c) + F.coalesce("delta", F.lit(0.0)) for c in at}).drop("delta")
     ids = history.groupBy(*KEY).agg(F.min("t_mono").alias("c0"), F.max("t_mono").alias("c1"))
     eff = effects.groupBy("session_id", "name").agg(
         F.min("t").alias("e0"), F.max("t").alias("e1"), F.min("v").alias("base")
@@ -92,16 +107,12 @@ def command_candidates(
         ["session_id", "name"], "t",
     ).select(F.explode("groups").alias("group_id"), "t", "v")
     e = ts.resample(on_pair, pairs.select("group_id", "t0", "n_grid"), ["group_id"], ["group_id"], hz, max_gap)
-    moved = (
-        e.join(pairs.select("group_id", "base"), "group_id")
-        .withColumn("lag", F.explode(F.sequence(F.lit(-k), F.lit(k))))
-        .withColumn("gi", F.col("gi") - F.col("lag"))
-        .select(
-            "group_id", (F.col("lag") + k).cast("int").alias("ref_no"), "gi", run.alias("run"),
-            (F.col("v") - F.col("base")).alias("v"), F.lit(0.0).alias("slack"),
-        )
+    ends = [F.floor((F.col("gi") + d) / F.lit(scoring.RUN_POINTS)) for d in (-k, k)]
+    refs = e.join(pairs.select("group_id", "base"), "group_id").select(
+        "group_id", F.lit(0).alias("ref_no"), "gi", F.explode(F.sequence(*ends)).alias("run"),
+        (F.col("v") - F.col("base")).alias("v"), F.lit(0.0).alias("slack"),
     )
-    parts = scoring.pair_sums(left, moved, fields, words, 3, min_r, None)
+    parts = scoring.pair_sums(left, refs, fields, words, 3, min_r, None, lags=k)
     # below min_r no lag can be a result, so dropping those pairs early is exact
     scored = scoring.finish_pairs(parts, 3, min_r * 0.999)
     best = F.max_by(F.struct("ref_no", "r"), F.struct(F.round(F.abs("r"), 9), -F.col("ref_no")))

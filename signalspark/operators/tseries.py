@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from signalspark.functions import stats
@@ -16,6 +19,8 @@ from signalspark.operators.frames import attach
 from signalspark.operators.slices import with_next, with_previous
 
 ORDER = "_seq"
+#: Grid points of a run in which lags are searched.
+LAG_RUN = 4096
 
 
 def spans(series: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -92,16 +97,76 @@ def resample(
     return b.select(*keys, "gi", v.alias("v")).filter("v IS NOT NULL")
 
 
+def _lag_moments(s: np.ndarray, m: np.ndarray, y: np.ndarray, my: np.ndarray) -> list[np.ndarray]:
+    """n, means, squared deviations and co-deviation at every lag of one run.
+
+    ``s`` and ``m`` are values and presence on the run, ``y`` and ``my`` those of
+    the other series, longer at both ends by the largest lag; absent values are 0.
+    """
+    at = lambda x: sliding_window_view(x, len(s))
+    n, sum_s, sum_ss = at(my) @ m, at(my) @ s, at(my) @ (s * s)
+    sum_y, sum_sy, sum_yy = at(y) @ m, at(y) @ s, at(y * y) @ m
+    d = np.maximum(n, 1.0)
+    # what is left of equal values after rounding is no deviation
+    flat = lambda q, total: np.where(q > 1e-11 * total, q, 0.0)
+    return [
+        n, sum_s / d, sum_y / d, flat(sum_ss - sum_s * sum_s / d, sum_ss), flat(sum_yy - sum_y * sum_y / d, sum_yy), sum_sy - sum_s * sum_y / d,
+    ]
+
+
 def lag_scores(
     ref: DataFrame, sig: DataFrame, pair: Sequence[str], hz: float, max_lag_s: float
 ) -> DataFrame:
-    """Pearson r of every lag: ``sig(t)`` against ``ref(t + lag)``, both (pair, gi, v)."""
+    """Pearson r of every lag: ``sig(t)`` against ``ref(t + lag)``, both (pair, gi, v).
+
+    A task holds one run of ``LAG_RUN`` grid points of a pair, and of the reference
+    as many more at both ends as the largest lag has; all lags of a run come out of
+    six masked products.  So a row is sent once, or twice near a border, whatever
+    the number of lags.  Runs give moments, whose merge needs no large sums.
+    """
     k = round(max_lag_s * hz)
-    moved = sig.select(
-        *pair, F.col("v").alias("sv"), "gi", F.explode(F.sequence(F.lit(-k), F.lit(k))).alias("k")
-    ).withColumn("gi", F.col("gi") + F.col("k"))
-    j = moved.join(ref.select(*pair, "gi", F.col("v").alias("rv")), [*pair, "gi"])
-    return j.groupBy(*pair, "k").agg(stats.pearson(F.col("rv"), F.col("sv")).alias("r"), F.count(F.lit(1)).alias("n"))
+    run = max(LAG_RUN, 2 * k + 1)
+    names = ["k", "n", "ms", "my", "qs", "qy", "c"]
+    place = lambda gi: F.floor(gi / F.lit(run)).cast("long")
+    known = F.col("v").isNotNull()
+    left = sig.filter(known).select(*pair, place(F.col("gi")).alias("run"), "gi", F.col("v").cast("double").alias("v"))
+    halo = F.explode(F.sequence(place(F.col("gi") - k), place(F.col("gi") + k))).alias("run")
+    right = ref.filter(known).select(*pair, halo, "gi", F.col("v").cast("double").alias("v"))
+    right = right.toDF(*right.columns)  # both sides may come from one table
+
+    def score(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame(columns=[*pair, *names])
+        first = int(key[-1]) * run
+        s, m, y, my = np.zeros(run), np.zeros(run), np.zeros(run + 2 * k), np.zeros(run + 2 * k)
+        mid_s, mid_y = a["v"].mean(), b["v"].mean()
+        s[a["gi"] - first], m[a["gi"] - first] = a["v"] - mid_s, 1.0
+        y[b["gi"] - first + k], my[b["gi"] - first + k] = b["v"] - mid_y, 1.0
+        out = pd.DataFrame(dict(zip(names[1:], _lag_moments(s, m, y, my), strict=True)))
+        out["ms"] += mid_s
+        out["my"] += mid_y
+        out["k"] = np.arange(-k, k + 1)
+        for name, value in zip(pair, key, strict=False):
+            out[name] = value
+        return out.loc[out["n"] > 0, [*pair, *names]]
+
+    fields = ", ".join(f"{c} {sig.schema[c].dataType.simpleString()}" for c in pair)
+    key = [*pair, "run"]
+    parts = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(
+        score, f"{fields}, k int, n double, ms double, my double, qs double, qy double, c double"
+    )
+    w = Window.partitionBy(*pair, "k")
+    mean = lambda c: F.sum(F.col("n") * F.col(c)).over(w) / F.sum("n").over(w)
+    x = parts.withColumn("ds", F.col("ms") - mean("ms")).withColumn("dy", F.col("my") - mean("my"))
+    x = x.groupBy(*pair, "k").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.col("qs") + F.col("n") * F.col("ds") * F.col("ds")).alias("qs"),
+        F.sum(F.col("qy") + F.col("n") * F.col("dy") * F.col("dy")).alias("qy"),
+        F.sum(F.col("c") + F.col("n") * F.col("ds") * F.col("dy")).alias("c"),
+    )
+    spread = lambda q: F.sqrt(F.col(q) / F.col("n")) >= stats.STD_EPS
+    r = F.when((F.col("n") >= 3) & spread("qs") & spread("qy"), F.col("c") / F.sqrt(F.col("qs") * F.col("qy"))).otherwise(F.lit(0.0))
+    return x.select(*pair, "k", r.alias("r"), F.col("n").cast("long").alias("n"))
 
 
 def best_lag(ref: DataFrame, sig: DataFrame, pair: Sequence[str], hz: float, max_lag_s: float) -> DataFrame:

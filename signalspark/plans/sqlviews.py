@@ -54,8 +54,8 @@ SELECT *, [b0,b1,b2,b3,b4,b5,b6,b7] AS p,
 FROM (SELECT *, (b0+b1+b2+b3+b4+b5+b6)%256 AS b7 FROM fl_b)""", "fl_b")
 
 cte("refs_l", """
-SELECT session_id, 'ref_' || arb_id AS name, t + CAST(-0.7 AS DOUBLE) AS t, raw*CAST(0.01 AS DOUBLE) AS v
-FROM fl WHERE (rn-1)%5=0""", "fl")
+SELECT session_id, 'ref_' || arb_id AS name, MIN(t) + CAST(-0.7 AS DOUBLE) AS t, AVG(raw)*CAST(0.01 AS DOUBLE) AS v
+FROM fl GROUP BY session_id, arb_id, (rn-1)//5""", "fl")
 
 cte("fmux", """
 SELECT CAST(l_suppkey % 5 AS VARCHAR) AS session_id, 256+l_suppkey AS arb_id, rn,
@@ -99,11 +99,10 @@ SELECT session_id, event_id, t, ['energy','mileage','speed','model','fuel'][CAST
   ['success','unavailable','unimplemented','error'][CAST((event_id//5)%4+1 AS INT)] AS status,
   k::DOUBLE AS soc, event_id::DOUBLE AS odometer_m, (k+1)::DOUBLE AS speed_ms FROM sens""", "sens")
 
-cte("espd", """
-SELECT session_id, t, raw*CAST(0.01 AS DOUBLE) AS v FROM fl WHERE (rn-1)%5=0 AND arb_id<261 AND (rn-1)%50<>0""", "fl")
+cte("motl", "SELECT session_id, (rn-1)//5 AS step, MIN(t) AS t, AVG(raw)*CAST(0.01 AS DOUBLE) AS v FROM fl GROUP BY session_id, (rn-1)//5", "fl")
+cte("espd", "SELECT session_id, t, v FROM motl WHERE step%10<>0", "motl")
 cte("gspd", """
-SELECT session_id, t+CAST(-0.7 AS DOUBLE) AS t, CASE WHEN (rn-1)%100=0 THEN NULL ELSE raw*CAST(0.01 AS DOUBLE)/CAST(3.6 AS DOUBLE)*CAST(3.6 AS DOUBLE) END AS v
-FROM fl WHERE (rn-1)%5=0 AND arb_id<261""", "fl")
+SELECT session_id, t+CAST(-0.7 AS DOUBLE) AS t, CASE WHEN step%20=0 THEN NULL ELSE v/CAST(3.6 AS DOUBLE)*CAST(3.6 AS DOUBLE) END AS v FROM motl""", "motl")
 cte("prior_n", """
 SELECT session_id, COALESCE(MAX_BY(o, pos) FILTER (role='companion'),0) - COALESCE(MAX_BY(o, pos) FILTER (role='edge'),0) AS prior FROM (
  SELECT CAST(n_nationkey%5 AS VARCHAR) AS session_id, n_nationkey AS pos, CASE WHEN n_nationkey%2=0 THEN 'edge' ELSE 'companion' END AS role, (n_nationkey%3)*CAST(0.1 AS DOUBLE) AS o FROM nation) GROUP BY 1""")

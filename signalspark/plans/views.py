@@ -93,19 +93,17 @@ def _frames(spark: SparkSession, sf: str, frames: DataFrame | None) -> DataFrame
 
 
 def refs_l(spark: SparkSession, sf: str, frames: DataFrame | None = None) -> DataFrame:
-    """One 10 Hz reference per id of ``frames_l``, on the companion clock."""
-    return (
-        _frames(spark, sf, frames)
-        .filter((F.col("row_seq") - 1) % 5 == 0)
-        .select(
-            "session_id",
-            F.concat(F.lit("ref_"), F.col("arb_id")).alias("name"),
-            (F.col("t_utc") + CLOCK_SHIFT).alias("t"),
-            (F.col("raw") * 0.01).alias("v"),
-            F.lit("").alias("unit"),
-            F.lit("continuous").alias("kind"),
-            F.lit("companion").alias("clock"),
-        )
+    """One 10 Hz reference per id of ``frames_l``, the mean of every five frames, on the companion clock."""
+    step = F.floor((F.col("row_seq") - 1) / 5)
+    x = _frames(spark, sf, frames).groupBy("session_id", "arb_id", step.alias("step"))
+    return x.agg(F.min("t_utc").alias("t"), F.avg("raw").alias("raw")).select(
+        "session_id",
+        F.concat(F.lit("ref_"), F.col("arb_id")).alias("name"),
+        (F.col("t") + CLOCK_SHIFT).alias("t"),
+        (F.col("raw") * 0.01).alias("v"),
+        F.lit("").alias("unit"),
+        F.lit("continuous").alias("kind"),
+        F.lit("companion").alias("clock"),
     )
 
 
@@ -241,21 +239,26 @@ def car_hw_e(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _motion_l(spark: SparkSession, sf: str, frames: DataFrame | None) -> DataFrame:
+    """A session's speed at 10 Hz: the mean of all its ids' frames of a step."""
+    step = F.floor((F.col("row_seq") - 1) / 5)
+    x = _frames(spark, sf, frames).groupBy("session_id", step.alias("step"))
+    return x.agg(F.min("t_utc").alias("t"), (F.avg("raw") * 0.01).alias("v"))
+
+
 def edge_speed_l(spark: SparkSession, sf: str, frames: DataFrame | None = None) -> DataFrame:
-    """Vehicle-speed samples of the lowest id of each session (edge clock)."""
-    f = _frames(spark, sf, frames).filter("(row_seq - 1) % 5 = 0")
-    return f.filter(F.col("arb_id") < 261).select(
-        "session_id", F.lit("vehicle_speed").alias("name"), F.col("t_utc").alias("t"),
-        F.expr("CASE WHEN (row_seq - 1) % 50 = 0 THEN 'n/a' ELSE CAST(raw * 0.01D AS STRING) END").alias("value"),
+    """Vehicle-speed samples of each session (edge clock), some without a number."""
+    return _motion_l(spark, sf, frames).select(
+        "session_id", F.lit("vehicle_speed").alias("name"), "t",
+        F.expr("CASE WHEN step % 10 = 0 THEN 'n/a' ELSE CAST(v AS STRING) END").alias("value"),
     )
 
 
 def location_l(spark: SparkSession, sf: str, frames: DataFrame | None = None) -> DataFrame:
     """GPS speed of the same motion (companion clock), unknown on some rows."""
-    f = _frames(spark, sf, frames).filter("(row_seq - 1) % 5 = 0")
-    return f.filter(F.col("arb_id") < 261).select(
-        "session_id", (F.col("t_utc") + CLOCK_SHIFT).alias("t"),
-        F.expr("CASE WHEN (row_seq - 1) % 100 = 0 THEN -1.0D ELSE raw * 0.01D / 3.6D END").alias("speed"),
+    return _motion_l(spark, sf, frames).select(
+        "session_id", (F.col("t") + CLOCK_SHIFT).alias("t"),
+        F.expr("CASE WHEN step % 20 = 0 THEN -1.0D ELSE v / 3.6D END").alias("speed"),
     )
 
 

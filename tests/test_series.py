@@ -4,14 +4,17 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import frames
 from signalspark.functions import stats
 from signalspark.operators import align as al
+from signalspark.operators import causality as ca
 from signalspark.operators import clusters as cl
 from signalspark.operators import fields as fd
 from signalspark.operators import identify as idn
+from signalspark.operators import scoring
 from signalspark.operators import tseries as ts
 from signalspark.operators.warping import warp_similarity
 
@@ -64,6 +67,55 @@ def test_best_lag_sign(spark):
     assert b.lag == -0.7 and b.r > 0.999
 
 
+def plain_lags(ref, sig, k):
+    """{lag: (r, n)} of two {grid index: value} series, pair by pair."""
+    out = {}
+    for lag in range(-k, k + 1):
+        both = [(v, ref[i + lag]) for i, v in sig.items() if i + lag in ref]
+        if not both:
+            continue
+        x, y = np.array(both).T
+        flat = len(both) < 3 or x.std() < 1e-12 or y.std() < 1e-12
+        out[lag] = (0.0 if flat else float(np.corrcoef(x, y)[0, 1]), len(both))
+    return out
+
+
+@pytest.mark.parametrize("run", [4096, 25])
+def test_lags_of_gappy_series_across_runs(spark, monkeypatch, run):
+    monkeypatch.setattr(ts, "LAG_RUN", run)
+    rng = random.Random(run)
+    sides, want = ([], []), {}
+    for name, base in (("plain", 0.0), ("far", 1e6), ("still", 7.0), ("apart", 0.0)):
+        walk = np.cumsum([rng.gauss(0, 1) for _ in range(260)])
+        at = lambda i: 0.0 if name == "still" and i < 200 else walk[i]  # noqa: B023, E731
+        sig = {i: float(base + at(i)) for i in range(240) if rng.random() < 0.8 and not 90 < i < 110}
+        ref = {i + 4: float(3 * base + 2 * at(i) + rng.gauss(0, 0.1)) for i in range(240) if rng.random() < 0.7}
+        if name == "apart":
+            ref = {i + 1000: v for i, v in ref.items()}
+        want[name] = plain_lags(ref, sig, 9)
+        for side, x in zip(sides, (ref, sig), strict=True):
+            side += [(name, i, v) for i, v in x.items()] + [(name, 5000, None)]
+    ref, sig = (spark.createDataFrame(x, "session_id string, gi long, v double") for x in sides)
+    got = ts.lag_scores(ref, sig, ["session_id"], 1.0, 9.0).collect()
+    for name, lags in want.items():
+        mine = {r.k: (r.r, r.n) for r in got if r.session_id == name}
+        assert {k: n for k, (_, n) in mine.items()} == {k: n for k, (_, n) in lags.items()}
+        assert all(abs(mine[k][0] - r) < 1e-9 for k, (r, _) in lags.items())
+    best = {r.session_id: r.lag for r in ts.best_lag(ref, sig, ["session_id"], 1.0, 9.0).collect()}
+    assert best["plain"] == best["far"] == 4.0 and "apart" not in best
+
+
+def test_causes_lead_across_clocks(spark):
+    rng = np.random.default_rng(5)
+    v = np.cumsum(rng.normal(size=600))
+    cause = spark.createDataFrame([("s", i * 0.05, float(x)) for i, x in enumerate(v)], S).withColumn("clock", F.lit("edge"))
+    effect = cause.select("session_id", (F.col("t") + 100.0 + 0.3).alias("t"), "v", F.lit("companion").alias("clock"))
+    delta = spark.createDataFrame([("s", 100.0)], "session_id string, delta double")
+    got = ca.causality_lead(cause, effect, ["session_id"], alignment=delta).first()
+    assert abs(got.lead_s - 0.3) < 1e-9 and got.r > 0.999
+    assert tuple(ca.causality_lead(cause, effect, ["session_id"]).first()) == ("s", 0.0, 0.0)
+
+
 def test_mutual_information_matches_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=400)
@@ -114,7 +166,7 @@ def test_marker_alignment(spark):
     assert abs(a.delta - 0.3) < 0.05 and a.confidence > 0.9
 
 
-def test_identify_finds_planted_field_and_partitions_do_not_matter(spark):
+def test_identify_finds_planted_field_and_partitions_do_not_matter(spark, monkeypatch):
     rng = random.Random(11)
     payloads, raws = [], []
     for i in range(2000):
@@ -125,14 +177,14 @@ def test_identify_finds_planted_field_and_partitions_do_not_matter(spark):
         frames(spark, [[rng.randrange(256) for _ in range(8)] for _ in range(2000)], arb_id=0x100)
     )
     refs = spark.createDataFrame(
-        [("s", "gps_speed", i * 0.02 - 0.7, raws[i] * 0.01) for i in range(0, 2000, 5)],
+        [("s", n, i * 0.02 - 0.7, f(raws[i] * 0.01)) for n, f in (("gps_speed", float), ("odd", math.sqrt)) for i in range(0, 2000, 5)],
         "session_id string, name string, t double, v double",
     ).withColumn("clock", F.lit("companion"))
     delta = spark.createDataFrame([("s", -0.7)], "session_id string, delta double")
 
     def run():
         m = idn.Matching(fd.frame_history(bus), refs, delta)
-        return m, [(r.label, round(r.r, 9), round(r.scale, 9)) for r in m.hypotheses().orderBy("rank").collect()]
+        return m, [(r.label, round(r.r, 9), round(r.scale, 9)) for r in m.hypotheses().filter("reference = 'gps_speed'").orderBy("rank").collect()]
 
     m, top = run()
     assert top[0][0] == "0x3C0[1:3]BEu" and top[0][1] > 0.9999 and abs(top[0][2] - 0.01) < 1e-4
@@ -142,10 +194,16 @@ def test_identify_finds_planted_field_and_partitions_do_not_matter(spark):
         assert run()[1] == top
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
-    pruned = {(r.arb_id, r.seq): r.r for r in m.scored(3).collect()}
-    full = {(r.arb_id, r.seq): r.r for r in m.scored().collect()}
-    best = sorted(full, key=lambda k: -abs(full[k]))[:3]
-    assert all(abs(pruned[k] - full[k]) < 1e-9 for k in best)
+    rows = lambda k: {(r.ref_no, r.arb_id, r.seq): (r.n, round(r.r, 9)) for r in m.scored(k).collect()}
+    pruned, full = rows(3), rows(None)
+    best = sorted(full, key=lambda k: -abs(full[k][1]))[:3]
+    assert all(pruned[k] == full[k] for k in best) and len(pruned) < len(full)
+    # runs, id blocks and reference blocks of any size give the same rows
+    for points, ids, per in ((50, 1, 1), (1 << 20, 99, 99)):
+        monkeypatch.setattr(scoring, "RUN_POINTS", points)
+        monkeypatch.setattr(scoring, "IDS", ids)
+        monkeypatch.setattr(scoring, "REFS", per)
+        assert rows(3) == pruned and rows(None) == full
 
 
 def test_cluster_blocks_do_not_grow(spark):
