@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from signalspark.functions import stats
 from signalspark.operators.frames import attach
@@ -134,27 +135,33 @@ def lag_scores(
     right = ref.filter(known).select(*pair, halo, "gi", F.col("v").cast("double").alias("v"))
     right = right.toDF(*right.columns)  # both sides may come from one table
 
-    def score(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=[*pair, *names])
-        first = int(key[-1]) * run
-        s, m, y, my = np.zeros(run), np.zeros(run), np.zeros(run + 2 * k), np.zeros(run + 2 * k)
-        mid_s, mid_y = a["v"].mean(), b["v"].mean()
-        s[a["gi"] - first], m[a["gi"] - first] = a["v"] - mid_s, 1.0
-        y[b["gi"] - first + k], my[b["gi"] - first + k] = b["v"] - mid_y, 1.0
-        out = pd.DataFrame(dict(zip(names[1:], _lag_moments(s, m, y, my), strict=True)))
-        out["ms"] += mid_s
-        out["my"] += mid_y
-        out["k"] = np.arange(-k, k + 1)
-        for name, value in zip(pair, key, strict=False):
-            out[name] = value
-        return out.loc[out["n"] > 0, [*pair, *names]]
-
-    fields = ", ".join(f"{c} {sig.schema[c].dataType.simpleString()}" for c in pair)
-    key = [*pair, "run"]
-    parts = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(
-        score, f"{fields}, k int, n double, ms double, my double, qs double, qy double, c double"
-    )
+    fields = [sig.schema[c] for c in pair]
+    numbers = ", ".join(["k int", *(f"{c} double" for c in names[1:])])
+    out = T.StructType(fields + T._parse_datatype_string(numbers).fields)
+    arrow = to_arrow_schema(out)
+
+    def score(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        gi, v = a["gi"].to_numpy(), a["v"].to_numpy()
+        at, w = b["gi"].to_numpy(), b["v"].to_numpy()
+        first = gi.min() if len(gi) else 0
+        size = int(gi.max() - first) + 1 if len(gi) else 0
+        near = (at >= first - k) & (at < first + size + k)
+        at, w = at[near], w[near]
+        if not size or not len(at):
+            return arrow.empty_table()
+        s, m, y, my = np.zeros(size), np.zeros(size), np.zeros(size + 2 * k), np.zeros(size + 2 * k)
+        mid_s, mid_y = v.mean(), w.mean()
+        s[gi - first], m[gi - first] = v - mid_s, 1.0
+        y[at - first + k], my[at - first + k] = w - mid_y, 1.0
+        n, ms, means_y, *rest = _lag_moments(s, m, y, my)
+        ok = np.flatnonzero(n > 0)
+        columns = [x[ok] for x in (np.arange(-k, k + 1, dtype=np.int32), n, ms + mid_s, means_y + mid_y, *rest)]
+        return pa.table([*(pa.repeat(x, len(ok)) for x in key[:-1]), *map(pa.array, columns)], schema=arrow)
+
+    # as many tasks as the session shuffles to, however few bytes the runs have
+    n, key = int(sig.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*pair, "run"]
+    sides = [x.repartition(n, *key).groupBy(*key) for x in (left, right)]
+    parts = sides[0].cogroup(sides[1]).applyInArrow(score, out)
     w = Window.partitionBy(*pair, "k")
     mean = lambda c: F.sum(F.col("n") * F.col(c)).over(w) / F.sum("n").over(w)
     x = parts.withColumn("ds", F.col("ms") - mean("ms")).withColumn("dy", F.col("my") - mean("my"))
