@@ -54,8 +54,7 @@ SELECT *, [b0,b1,b2,b3,b4,b5,b6,b7] AS p,
 FROM (SELECT *, (b0+b1+b2+b3+b4+b5+b6)%256 AS b7 FROM fl_b)""", "fl_b")
 
 cte("refs_l", """
-SELECT session_id, 'ref_' || arb_id AS name, MIN(t) + CAST(-0.7 AS DOUBLE) AS t, AVG(raw)*CAST(0.01 AS DOUBLE) AS v
-FROM fl GROUP BY session_id, arb_id, (rn-1)//5""", "fl")
+SELECT session_id, 'ref_' || arb_id AS name, t + CAST(-0.7 AS DOUBLE) AS t, raw*CAST(0.01 AS DOUBLE) AS v FROM fl""", "fl")
 
 cte("fmux", """
 SELECT CAST(l_suppkey % 5 AS VARCHAR) AS session_id, 256+l_suppkey AS arb_id, rn,

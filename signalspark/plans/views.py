@@ -93,13 +93,11 @@ def _frames(spark: SparkSession, sf: str, frames: DataFrame | None) -> DataFrame
 
 
 def refs_l(spark: SparkSession, sf: str, frames: DataFrame | None = None) -> DataFrame:
-    """One 10 Hz reference per id of ``frames_l``, the mean of every five frames, on the companion clock."""
-    step = F.floor((F.col("row_seq") - 1) / 5)
-    x = _frames(spark, sf, frames).groupBy("session_id", "arb_id", step.alias("step"))
-    return x.agg(F.min("t_utc").alias("t"), F.avg("raw").alias("raw")).select(
+    """One reference per id of ``frames_l``, a sample per frame, on the companion clock."""
+    return _frames(spark, sf, frames).select(
         "session_id",
         F.concat(F.lit("ref_"), F.col("arb_id")).alias("name"),
-        (F.col("t") + CLOCK_SHIFT).alias("t"),
+        (F.col("t_utc") + CLOCK_SHIFT).alias("t"),
         (F.col("raw") * 0.01).alias("v"),
         F.lit("").alias("unit"),
         F.lit("continuous").alias("kind"),
