@@ -206,21 +206,74 @@ def test_identify_finds_planted_field_and_partitions_do_not_matter(spark, monkey
         assert rows(3) == pruned and rows(None) == full
 
 
-def test_cluster_blocks_do_not_grow(spark):
-    from pyspark.sql import functions as F
-
-    x = spark.range(3000).select(
-        F.when(F.col("id") < 2960, "all").otherwise("small").alias("session_id"), F.format_string("s%05d", "id").alias("name"),
-        F.sequence(F.lit(0), F.lit(9)).alias("gi"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.sin(i * (1 + F.col("id") % 7))).alias("v"),
-        F.lit(10).alias("n_grid"),
+def _cluster_vectors(spark, seed=3):
+    """Two sessions: tight and loose groups, copies of one series, noise, constants and gaps."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for session, n in (("all", 260), ("small", 30)):
+        centres = rng.normal(size=(7, 24))
+        for i in range(n):
+            c, kind = centres[i % 7], i % 10
+            v = c * (-2.0 if i % 3 else 1.0) + rng.normal(size=24) * (0.2, 0.6, 0.45)[i % 3]
+            v = rng.normal(size=24) if kind == 7 else np.ones(24) if kind == 8 else centres[0] if kind < 3 else v
+            gi = np.sort(rng.permutation(24)[: 18 if kind == 5 else 24])
+            if i == 4:
+                gi = gi[:2]
+            if kind == 9:
+                gi = rng.permutation(24)
+            rows.append((session, f"s{i:04d}", gi.tolist(), v[gi].tolist(), 24))
+    return rows, spark.createDataFrame(rows, "session_id string, name string, gi array<int>, v array<double>, n_grid int")
+
+
+def _cluster_brute(rows, min_r):
+    label = {(r[0], r[1]): r[1] for r in rows}
+    full = {(r[0], r[1]): dict(zip(r[2], r[3])) for r in rows}
+    links = []
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] < b[1]:
+                x, y = full[a[0], a[1]], full[b[0], b[1]]
+                both = sorted(set(x) & set(y))
+                u, w = (np.array([d[k] for k in both]) for d in (x, y))
+                if len(both) >= 3 and u.std() > 1e-12 and w.std() > 1e-12 and abs(np.corrcoef(u, w)[0, 1]) >= min_r:
+                    links.append(((a[0], a[1]), (b[0], b[1])))
+    while True:
+        old = dict(label)
+        for p, q in links:
+            label[p] = label[q] = min(label[p], label[q])
+        if old == label:
+            return sorted((s, n, c) for (s, n), c in label.items())
+
+
+@pytest.mark.parametrize("min_r", [0.8, 0.95])
+def test_pruned_clusters_equal_brute_force(spark, min_r):
+    rows, x = _cluster_vectors(spark)
+    want = _cluster_brute(rows, min_r)
+    assert 10 < len({(s, c) for s, _, c in want}) < len(want) - 50
+    for block, pivots in ((16, 20), (10_000, 3), (10_000, 0)):
+        got = cl.connected_components(x.select("session_id", "name"), cl.correlation_edges(x, min_r, block, pivots))
+        assert sorted(map(tuple, got.select("session_id", "name", "label").collect())) == want
+
+
+def test_clusters_copy_few_vectors(spark):
+    """Copies and parts of tight clusters meet no block; noise meets in pairs of blocks of bounded size."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(10, 48))
+    v = [centres[0] if i % 3 == 0 else centres[i % 10] + 0.2 * rng.normal(size=48) for i in range(2000)]
+    v += [rng.normal(size=48) for _ in range(300)]
+    x = spark.createDataFrame(
+        [("all", f"s{i:05d}", list(range(48)), u.tolist(), 48) for i, u in enumerate(v)],
+        "session_id string, name string, gi array<int>, v array<double>, n_grid int",
     )
-    sizes = cl.dealt(x, 100).groupBy("session_id", "b1", "b2").count().collect()
-    assert max(r["count"] for r in sizes) < 300 and len(sizes) == 30 * 31 // 2 + 1
-    few = x.filter("pmod(hash(name), 20) = 0")
-    names = few.select("session_id", "name")
-    got = cl.connected_components(names, cl.correlation_edges(few, 0.99, block=10)).collect()
-    one = cl.connected_components(names, cl.correlation_edges(few, 0.99, block=10_000)).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, one)) and len({r.label for r in got}) < len(got)
+    table, cells = cl.placed(x, 0.8, 100)
+    kinds = {r.kind: r["count"] for r in table.groupBy("kind").count().collect()}
+    visitors = cl.visits(table, cells, 0.8)
+    sizes = cl.dealt(table, 100).unionByName(cl.met_in_cells(table, visitors, 100)).groupBy(*cl.GROUP).count().collect()
+    assert kinds["near"] >= 2000 and max(r["count"] for r in sizes) < 300
+    assert sum(r["count"] for r in sizes) < 2300 * 2300 / 100 / 4
+    one = cl.placed(x.withColumn("v", cl.F.expr("transform(v, e -> 1D)")), 0.8, 100)[0]
+    assert {r.kind for r in one.select("kind").distinct().collect()} == {"far"}
+    assert cl.correlation_edges(x.limit(0)).count() == 0
 
 
 def test_clusters(spark):
