@@ -89,34 +89,41 @@ def request_id(arb_id: Column, extended: Column) -> Column:
 
 
 def reassemble(frames: DataFrame, slice_s: float = 60.0) -> DataFrame:
-    """Multi-frame responses joined per responder.
+    """Responses of every responder, single frames and multi-frame messages.
 
     Only identifiers of responders are read: on a mixed bus the first byte of
-    other traffic means something else.  A message starts at a single or first frame; the running number of starts
-    tells which message a consecutive frame belongs to.  Frames past the
-    announced length are left out, which bounds a message to 4,095 bytes.
+    other traffic means something else.  A consecutive frame belongs to the last first frame of its
+    responder as long as that one misses bytes, whatever single frames come in between; a new first frame
+    gives up the open message.  Frames past the announced length are left
+    out, which bounds a message to 4,095 bytes and its last frame.
     """
     key = ["session_id", "arb_id"]
     kind = F.shiftright(decode_int(F.col("data"), 0, 1), 4)
     extended = F.coalesce("is_extended", F.lit(False)) if "is_extended" in frames.columns else F.col("arb_id") > 0x7FF
-    x = frames.filter(is_diag_response(F.col("arb_id"), extended)).select(*key, "t_mono", "row_seq", "data", kind.alias("kind")).filter("kind IN (0, 1, 2)")
-    by = F.floor(F.col("t_mono") / F.lit(float(slice_s)))
-    x = with_running_sum(
-        x, key, ["t_mono", "row_seq"], {"msg": F.when(F.col("kind") < 2, 1).otherwise(0), "frame_no": F.lit(1)}, by
+    x = frames.filter(is_diag_response(F.col("arb_id"), extended)).select(*key, "t_mono", "row_seq", "data", kind.alias("kind"))
+    single = x.filter("kind = 0").select(
+        *key, F.col("t_mono").alias("t"), decode_int(F.col("data"), 0, 1).bitwiseAND(15).alias("length"), F.expr("substring(data, 2)").alias("body")
+    )
+    parts = x.filter("kind = 1 OR (kind = 2 AND octet_length(data) > 1)").withColumn(
+        "body", F.expr("substring(data, CASE WHEN kind = 1 THEN 3 ELSE 2 END)")
+    )
+    own = F.octet_length("body").cast("long")
+    parts = with_running_sum(
+        parts, key, ["t_mono", "row_seq"], {"msg": F.when(F.col("kind") == 1, 1).otherwise(0), "frame_no": F.lit(1), "octets": own},
+        F.floor(F.col("t_mono") / F.lit(float(slice_s))),
     ).filter("msg > 0")
-    first = decode_int(F.col("data"), 0, 2)
-    length = F.when(F.col("kind") == 0, decode_int(F.col("data"), 0, 1).bitwiseAND(15)).otherwise(first.bitwiseAND(4095))
-    starts = x.filter("kind < 2").select(*key, "msg", F.col("frame_no").alias("start_no"), F.col("t_mono").alias("t"), length.alias("length"), F.col("kind").alias("start_kind"))
-    y = x.join(starts, [*key, "msg"])
-    at = F.col("frame_no") - F.col("start_no")
-    wanted = F.when(F.col("start_kind") == 0, at == 0).otherwise(at <= F.ceil((F.col("length") - 6) / 7))
-    chunk = F.expr("substring(hex(data), CASE WHEN kind = 1 THEN 5 ELSE 3 END)")
-    m = y.filter(wanted).groupBy(*key, "msg", "t", "length").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("frame_no", chunk.alias("c")))), lambda s: s["c"]), "").alias("hx")
+    before = F.col("octets") - own
+    starts = parts.filter("kind = 1").select(
+        *key, "msg", F.col("t_mono").alias("t"), decode_int(F.col("data"), 0, 2).bitwiseAND(4095).alias("length"), before.alias("start")
+    )
+    open_ = (F.col("kind") == 1) | (before - F.col("start") < F.col("length"))
+    chunk = F.struct("frame_no", F.hex("body").alias("c"))
+    joined = parts.join(starts, [*key, "msg"]).filter(open_).groupBy(*key, "msg", "t", "length").agg(
+        F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(chunk)), lambda s: s["c"]), "")).alias("body")
     )
-    whole = F.length("hx") >= F.col("length") * 2
-    return m.filter(whole & (F.col("length") > 0)).select(
-        *key, "t", F.col("length").cast("int").alias("length"), F.unhex(F.expr("substring(hx, 1, CAST(length * 2 AS INT))")).alias("pdu")
+    pdus = single.unionByName(joined.select(*single.columns))
+    return pdus.filter((F.octet_length("body") >= F.col("length")) & (F.col("length") > 0)).select(
+        *key, "t", F.col("length").cast("int").alias("length"), F.expr("substring(body, 1, CAST(length AS INT))").alias("pdu")
     )
 
 

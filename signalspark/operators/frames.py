@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from signalspark.context import cut_lineage
 from signalspark.functions.payload import ascii_preview, to_bytes
-from signalspark.operators.slices import with_previous, with_running_sum
+from signalspark.operators.slices import with_previous
 
 KEY = ["session_id", "arb_id"]
 SLICE_S = 60.0
@@ -49,30 +50,44 @@ def padded(frames: DataFrame) -> DataFrame:
     return wide.withColumn("data", F.expr("rpad(data, width, X'00')"))
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, slice_by: Column) -> DataFrame:
-    """Exact median per key from counts of distinct values.
+#: Buckets of a range per round, and distinct values that may be ranked at once.
+BUCKETS = 1024
+RANKED = 8192
 
-    Counts are combined before the shuffle, and ranks come from running sums
-    over value slices, so no task holds all values of a key.
-    """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = with_running_sum(counts, keys, [value], {"_cum": F.col("_n")}, slice_by)
-    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    r = ranked.join(total, list(keys))
 
-    def holds(rank: Column) -> Column:
-        return (F.col("_cum") - F.col("_n") < rank) & (rank <= F.col("_cum"))
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, ranked: int = RANKED) -> DataFrame:
+    """Exact median per key by narrowing down the range that holds its rank.
 
-    lo, hi = F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)
-    return (
-        r.filter(holds(lo) | holds(hi))
-        .groupBy(*keys)
-        .agg(
-            (
-                (F.max(F.when(holds(lo), F.col(value))) + F.max(F.when(holds(hi), F.col(value)))) / 2
-            ).alias("median")
-        )
+    Values are counted once, combined before the shuffle, and stored.  A round counts the buckets of a
+    key's range and goes on in the one that holds the rank, between the smallest and the largest value
+    found there; when at most ``ranked`` distinct values are left, they are
+    ranked.  So no task orders more values of a key than that, however close together they lie.
+    """
+    keys = list(keys)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut_lineage(counts, "values")
+    span = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_rows"), F.sum("_n").alias("_sum")]
+    state = counts.groupBy(*keys).agg(*span).select(
+        *keys, "_lo", "_hi", "_rows", F.floor((F.col("_sum") + 1) / 2).alias("_rank"), (F.col("_sum") % 2 == 0).alias("_even")
     )
+    state = cut_lineage(state, "ranges")
+
+    def inside(ranges: DataFrame) -> DataFrame:
+        return attach(counts, ranges, keys, "_v").filter("_v BETWEEN _lo AND _hi")
+
+    while not state.filter(F.col("_rows") > ranked).isEmpty():
+        wide = state.filter(F.col("_rows") > ranked)
+        part = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BUCKETS), F.lit(BUCKETS - 1))
+        buckets = inside(wide).groupBy(*keys, "_rank", "_even", part.alias("_b")).agg(*span)
+        upto = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_b"))
+        held = buckets.withColumn("_before", upto - F.col("_sum")).filter("_before < _rank AND _rank <= _before + _sum")
+        held = held.select(*keys, "_lo", "_hi", "_rows", (F.col("_rank") - F.col("_before")).alias("_rank"), "_even")
+        state = cut_lineage(state.filter(F.col("_rows") <= ranked).unionByName(held), "ranges")
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_v"))
+    low = inside(state).withColumn("_cum", upto).filter("_cum - _n < _rank AND _rank <= _cum")
+    low = cut_lineage(low.select(*keys, F.col("_v").alias("_low"), (F.col("_even") & (F.col("_cum") == F.col("_rank"))).alias("_two")), "lower")
+    after = attach(counts, low.filter("_two"), keys, "_v").filter("_v > _low").groupBy(*keys).agg(F.min("_v").alias("_up"))
+    return low.join(after, keys, "left").select(*keys, ((F.col("_low") + F.coalesce("_up", "_low")) / 2).alias("median"))
 
 
 def frame_gaps(frames: DataFrame, slice_s: float = SLICE_S) -> DataFrame:
@@ -90,9 +105,7 @@ def frame_gaps(frames: DataFrame, slice_s: float = SLICE_S) -> DataFrame:
 def period_estimate(frames: DataFrame, slice_s: float = SLICE_S) -> DataFrame:
     """Median inter-frame gap per id, 0 for a single frame."""
     gaps = frame_gaps(frames, slice_s)
-    med = exact_median(
-        gaps, KEY, "gap", F.floor(F.log2(F.col("gap") + F.lit(1e-9)) * 64)
-    ).withColumnRenamed("median", "period_s")
+    med = exact_median(gaps, KEY, "gap").withColumnRenamed("median", "period_s")
     ids = gaps.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
     return ids.join(med, KEY, "left").withColumn("period_s", F.coalesce("period_s", F.lit(0.0)))
 

@@ -18,7 +18,8 @@ SELECT CAST(o%5 AS VARCHAR) AS session_id, 2024+o%8 AS arb_id, o*1.0::DOUBLE AS
     WHEN 1 THEN '5902FF' || codes WHEN 2 THEN '62' || ['F190','F18C','F1AA'][CAST(o%3 AS INT)+1] || texts || CASE WHEN o%5=0 THEN '01' ELSE '' END
     ELSE '7F22' || ['31','7F','22','F5','44'][CAST(o%5 AS INT)+1] END AS hx
 FROM (SELECT l_orderkey AS o, string_agg(printf('%04X%02X%02X', l_partkey%65536, l_suppkey%256, CAST(l_quantity AS INT)), '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS codes,
-  string_agg(hex(printf('P%05d', l_partkey)), '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS texts FROM lineitem GROUP BY 1)""")
+  string_agg(hex(printf('P%05d', l_partkey)), '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS texts FROM lineitem GROUP BY 1)
+UNION ALL SELECT DISTINCT CAST(l_orderkey%5 AS VARCHAR), 2024+l_orderkey%8, l_orderkey*1.0::DOUBLE+0.0005::DOUBLE, l_orderkey, '7F2278' FROM lineitem WHERE l_orderkey%10 IN (1,6)""")
 
 
 def diag_frames(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,9 +45,12 @@ def diag_frames(spark: SparkSession, sf: str) -> DataFrame:
         "CASE WHEN n <= 7 THEN concat(format_string('%02X', n), hx) WHEN k = 0 THEN concat(format_string('1%03X', n), substring(hx, 1, 12))"
         " ELSE concat(format_string('2%X', k % 16), substring(hx, 13 + (k - 1) * 14, 14)) END"
     )
-    return f.select(
+    f = f.select("o", "k", F.lit(0.0).alias("late"), F.unhex(frame).alias("data"))
+    # a single frame right behind the first frame of a message
+    waits = o.filter("o % 10 IN (1, 6)").select("o", F.lit(0).alias("k"), F.lit(0.0005).alias("late"), F.unhex(F.lit("037F2278")).alias("data"))
+    return f.unionByName(waits).select(
         (F.col("o") % 5).cast("string").alias("session_id"), (F.col("o") % 8 + 2024).alias("arb_id"),
-        (F.col("o") * 1.0 + F.col("k") * 0.001).alias("t_mono"), F.col("k").cast("long").alias("row_seq"), F.unhex(frame).alias("data"),
+        (F.col("o") * 1.0 + F.col("k") * 0.001 + F.col("late")).alias("t_mono"), F.col("k").cast("long").alias("row_seq"), "data",
     )
 
 
@@ -127,7 +131,7 @@ def trouble_code_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @q("l10_negative_responses", with_views("""
-SELECT session_id, arb_id, t, 34 AS service, CASE SUBSTR(hx,5,2) WHEN '31' THEN 'requestOutOfRange' WHEN '7F' THEN 'serviceNotSupportedInActiveSession' WHEN '22' THEN 'conditionsNotCorrect' WHEN 'F5' THEN '0xF5(mfr-specific)' ELSE '0x44' END AS reason FROM dmsg WHERE hx LIKE '7F%'""", "dmsg"))
+SELECT session_id, arb_id, t, 34 AS service, CASE SUBSTR(hx,5,2) WHEN '31' THEN 'requestOutOfRange' WHEN '7F' THEN 'serviceNotSupportedInActiveSession' WHEN '22' THEN 'conditionsNotCorrect' WHEN 'F5' THEN '0xF5(mfr-specific)' ELSE '0x' || SUBSTR(hx,5,2) END AS reason FROM dmsg WHERE hx LIKE '7F%'""", "dmsg"))
 def negative_responses(spark: SparkSession, sf: str) -> DataFrame:
     return diag.negative_responses(_pdus(spark, sf))
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,10 +146,26 @@ def test_sliced_windows_match_plain_ones(spark):
 
 def test_exact_median(spark):
     df = spark.createDataFrame([("a", float(x)) for x in (5, 1, 9, 1)] + [("b", 2.0)], "k string, v double")
-    got = {r.k: r.median for r in fr.exact_median(df, ["k"], "v", F.floor("v")).collect()}
+    got = {r.k: r.median for r in fr.exact_median(df, ["k"], "v").collect()}
     assert got == {"a": 3.0, "b": 2.0}
 
 
+def test_exact_median_narrows_ranges(spark):
+    """A periodic id with rare long pauses: nearly all gaps lie in a sliver of the range."""
+    rng = random.Random(2)
+    rows = {
+        "periodic": [0.02 + rng.gauss(0, 1e-6) for _ in range(3000)] + [rng.uniform(0, 3600) for _ in range(20)],
+        "even": [rng.gauss(0, 1) for _ in range(1000)],
+        "two": [1.0] * 500 + [2.0] * 500,
+        "few": [-3.0, 8.0],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in rows.items() for v in [*vs, None]], "k string, v double")
+    for ranked in (1, 50, 8192):
+        got = {r.k: r.median for r in fr.exact_median(df, ["k"], "v", ranked).collect()}
+        assert got == {k: statistics.median(v) for k, v in rows.items()}
+    assert fr.exact_median(df.limit(0), ["k"], "v").count() == 0
+
+
 def test_wide_payloads_are_read_to_their_end(spark):
     rng = random.Random(16)
     payloads = []

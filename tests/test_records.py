@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -108,6 +110,40 @@ def test_reassembly_ignores_strays_and_incomplete(spark):
     assert got == ["62f19041424344454647"]
 
 
+def _reassembled(rows):
+    """One responder's frames in order, one at a time."""
+    out, open_ = [], None
+    for d in rows:
+        kind = d[0] >> 4 if d else None
+        if kind == 0 and 0 < d[0] & 15 <= len(d) - 1:
+            out.append(d[1 : 1 + (d[0] & 15)])
+        elif kind == 1:
+            open_ = ((d[0] & 15) << 8 | d[1], d[2:])
+        elif kind == 2 and open_:
+            open_ = (open_[0], open_[1] + d[1:])
+        if kind in (1, 2) and open_ and len(open_[1]) >= open_[0]:
+            if open_[0]:
+                out.append(open_[1][: open_[0]])
+            open_ = None
+    return sorted(out)
+
+
+def test_reassembly_with_interleaved_single_frames(spark):
+    data = [bytes.fromhex(x) for x in ("100a62f190414243", "037f2278", "2144454647", "037f2278", "2148", "2199")]
+    got = sorted(bytes(r.pdu) for r in diag.reassemble(frames(spark, data, 0x7E8)).collect())
+    assert got == [bytes.fromhex("62f19041424344454647")] + [bytes.fromhex("7f2278")] * 2
+    rng = random.Random(4)
+    data = [b"", b"\x21", b"\x10\x00"]
+    for _ in range(800):
+        n = rng.randrange(2, 9)
+        head = rng.choice([[rng.randrange(0, 8)], [0x10, rng.randrange(0, 40)], [0x21], [0x22], [0x30]])
+        data.append(bytes((head + [rng.randrange(256) for _ in range(8)])[:n]))
+    want = _reassembled(data)
+    for slice_s in (0.05, 60.0):
+        got = sorted(bytes(r.pdu) for r in diag.reassemble(frames(spark, data, 0x7E9), slice_s).collect())
+        assert got == want and len(want) > 80
+
+
 def test_validation(spark):
     good = '{"t_mono":1,"t_utc":1,"channel":"can0","arb_id":5,"is_extended":false,"dlc":1,"data":"0a","direction":"rx"}'
     bad = '{"t_mono":1,"t_utc":1,"channel":"can0","arb_id":4096,"is_extended":false,"dlc":2,"data":"0A","direction":"up","x":1}'
