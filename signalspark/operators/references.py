@@ -144,14 +144,21 @@ def ev_obd_references(samples: DataFrame) -> DataFrame:
 
 
 def head_unit_references(car_hw: DataFrame) -> DataFrame:
-    """State of charge, odometer and speed from successful head-unit answers."""
+    """Charge, fuel, odometer and speeds from successful head-unit answers."""
     ok = car_hw.filter("status = 'success'")
-    fields = {"energy": ("soc", "%"), "mileage": ("odometer_m", "m"), "speed": ("speed_ms", "m/s")}
+    # Kind and key of the answer, name and unit of the reference.
+    fields = [
+        ("energy", "battery_percent", "car_soc", "%"),
+        ("energy", "fuel_percent", "car_fuel", "%"),
+        ("mileage", "odometer_meters", "car_odometer_m", "m"),
+        ("speed", "raw_mps", "car_speed_ms", "m/s"),
+        ("speed", "display_mps", "car_display_speed_ms", "m/s"),
+    ]
     out = []
-    for kind, (field, unit) in fields.items():
+    for kind, field, name, unit in fields:
         v = F.get_json_object("data", f"$.{field}").cast("double")
         out.append(_series(ok.filter(F.col("kind") == kind).withColumn("_v", v).filter("_v IS NOT NULL"),
-                           [(f"car_{field}", F.col("_v"), unit)], "companion"))
+                           [(name, F.col("_v"), unit)], "companion"))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -107,9 +107,11 @@ def ev_obd(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @q("f12_head_unit_references", with_views("""
-SELECT session_id, 'car_soc' AS name, t, soc AS v, '%' AS unit, 'continuous' AS kind, 'companion' AS clock FROM carhw WHERE status='success' AND kind='energy'
-UNION ALL SELECT session_id, 'car_odometer_m', t, odometer_m, 'm', 'continuous', 'companion' FROM carhw WHERE status='success' AND kind='mileage'
-UNION ALL SELECT session_id, 'car_speed_ms', t, speed_ms, 'm/s', 'continuous', 'companion' FROM carhw WHERE status='success' AND kind='speed'""", "carhw"))
+SELECT session_id, 'car_soc' AS name, t, battery_percent AS v, '%' AS unit, 'continuous' AS kind, 'companion' AS clock FROM carhw WHERE status='success' AND kind='energy' AND battery_percent IS NOT NULL
+UNION ALL SELECT session_id, 'car_fuel', t, fuel_percent, '%', 'continuous', 'companion' FROM carhw WHERE status='success' AND kind='energy' AND fuel_percent IS NOT NULL
+UNION ALL SELECT session_id, 'car_odometer_m', t, odometer_meters, 'm', 'continuous', 'companion' FROM carhw WHERE status='success' AND kind='mileage' AND odometer_meters IS NOT NULL
+UNION ALL SELECT session_id, 'car_speed_ms', t, raw_mps, 'm/s', 'continuous', 'companion' FROM carhw WHERE status='success' AND kind='speed' AND raw_mps IS NOT NULL
+UNION ALL SELECT session_id, 'car_display_speed_ms', t, display_mps, 'm/s', 'continuous', 'companion' FROM carhw WHERE status='success' AND kind='speed' AND display_mps IS NOT NULL""", "carhw"))
 def head_unit(spark: SparkSession, sf: str) -> DataFrame:
     return _tidy(rf.head_unit_references(views.car_hw_e(spark, sf)))
 

@@ -272,17 +272,22 @@ def validate_frames(spark: SparkSession, sf: str) -> DataFrame:
 
 @q("a16_rule_counts", with_views("""
 SELECT session_id, rule, COUNT(*) AS n FROM (
-  SELECT session_id, UNNEST([CASE WHEN status='success' AND event_id%7=0 THEN 'data.on_success' END, CASE WHEN event_id%7<>0 AND kind='energy' AND NOT soc*2 BETWEEN 0 AND 100 THEN 'data.soc' END,
-   CASE WHEN event_id%9=0 THEN 'status.enum' END]) AS rule FROM (SELECT session_id, event_id, kind, soc, CASE WHEN event_id%9=0 THEN 'odd' ELSE status END AS status FROM carhw)) WHERE rule IS NOT NULL GROUP BY ALL""", "carhw"))
+  SELECT session_id, UNNEST([CASE WHEN event_id%7=0 THEN 'status.enum' END, CASE WHEN event_id%11=0 THEN 'kind.enum' END, CASE WHEN event_id%13=0 THEN 't_utc.type' END, CASE WHEN event_id%17=0 THEN 'data.type' END,
+    CASE WHEN pay AND event_id%3=0 THEN 'data.soc.unknown' END, CASE WHEN pay AND event_id%19=0 THEN 'data.reason.type' END,
+    CASE WHEN pay AND event_id%23=0 AND kind='energy' THEN 'data.battery_percent.type' END,
+    CASE WHEN pay AND event_id%23=0 AND kind<>'energy' THEN 'data.battery_percent.unknown' END]) AS rule
+  FROM (SELECT *, event_id%11<>0 AND event_id%17<>0 AS pay FROM carhw)) WHERE rule IS NOT NULL GROUP BY ALL""", "carhw"))
 def rule_counts(spark: SparkSession, sf: str) -> DataFrame:
-    c = views.car_hw_e(spark, sf)
     n = F.col("event_id")
-    soc = F.get_json_object("data", "$.soc").cast("int") * 2
-    record = F.to_json(
-        F.struct(F.col("t").alias("t_utc"), "kind", F.when(n % 9 == 0, "odd").otherwise(F.col("status")).alias("status"),
-                 F.when(n % 7 != 0, F.struct(soc.alias("soc"))).alias("data"))
+    data = F.expr("""CASE WHEN event_id % 17 = 0 THEN '[1]' ELSE concat(substring(
+        CASE WHEN event_id % 23 = 0 THEN '{"battery_percent":"full"}' ELSE data END, 1, length(CASE WHEN event_id % 23 = 0 THEN '{"battery_percent":"full"}' ELSE data END) - 1),
+        if(event_id % 3 = 0, ',"soc":1', ''), if(event_id % 19 = 0, ',"reason":null', ',"reason":"x"'), '}') END""")
+    record = F.format_string(
+        '{"t_utc":%s,"kind":"%s","status":"%s","data":%s}', F.when(n % 13 == 0, '"now"').otherwise(F.col("t").cast("string")),
+        F.when(n % 11 == 0, "fuel").otherwise(F.col("kind")), F.when(n % 7 == 0, "odd").otherwise(F.col("status")), data,
     )
-    return validate.rule_counts(validate.violations(c.select("session_id", record.alias("record")), "car_hw"))
+    c = views.car_hw_e(spark, sf).select("session_id", record.alias("record"))
+    return validate.rule_counts(validate.violations(c, "car_hw"))
 
 
 @q("a17_result_json", with_views("""
@@ -319,13 +324,13 @@ def vin_hash(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("c_custkey", catalog.hash_vin(F.concat(F.lit("  wvw"), "c_name", F.lit(" "))).alias("vin_hash"))
 
 
-@q("a21_car_hw", with_views("SELECT session_id, kind, status, COUNT(*) AS n, ROUND(SUM(soc),3) AS total_soc FROM carhw GROUP BY ALL", "carhw"))
+@q("a21_car_hw", with_views("SELECT session_id, kind, status, COUNT(*) AS n, ROUND(SUM(battery_percent),3) AS total_soc FROM carhw GROUP BY ALL", "carhw"))
 def car_hw(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_path(spark, "a21")
     views.car_hw_e(spark, sf).select("session_id", F.col("t").alias("t_utc"), "kind", "status", "data").write.json(path)
     c = rec.read_car_hw(spark, path)
     return c.groupBy("session_id", "kind", "status").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum(F.try_variant_get("data", "$.soc", "double")), 3).alias("total_soc")
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(F.try_variant_get("data", "$.battery_percent", "double")), 3).alias("total_soc")
     )
 
 

@@ -94,9 +94,10 @@ SELECT session_id, event_id, t, event_type AS field, event_type AS name, CASE WH
   CAST(event_id%2 AS INT) AS state, CASE WHEN event_id%13=0 THEN NULL ELSE CAST(k%7 AS DOUBLE) END AS gear FROM sens""", "sens")
 
 cte("carhw", """
-SELECT session_id, event_id, t, ['energy','mileage','speed','model','fuel'][CAST(event_id%5+1 AS INT)] AS kind,
+SELECT session_id, event_id, t, ['energy','mileage','speed','model','compass'][CAST(event_id%5+1 AS INT)] AS kind,
   ['success','unavailable','unimplemented','error'][CAST((event_id//5)%4+1 AS INT)] AS status,
-  k::DOUBLE AS soc, event_id::DOUBLE AS odometer_m, (k+1)::DOUBLE AS speed_ms FROM sens""", "sens")
+  CASE WHEN event_id%5=0 THEN k::DOUBLE END AS battery_percent, CASE WHEN event_id%10=5 THEN (k+2)::DOUBLE END AS fuel_percent, CASE WHEN event_id%5=1 THEN event_id::DOUBLE END AS odometer_meters,
+  CASE WHEN event_id%5=2 THEN (k+1)::DOUBLE END AS raw_mps, CASE WHEN event_id%5=2 THEN k+2.5::DOUBLE END AS display_mps FROM sens""", "sens")
 
 cte("motl", "SELECT session_id, (rn-1)//5 AS step, MIN(t) AS t, AVG(raw)*CAST(0.01 AS DOUBLE) AS v FROM fl GROUP BY session_id, (rn-1)//5", "fl")
 cte("espd", "SELECT session_id, t, v FROM motl WHERE step%10<>0", "motl")

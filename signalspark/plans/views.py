@@ -231,9 +231,11 @@ def car_hw_e(spark: SparkSession, sf: str) -> DataFrame:
     """Head-unit answers: kind and status by event number, payload as JSON text."""
     return sensors_e(spark, sf).select(
         "session_id", "event_id", "t",
-        F.expr("element_at(array('energy','mileage','speed','model','fuel'), CAST(event_id % 5 + 1 AS INT))").alias("kind"),
+        F.expr("element_at(array('energy','mileage','speed','model','compass'), CAST(event_id % 5 + 1 AS INT))").alias("kind"),
         F.expr("element_at(array('success','unavailable','unimplemented','error'), CAST((event_id DIV 5) % 4 + 1 AS INT))").alias("status"),
-        F.expr("concat('{\"soc\":', CAST(k AS STRING), ',\"odometer_m\":', CAST(event_id AS STRING), ',\"speed_ms\":', CAST(k + 1 AS STRING), '}')").alias("data"),
+        F.expr("""CASE event_id % 5 WHEN 0 THEN concat('{"battery_percent":', k, ',"fuel_percent":', if(event_id % 2 = 0, 'null', CAST(k + 2 AS STRING)), ',"energy_low":false}')
+            WHEN 1 THEN concat('{"odometer_meters":', event_id, '}') WHEN 2 THEN concat('{"raw_mps":', k + 1, ',"display_mps":', k + 2, '.5}')
+            WHEN 3 THEN '{"make":null,"year":2020}' ELSE concat('{"x":', k, '}') END""").alias("data"),
     )
 
 

@@ -1,4 +1,8 @@
-"""Record validation: every record keeps the list of rules it breaks."""
+"""Record validation: every record keeps the list of rules it breaks.
+
+A record is parsed once, into a map of VARIANT values; key sets, types, ranges
+and payloads are all checked on that map.
+"""
 
 from __future__ import annotations
 
@@ -6,73 +10,125 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 Rules = dict[str, Column]
 
-# The closed key sets and value lists of the record formats.
-KEYS = {
-    "frame": ["t_mono", "t_utc", "channel", "arb_id", "is_extended", "dlc", "data", "direction", "probe_id"],
-    "location": ["t_utc", "lat", "lon", "alt", "speed", "course", "h_acc", "v_acc", "produced_by_accessory"],
-    "motion": ["t_utc", "acc", "gravity", "rot", "att", "mag"],
-    "dashboard": ["t_utc", "field", "value", "conf"],
-    "telltale": ["t_utc", "name", "state", "conf"],
-    "gear": ["t_utc", "gear", "conf"],
-    "car_hw": ["t_utc", "kind", "status", "data"],
+# Keys and types of the record formats; "?" allows null, "!" is required, "one" has a value list.
+FORMATS = {
+    "frame": {
+        "t_mono": "number!", "t_utc": "number", "channel": "string", "arb_id": "integer!", "is_extended": "boolean!",
+        "dlc": "integer!", "data": "string!", "direction": "one!", "probe_id": "string?",
+    },
+    "location": {
+        "t_utc": "number!", "lat": "number!", "lon": "number!", "alt": "number", "speed": "number", "course": "number",
+        "h_acc": "number", "v_acc": "number", "produced_by_accessory": "boolean",
+    },
+    "motion": {"t_utc": "number!", "acc": "numbers!", "gravity": "numbers", "rot": "numbers!", "att": "numbers", "mag": "numbers?"},
+    "dashboard": {"t_utc": "number!", "field": "string!", "value": "number!", "conf": "number"},
+    "telltale": {"t_utc": "number!", "name": "string!", "state": "one!", "conf": "number"},
+    "gear": {"t_utc": "number!", "gear": "number!", "conf": "number"},
+    "car_hw": {"t_utc": "number!", "kind": "one!", "status": "one!", "data": "object"},
+    "photo_index": {"t_utc": "number!", "path": "string!", "w": "integer", "h": "integer"},
 }
-REQUIRED = {
-    "frame": ["t_mono", "t_utc", "channel", "arb_id", "is_extended", "dlc", "data", "direction"],
-    "location": ["t_utc", "lat", "lon"],
-    "motion": ["t_utc", "acc", "rot"],
-    "dashboard": ["t_utc", "field", "value"],
-    "telltale": ["t_utc", "name", "state"],
-    "gear": ["t_utc", "gear"],
-    "car_hw": ["t_utc", "kind", "status"],
+# Payload of a head-unit answer by kind.
+PAYLOADS = {
+    "model": {"make": "string?", "model": "string?", "year": "integer?"},
+    "energy": {"battery_percent": "number?", "fuel_percent": "number?", "range_meters": "number?", "energy_low": "boolean?"},
+    "speed": {"raw_mps": "number?", "display_mps": "number?"},
+    "mileage": {"odometer_meters": "number?"},
+    "location": {"lat": "number?", "lon": "number?", "accuracy_m": "number?", "speed_mps": "number?", "bearing_deg": "number?"},
+    "accelerometer": {"x": "number?", "y": "number?", "z": "number?"},
+    "gyroscope": {"x": "number?", "y": "number?", "z": "number?"},
+    "compass": {"x": "number?", "y": "number?", "z": "number?"},
 }
+REASON = {"reason": "string"}
 STATUSES = ["success", "unavailable", "unimplemented", "error"]
 
 
-def _json(key: str) -> Column:
-    return F.get_json_object("record", f"$.{key}")
-
-
-def _number(key: str) -> Column:
-    return F.expr(f"try_cast(get_json_object(record, '$.{key}') AS DOUBLE)")
+def _as(v: Column, kind: str) -> Column:
+    return F.try_variant_get(v, "$", kind)
+
+
+def _is(v: Column, kind: str) -> Column:
+    """Whether a VARIANT has a type of the formats."""
+    found = F.schema_of_variant(v)
+    number = found.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    base = kind.rstrip("!?")
+    ok = {
+        "number": number,
+        "integer": number & (_as(v, "double") == F.floor(_as(v, "double"))),
+        "string": found == "STRING",
+        "boolean": found == "BOOLEAN",
+        "object": found.startswith("OBJECT"),
+        "numbers": found.startswith("ARRAY") & ~F.exists(
+            _as(v, "array<variant>"), lambda x: ~F.schema_of_variant(x).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+        ),
+    }[base]
+    ok = F.coalesce(ok, F.lit(False))
+    return ok | (found == "VOID") if kind.endswith("?") else ok
+
+
+def value_rules(stream: str, keys: Column) -> Rules:
+    """Rules on the values of the parsed record ``keys``; a missing key breaks only its ``missing`` rule."""
+    at = lambda k: F.try_element_at(keys, F.lit(k))
+    number = lambda k: _as(at(k), "double")
+    text = lambda k: _as(at(k), "string")
+    unit = lambda k: ~number(k).between(0.0, 1.0)
+    three = lambda k: F.size(_as(at(k), "array<variant>")) != 3
+
+    def one_of(k: str, values: list[str]) -> Column:
+        return at(k).isNotNull() & ~F.coalesce((F.schema_of_variant(at(k)) == "STRING") & text(k).isin(values), F.lit(False))
 
-
-def value_rules(stream: str) -> Rules:
-    """Rules on values; a missing key breaks only its ``missing`` rule."""
-    unit = lambda k: ~_number(k).between(0.0, 1.0)
-    three = lambda k: F.json_array_length(_json(k)) != 3
     rules: dict[str, Rules] = {
         "frame": {
-            "arb_id.range": ~_number("arb_id").between(0, 536870911),
-            "arb_id.standard": (_json("is_extended") == "false") & (_number("arb_id") > 2047),
-            "dlc.range": ~_number("dlc").between(0, 64),
-            "data.hex": ~_json("data").rlike("^([0-9a-f]{2})*$"),
-            "data.length": F.length(_json("data")) != _number("dlc") * 2,
-            "direction.enum": ~_json("direction").isin("rx", "tx"),
+            "arb_id.range": ~number("arb_id").between(0, 536870911),
+            "arb_id.standard": ~_as(at("is_extended"), "boolean") & (number("arb_id") > 2047),
+            "dlc.range": ~number("dlc").between(0, 64),
+            "data.hex": ~text("data").rlike("^([0-9a-f]{2})*$"),
+            "data.length": F.length(text("data")) != number("dlc") * 2,
+            "direction.enum": one_of("direction", ["rx", "tx"]),
         },
-        "location": {"lat.range": ~_number("lat").between(-90, 90), "lon.range": ~_number("lon").between(-180, 180)},
+        "location": {"lat.range": ~number("lat").between(-90, 90), "lon.range": ~number("lon").between(-180, 180)},
         "motion": {f"{k}.length": three(k) for k in ("acc", "gravity", "rot", "att", "mag")},
-        "dashboard": {"conf.range": unit("conf"), "value.type": _json("value").isNotNull() & _number("value").isNull()},
-        "telltale": {"conf.range": unit("conf"), "state.enum": ~_json("state").isin("0", "1")},
+        "dashboard": {"conf.range": unit("conf")},
+        "telltale": {"conf.range": unit("conf"), "state.enum": at("state").isNotNull() & ~(_is(at("state"), "integer") & F.coalesce(number("state").isin(0.0, 1.0), F.lit(False)))},
         "gear": {"conf.range": unit("conf")},
-        "car_hw": {
-            "status.enum": ~_json("status").isin(*STATUSES),
-            "data.on_success": (_json("status") == "success") & _json("data").isNull(),
-            "data.soc": (_json("kind") == "energy") & ~_number("data.soc").between(0, 100),
-        },
+        "car_hw": {"kind.enum": one_of("kind", list(PAYLOADS)), "status.enum": one_of("status", STATUSES)},
+        "photo_index": {},
     }
-    return rules[stream]
+    types = {
+        f"{k}.type": at(k).isNotNull() & ~_is(at(k), kind) for k, kind in FORMATS[stream].items() if not kind.startswith("one")
+    }
+    return rules[stream] | types
+
+
+def payload_violations(keys: Column) -> Column:
+    """Unknown keys and wrong types in the payload of a head-unit answer; values have no range."""
+    payload = _as(F.try_element_at(keys, F.lit("data")), "map<string,variant>")
+    kind = _as(F.try_element_at(keys, F.lit("kind")), "string")
+    found = F.array().cast("array<string>")
+    for name, fields in PAYLOADS.items():
+        fields = fields | REASON
+        unknown = F.transform(F.array_except(F.map_keys(payload), F.array(*map(F.lit, fields))), lambda k: F.concat(F.lit("data."), k, F.lit(".unknown")))
+        at = {k: F.try_element_at(payload, F.lit(k)) for k in fields}
+        wrong = [F.when(at[k].isNotNull() & ~_is(at[k], t), F.lit(f"data.{k}.type")) for k, t in fields.items()]
+        found = F.when(kind == name, F.concat(unknown, F.array_compact(F.array(*wrong)))).otherwise(found)
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def violations(records: DataFrame, stream: str) -> DataFrame:
-    """``records.record`` is one JSON object; adds the sorted list of broken rules."""
-    keys = F.coalesce(F.json_object_keys("record"), F.array().cast("array<string>"))
+    """``records.record`` is one JSON object; adds the sorted list of broken rules.
+
+    Text that is no JSON object misses every required key.
+    """
+    x = records.withColumn("_keys", F.coalesce(_as(F.try_parse_json("record"), "map<string,variant>"), F.create_map().cast("map<string,variant>")))
+    keys, names = F.col("_keys"), F.map_keys("_keys")
     lit = lambda ks: F.array(*[F.lit(k) for k in ks])
-    missing = F.transform(F.array_except(lit(REQUIRED[stream]), keys), lambda k: F.concat(k, F.lit(".missing")))
-    extra = F.transform(F.array_except(keys, lit(KEYS[stream])), lambda k: F.concat(k, F.lit(".unknown")))
+    required = [k for k, kind in FORMATS[stream].items() if kind.endswith("!")]
+    missing = F.transform(F.array_except(lit(required), names), lambda k: F.concat(k, F.lit(".missing")))
+    extra = F.transform(F.array_except(names, lit(FORMATS[stream])), lambda k: F.concat(k, F.lit(".unknown")))
     checks = F.array_compact(
-        F.array(*[F.when(broken, F.lit(name)) for name, broken in value_rules(stream).items()])
+        F.array(*[F.when(broken, F.lit(name)) for name, broken in value_rules(stream, keys).items()])
     )
-    return records.withColumn("violations", F.sort_array(F.concat(missing, extra, checks)))
+    lists = [missing, extra, checks] + ([payload_violations(keys)] if stream == "car_hw" else [])
+    return x.withColumn("violations", F.sort_array(F.concat(*lists))).drop("_keys")
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from helpers import frames
 from signalspark.operators import corpus, diag, ev, fleet, labels as lb
+from signalspark.operators.references import head_unit_references
 from signalspark.sources import catalog, recordings as rec, sinks, textlogs, validate
 
 
@@ -153,6 +154,39 @@ def test_validation(spark):
     assert no.first().violations == ["arb_id.standard", "data.hex", "data.length", "direction.enum", "x.unknown"]
 
 
+def test_validation_of_types_and_payloads(spark):
+    def broken(stream, *records):
+        df = spark.createDataFrame([(i, r) for i, r in enumerate(records)], "i int, record string")
+        return [list(r.violations) for r in validate.violations(df, stream).orderBy("i").collect()]
+
+    required = '{"t_mono":1,"arb_id":5,"is_extended":true,"dlc":1,"data":"0a","direction":"rx"%s}'
+    assert broken("frame", required % "", required % ',"probe_id":null', required % ',"t_utc":null,"channel":3', "[1]", None) == [
+        [], [], ["channel.type", "t_utc.type"], *[[f"{k}.missing" for k in ("arb_id", "data", "direction", "dlc", "is_extended", "t_mono")]] * 2,
+    ]
+    car = '{"t_utc":1.5,"kind":"%s","status":"%s","data":%s}'
+    assert broken(
+        "car_hw", car % ("energy", "success", '{"battery_percent":171.0,"fuel_percent":null,"energy_low":false}'),
+        car % ("mileage", "unavailable", "{}"), car % ("nonsense", "odd", '{"x":1}'), car % ("speed", "error", '{"raw_mps":"1","soc":2,"reason":null}'),
+        car % ("model", "success", '{"year":2020.5,"make":1}'), car % ("model", "success", "null"), '{"t_utc":1,"kind":"energy","status":"error"}',
+    ) == [
+        [], [], ["kind.enum", "status.enum"], ["data.raw_mps.type", "data.reason.type", "data.soc.unknown"],
+        ["data.make.type", "data.year.type"], ["data.type"], [],
+    ]
+    assert broken("motion", '{"t_utc":1,"acc":[1,2.5,3],"rot":[1,2],"mag":null}', '{"t_utc":1,"acc":[1,null,3],"rot":["a",2,3],"att":1}') == [
+        ["rot.length"], ["acc.type", "att.type", "rot.type"],
+    ]
+    assert broken("telltale", '{"t_utc":1,"name":"a","state":1}', '{"t_utc":1,"name":"a","state":"1","conf":2}') == [[], ["conf.range", "state.enum"]]
+    assert broken("photo_index", '{"t_utc":1,"path":"a.jpg","w":1.5}', '{"t_utc":1}') == [["w.type"], ["path.missing"]]
+
+
+def test_head_unit_references_read_the_format(spark):
+    rows = [("s", 1.0, "energy", "success", '{"battery_percent":71.0,"fuel_percent":null}'), ("s", 2.0, "speed", "success", '{"raw_mps":13.4,"display_mps":14.2}'),
+            ("s", 3.0, "mileage", "unavailable", '{"odometer_meters":5}'), ("s", 4.0, "mileage", "success", '{"odometer_meters":6}')]
+    df = spark.createDataFrame(rows, "session_id string, t double, kind string, status string, data string")
+    got = {(r.name, r.t, r.v) for r in head_unit_references(df).collect()}
+    assert got == {("car_soc", 1.0, 71.0), ("car_speed_ms", 2.0, 13.4), ("car_display_speed_ms", 2.0, 14.2), ("car_odometer_m", 4.0, 6.0)}
+
+
 def test_catalog_and_vin(spark):
     df = spark.range(1)
     assert one(df, catalog.hash_vin(F.lit(" abc "))) == one(df, catalog.hash_vin(F.lit("ABC")))
