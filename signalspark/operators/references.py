@@ -163,7 +163,12 @@ def head_unit_references(car_hw: DataFrame) -> DataFrame:
 
 
 def build_references(families: list[DataFrame], minimum: int = MIN_SAMPLES) -> DataFrame:
-    """All families together, series with too few samples left out."""
-    s = reduce(DataFrame.unionByName, families)
-    enough = enough_samples(s.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n")), minimum).drop("n")
-    return attach(s, enough, SERIES, "t")
+    """All families together, series with too few samples left out.
+
+    Where families have a series of the same name in a session, that of the last one counts, if it has
+    enough samples; the samples of the others do not mix with it.
+    """
+    s = reduce(DataFrame.unionByName, [f.withColumn("_family", F.lit(i)) for i, f in enumerate(families)])
+    enough = enough_samples(s.groupBy(*SERIES, "_family").agg(F.count(F.lit(1)).alias("n")), minimum)
+    last = enough.groupBy(*SERIES).agg(F.max("_family").alias("_last"))
+    return attach(s, last, SERIES, "t").filter("_family = _last").drop("_family", "_last")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helpers import frames
 from signalspark.operators import corpus, diag, ev, fleet, labels as lb
-from signalspark.operators.references import head_unit_references
+from signalspark.operators.references import build_references, head_unit_references
 from signalspark.sources import catalog, recordings as rec, sinks, textlogs, validate
 
 
@@ -187,6 +187,15 @@ def test_head_unit_references_read_the_format(spark):
     assert got == {("car_soc", 1.0, 71.0), ("car_speed_ms", 2.0, 13.4), ("car_display_speed_ms", 2.0, 14.2), ("car_odometer_m", 4.0, 6.0)}
 
 
+def test_last_family_of_a_name_counts(spark):
+    def family(n, v, name="speed"):
+        return spark.createDataFrame([("s", name, float(i), float(v), "", "continuous", "edge") for i in range(n)],
+                                     "session_id string, name string, t double, v double, unit string, kind string, clock string")
+
+    got = build_references([family(10, 1), family(9, 2), family(3, 3), family(9, 4, "rpm")]).groupBy("name", "v").count().collect()
+    assert {tuple(r) for r in got} == {("speed", 2.0, 9), ("rpm", 4.0, 9)}
+
+
 def test_catalog_and_vin(spark):
     df = spark.range(1)
     assert one(df, catalog.hash_vin(F.lit(" abc "))) == one(df, catalog.hash_vin(F.lit("ABC")))
