@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from signalspark.llm.ngram_join import bitmap, class_of, link_classes, sets_of, wide
 from signalspark.llm.passages import RUN, Anchors, run_rows, shared_runs
-from signalspark.llm.shingles import WORDS, shingle_sets, word_hashes
+from signalspark.llm.shingles import PLAIN, WORDS, distinct, rolled, word_hashes
 from signalspark.llm.tables import remove, store
 from signalspark.llm.textmap import with_text_columns
 
@@ -26,38 +26,63 @@ LEAST_WORDS = 25
 #: At a similarity of 0.8, 1 - (1 - 0.8^4)^20 = 0.99997 of the pairs collide.
 BANDS, ROWS = 20, 4
 _GENERATOR = np.random.default_rng(20240101)
-_MULTIPLY = _GENERATOR.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-_FLIP = _GENERATOR.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
-#: Shingles whose permutations are computed at once (some 3 MB).
-SLICE = 4096
+_MULTIPLY = _GENERATOR.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
+_FLIP = _GENERATOR.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
+#: Shingles that are permuted at once (256 KB), unless one set has more.
+SLICE = 1 << 16
+
+
+def signatures(sets: Sequence[np.ndarray]) -> np.ndarray:
+    """A row per set of hashes (none empty): one hash per band of its MinHash signature.
+
+    Permutations act on 32 bits of a hash: numpy multiplies those several at a
+    time, and what collides by chance is verified like all else.
+    """
+    out = np.empty((len(sets), BANDS), np.uint64)
+    size = np.cumsum([0, *map(len, sets)])
+    at = 0
+    while at < len(sets):
+        end = max(at + 1, int(np.searchsorted(size, size[at] + SLICE, "right")) - 1)
+        low = np.concatenate(sets[at:end]).astype(np.uint32)
+        start = size[at:end] - size[at]
+        for band in range(BANDS):
+            h = np.full(end - at, band + 1, np.uint64)
+            for k in range(band * ROWS, (band + 1) * ROWS):
+                h = (h ^ np.minimum.reduceat((low ^ _FLIP[k]) * _MULTIPLY[k], start)) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(31)
+            out[at:end, band] = h
+        at = end
+    return out.view(np.int64)
 
 
 def bands(u: np.ndarray) -> np.ndarray:
     """One hash per band of the MinHash signature of a set of hashes."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(u), SLICE):
-        np.minimum(least, ((u[at : at + SLICE] ^ _FLIP) * _MULTIPLY).min(axis=1), out=least)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        h = (h ^ row) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(31)
-    return h.view(np.int64)
-
-
-def paragraphs(texts: Sequence[str | None], least: int, size: int) -> list[list[tuple]]:
-    """(line, start, end, words, set) of each paragraph of each text, places in code points."""
-    lines, places = [], []
-    for row, text in enumerate(texts):
-        at = 0
-        for line, part in enumerate((text or "").split("\n")):
-            # a line of n words has at least 2 n - 1 characters
-            if len(part) >= 2 * least - 1 and (n := len((body := part.encode()).split())) >= least:
-                lines.append(body)
-                places.append((row, line, at, at + len(part), n))
-            at += len(part) + 1
+    return signatures([u])[0]
+
+
+def paragraphs(texts: Sequence[bytes | None], hashes: Sequence[np.ndarray], least: int, size: int) -> list[list[tuple]]:
+    """(line, start, end, words, set) of each paragraph of each text, places in code points; ``hashes`` are those of its words."""
     out: list[list[tuple]] = [[] for _ in texts]
-    for (row, *place), u in zip(places, shingle_sets(lines, size), strict=True):
-        out[row].append((*place, u))
+    for rows, text, h in zip(out, texts, hashes, strict=True):
+        if len(h) < max(least, 1):
+            continue
+        raw = np.frombuffer(text, np.uint8)
+        word = np.frombuffer(text.translate(PLAIN), np.uint8) != 32
+        word[1:] &= ~word[:-1]  # the first byte of each word
+        breaks = np.flatnonzero(raw == 10)
+        bound = np.concatenate([[0], np.searchsorted(np.flatnonzero(word), breaks), [len(h)]])
+        line = np.flatnonzero(np.diff(bound) >= max(least, 1))
+        if not len(line):
+            continue
+        start, end = np.append(0, breaks + 1)[line], np.append(breaks, len(raw))[line]
+        if not text.isascii():
+            chars = np.append(0, np.cumsum(raw & 0xC0 != 0x80))
+            start, end = chars[start], chars[end]
+        whole = rolled(h, size)
+        for place in zip(line.tolist(), start.tolist(), end.tolist(), bound[line].tolist(), bound[line + 1].tolist(), strict=True):
+            a, b = place[3:]
+            u = whole[a : b - size + 1] if b - a >= size else rolled(h[a:b], size)
+            rows.append((*place[:3], b - a, distinct(u)))
     return out
 
 
@@ -84,9 +109,9 @@ def find_repeats(
         done = set()
 
         def scan(texts):
-            out = []
-            hashes = word_hashes([t.encode() if t else None for t in texts])
-            for found, h in zip(paragraphs(texts, least, size), hashes, strict=True):
+            out, fresh, sets = [], [], []
+            hashes = word_hashes(texts)
+            for found, h in zip(paragraphs(texts, hashes, least, size), hashes, strict=True):
                 a = Anchors(h, run)
                 rows = [{"first": a.first.astype(np.int32), "many": a.many.astype(np.int32), "seed": a.seed, "ctx": a.ctx}] if len(a.first) else []
                 for line, start, end, n_words, u in found:
@@ -98,9 +123,14 @@ def find_repeats(
                         done.add(key)
                     rows.append({
                         "line": line, "start": start, "end": end, "n_words": n_words, "n": len(u), "set": key,
-                        "bitmap": bitmap(u) if new else None, "wide": wide(u) if new else None, "prefix": bands(u) if new else None,
+                        "bitmap": bitmap(u) if new else None, "wide": wide(u) if new else None,
                     })
+                    if new:
+                        fresh.append(rows[-1])
+                        sets.append(u)
                 out.append(rows)
+            for row, prefix in zip(fresh, signatures(sets), strict=True):
+                row["prefix"] = prefix
             return [out]
 
         return scan
@@ -113,7 +143,7 @@ def find_repeats(
     )
     fields = "p array<struct<line:long,start:long,end:long,n_words:long,n:long,set:binary,bitmap:binary,wide:binary,prefix:array<long>,"
     fields += "first:array<int>,many:array<int>,seed:array<long>,ctx:array<long>>>"
-    x = with_text_columns(x, task, fields, "text", ["doc", "doc_id", "body"])
+    x = with_text_columns(x, task, fields, "text", ["doc", "doc_id", "body"], binary=True)
     x = x.select("doc", "doc_id", "body", F.explode("p").alias("p")).select("doc", "doc_id", "body", "p.*")
     table, _ = store(x, "paragraphs")
     anchors = table.filter("line is null").select("doc", "doc_id", "body", F.inline(F.arrays_zip("first", "many", "seed", "ctx")))
@@ -123,7 +153,7 @@ def find_repeats(
 
     def cut():
         def of(texts: list[bytes | None]) -> list[list[np.ndarray]]:
-            found = paragraphs([t.decode() if t else None for t in texts], least, size)
+            found = paragraphs(texts, word_hashes(texts), least, size)
             return [list({u.tobytes(): u for *_, u in rows}.values()) for rows in found]
 
         return of

@@ -11,11 +11,13 @@ thousands of documents hold costs a row each.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from signalspark.llm.shingles import PLAIN, word_hashes
 from signalspark.llm.tables import FILTER_BITS, bit_filter, remove, store
+from signalspark.operators.frames import attach
 
 RUN = 50
 _BASE = 0xD1342543DE82EF95
@@ -35,6 +37,17 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def least_places(h: np.ndarray, size: int) -> np.ndarray:
+    """Place of the least of each ``size`` values in a row, the first of equal ones; spans double."""
+    at, span = np.arange(len(h)), 1
+    while span < size:
+        step = min(span, size - span)
+        right = h[step:] < h[:-step]
+        h, at = np.where(right, h[step:], h[:-step]), np.where(right, at[step:], at[:-step])
+        span += step
+    return at
+
+
 class Anchors:
     """The windows of a text by seed: ``first`` window, how ``many``, hashes of the ``seed`` and of all words covered (``ctx``)."""
 
@@ -46,7 +59,7 @@ class Anchors:
         self.back = _powers(_BACK, len(h) + 1)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, len(h)), dtype=np.uint64)])
         seeds = self.hashes(np.arange(len(h) - size + 1), size)
-        at = np.lib.stride_tricks.sliding_window_view(seeds, run - size + 1).argmin(axis=1) + np.arange(n)
+        at = least_places(seeds, run - size + 1)
         self.first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         self.many = np.diff(np.append(self.first, n))
         self.seed = seeds[at[self.first]].view(np.int64)
@@ -67,18 +80,26 @@ def joined_pieces(df: DataFrame, keys: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = []
-            for pieces in b.column(len(names)).to_pylist():
-                got: list[dict] = []
-                for x in pieces:
-                    y = got[-1] if got else None
-                    if y and x["word"] == y["word"] + y["many"] and x["keep"] == y["keep"] and x["keep_word"] == y["keep_word"] + y["many"]:
-                        y["many"] += x["many"]
-                        y["n"] = max(x["n"], y["n"])
-                    else:
-                        got.append(x)
-                out.append(got)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(out, b.schema.field(len(names)).type)], [*names, "pieces"])
+            lists = b.column(len(names))
+            pieces = lists.flatten()
+            columns = dict(zip((f.name for f in pieces.type), pieces.flatten(), strict=True))
+            word, many, keep_word, n = (columns[c].to_numpy() for c in ("word", "many", "keep_word", "n"))
+            bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            new = np.zeros(len(pieces), bool)
+            new[1:] = (word[1:] != word[:-1] + many[:-1]) | (keep_word[1:] != keep_word[:-1] + many[:-1])
+            for c in columns["keep"].flatten():
+                value, valid = c.fill_null(0).to_numpy(), c.is_valid().to_numpy(False)
+                new[1:] |= (value[1:] != value[:-1]) | (valid[1:] != valid[:-1])
+            new[bounds[:-1][np.diff(bounds) > 0]] = True
+            at = np.flatnonzero(new)
+            if len(at):
+                first = pieces.take(pa.array(at))
+                columns = dict(zip(columns, first.flatten(), strict=True))
+                columns["many"] = pa.array(np.add.reduceat(many, at, dtype=many.dtype))
+                columns["n"] = pa.array(np.maximum.reduceat(n, at))
+                pieces = pa.StructArray.from_arrays(list(columns.values()), fields=list(pieces.type))
+            merged = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, bounds).astype(np.int32)), pieces, type=lists.type)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), merged], [*names, "pieces"])
 
     return df.select(*names, "pieces").mapInArrow(run, f"{keys}, {PIECES}")
 
@@ -100,7 +121,16 @@ def shared_runs(anchors: DataFrame, documents: DataFrame, text: str, run: int =
     spark = documents.sparkSession
     low, high = F.min("doc").alias("low"), F.max("doc").alias("high")
     seeds = anchors.groupBy("seed").agg(low, high, (F.min("ctx") != F.max("ctx")).alias("mixed")).filter("low < high")
-    near, near_path = store(anchors.join(seeds.select("seed", "mixed"), "seed"), "near")
+    seeds, seeds_path = store(seeds.select("seed", "mixed"), "seeds")
+    held = spark.sparkContext.broadcast(bit_filter(seeds.select("seed")))
+
+    @F.pandas_udf("boolean")
+    def listed(seed: pd.Series) -> pd.Series:
+        bit = seed.to_numpy() % FILTER_BITS
+        return pd.Series((held.value[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool))
+
+    # only what the filter lets pass is shuffled; a seed that many documents have is dealt over several tasks
+    near, near_path = store(attach(anchors.filter(listed("seed")), seeds, ["seed"], "doc"), "near")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc", F.col("first").alias("word"), "body")
     classes, classes_path = store(
         near.groupBy("seed", "ctx").agg(
@@ -153,7 +183,7 @@ def shared_runs(anchors: DataFrame, documents: DataFrame, text: str, run: int =
     x = x.groupBy("doc", "doc_id", "body").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
     keys = "doc long, doc_id long, body long"
     runs, _ = store(joined_pieces(x, keys).select("doc", "doc_id", "body", F.inline("pieces")), "runs")
-    remove(spark, near_path, classes_path, each_path)
+    remove(spark, seeds_path, near_path, classes_path, each_path)
     return runs
 
 
