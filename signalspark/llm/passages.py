@@ -32,6 +32,10 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+#: Powers for texts of usual length; longer ones compute their own.
+_FORTH, _REAR = _powers(_BASE, 1 << 14), _powers(_BACK, 1 << 14)
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * _C
     return h ^ (h >> np.uint64(29))
@@ -56,8 +60,10 @@ class Anchors:
         self.run, self.first = run, np.zeros(0, np.int64)
         if n < 1:
             return
-        self.back = _powers(_BACK, len(h) + 1)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, len(h)), dtype=np.uint64)])
+        usual = len(h) < len(_REAR)
+        self.back = _REAR if usual else _powers(_BACK, len(h) + 1)
+        self.sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * (_FORTH[: len(h)] if usual else _powers(_BASE, len(h))), out=self.sums[1:])
         seeds = self.hashes(np.arange(len(h) - size + 1), size)
         at = least_places(seeds, run - size + 1)
         self.first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
@@ -139,14 +145,17 @@ def shared_runs(anchors: DataFrame, documents: DataFrame, text: str, run: int =
         "places",
     )
     mixed = classes.filter("mixed")
-    shared = spark.sparkContext.broadcast(bit_filter(mixed.select("ctx")))
+    # windows are read in the text where a place occurs first; filters of fixed size keep the other texts out
+    shared = spark.sparkContext.broadcast((bit_filter(mixed.select("ctx")), bit_filter(mixed.select("best.body"))))
 
     def look(batches):
-        wanted, done = shared.value, set()
+        (wanted, first), done = shared.value, set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
+            bit = batch.column(0).to_numpy() % FILTER_BITS
+            texts = batch.column(1).filter(pa.array((first[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool)))
+            for at in range(0, len(texts), 1024):
                 seed, ctx, windows = [], [], []
-                for h in word_hashes(batch.column(0).slice(at, 1024).to_pylist()):
+                for h in word_hashes(texts.slice(at, 1024).to_pylist()):
                     a = Anchors(h, run)
                     if not len(a.first):
                         continue
@@ -165,7 +174,8 @@ def shared_runs(anchors: DataFrame, documents: DataFrame, text: str, run: int =
                     [pa.array(seed, pa.int64()), pa.array(ctx, pa.int64()), pa.array(windows, pa.list_(pa.int64()))], ["seed", "ctx", "windows"]
                 )
 
-    found = documents.select(F.col(f"`{text}`").cast("binary")).mapInArrow(look, "seed long, ctx long, windows array<long>")
+    read = documents.select(F.xxhash64(F.col(f"`{text}`")), F.col(f"`{text}`").cast("binary"))
+    found = read.mapInArrow(look, "seed long, ctx long, windows array<long>")
     each = mixed.join(found.dropDuplicates(["seed", "ctx"]), ["seed", "ctx"])
     each, each_path = store(each.select("seed", "ctx", "low", "high", "best", "n", F.posexplode("windows").alias("o", "window")), "windows")
     moved = F.struct("best.last", "best.doc_id", "best.doc", (F.col("best.word") + F.col("o")).alias("word"), "best.body")
