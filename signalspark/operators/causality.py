@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from signalspark.context import cut_lineage
 from signalspark.functions.payload import all_fields, word_count
 from signalspark.operators import scoring
 from signalspark.operators import tseries as ts
@@ -93,14 +94,13 @@ def command_candidates(
     anchor = history.groupBy(*KEY).agg(*[F.min_by(f"big_{j}", "t_mono").alias(f"big_{j}_at") for j in range(words)])
     facts = keep.join(anchor, KEY)
     run = F.floor(F.col("gi") / F.lit(scoring.RUN_POINTS))
-    left = attach(
+    left = scoring.packed_ids(
         x.select(
             *KEY, F.col("g.group_id").alias("group_id"), "n_grid", "gi", frac.alias("frac"), run.alias("run"),
             *[F.col(f"big_{j}_p1").alias(f"big_{j}_lo") for j in range(words)],
             *[F.col(f"big_{j}").alias(f"big_{j}_hi") for j in range(words)],
-        ),
-        facts, KEY, "gi",
-    )
+        )
+    ).join(facts, KEY).drop("session_id")
     on_pair = attach(
         effects.select("session_id", "name", "t", "v"),
         pairs.groupBy("session_id", "name").agg(F.collect_list("group_id").alias("groups")),
@@ -112,9 +112,10 @@ def command_candidates(
         "group_id", F.lit(0).alias("ref_no"), "gi", F.explode(F.sequence(*ends)).alias("run"),
         (F.col("v") - F.col("base")).alias("v"), F.lit(0.0).alias("slack"),
     )
-    parts = scoring.pair_sums(left, refs, fields, words, 3, min_r, None, lags=k)
+    # each is read by several plans
+    left, refs = cut_lineage(left, "id-points"), cut_lineage(scoring.packed_refs(refs), "ref-points")
     # below min_r no lag can be a result, so dropping those pairs early is exact
-    scored = scoring.finish_pairs(parts, 3, min_r * 0.999)
+    scored = scoring.pair_scores(left, refs, fields, words, 3, min_r * 0.999, None, lags=k)
     best = F.max_by(F.struct("ref_no", "r"), F.struct(F.round(F.abs("r"), 9), -F.col("ref_no")))
     lead = scored.groupBy("group_id", "arb_id", "seq").agg(best.alias("b")).select(
         "group_id", "arb_id", "seq", ((F.col("b.ref_no") - k) / F.lit(float(hz))).alias("lead_s"), F.col("b.r").alias("r")
