@@ -291,3 +291,12 @@ def test_components_of_long_chain_and_star(spark):
     e = spark.createDataFrame(edges, "session_id string, src string, dst string")
     got = {r.name: r.label for r in cl.connected_components(nodes, e).collect()}
     assert {got[n] for n in names[:40]} == {"n000"} and {got[n] for n in names[40:59]} == {"n040"} and got["n059"] == "n059"
+
+
+def test_components_of_a_long_chain_in_any_order_take_few_rounds(spark):
+    order = np.random.default_rng(3).permutation(1000)
+    names = [f"n{i:04d}" for i in order]
+    nodes = spark.createDataFrame([("s", n) for n in names], "session_id string, name string")
+    e = spark.createDataFrame([("s", a, b) for a, b in zip(names, names[1:])], "session_id string, src string, dst string")
+    got = cl.connected_components(nodes, e, max_rounds=12).collect()
+    assert len(got) == 1000 and {r.label for r in got} == {"n0000"}
