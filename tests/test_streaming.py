@@ -162,3 +162,20 @@ def test_incomplete_sessions_are_told_by_a_timer_and_forgotten(spark, tmp_path):
     land(("y", "y1", "edge", 9000.0))
     rows, state = run()
     assert told <= rows and state == {"y"}
+
+
+def test_late_parts_of_complete_sessions_are_counted_with_the_others(spark, tmp_path):
+    checkpoint, out, path = fresh_path(spark, "c"), fresh_path(spark, "o"), f"{tmp_path}/parts"
+
+    def make():
+        parts = spark.readStream.schema("session_id string, folder string, role string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+        return stateful.session_completeness(parts, "1 second", wait_ms=60_000, keep_ms=600_000)
+
+    for rows in (
+        [("a", "a1", "edge", 1.0), ("a", "a2", "companion", 2.0)], [("x", "x1", "edge", 100.0)], [("x", "x1", "edge", 110.0)],
+        [("a", "a3", "edge", 200.0), ("a", "a1", "edge", 200.0)],
+    ):
+        df = spark.createDataFrame(rows, "session_id string, folder string, role string, t double")
+        df.select("session_id", "folder", "role", F.timestamp_seconds("t").alias("ts")).coalesce(1).write.mode("append").parquet(path)
+    got, _ = _run(spark, make, ["session_id"], checkpoint, out)
+    assert {tuple(r) for r in got.collect() if r.session_id == "a"} == {("a", 3, "merged", "")}
