@@ -106,9 +106,9 @@ SELECT r.session_id, r.arb_id, printf('0x%X', r.arb_id) AS arb_hex, r.n, ROUND(p
 FROM roles r LEFT JOIN muxv USING (session_id, arb_id)""", "fmux"))
 def bus_census(spark: SparkSession, sf: str) -> DataFrame:
     f = views.frames_mux(spark, sf)
-    roles = fr.message_roles(f)
-    width = fr.payload_width(f)
     history = cut_lineage(frame_history(f, rx_only=False, payload_bytes=8), "history")
+    roles = fr.message_roles(history)
+    width = history.groupBy(*fr.KEY).agg(F.max("size").alias("width"))
     mux = detect_multiplexor(frame_steps(history))
     return (
         roles.join(width, fr.KEY)
