@@ -46,27 +46,45 @@ def _as(v: Column, kind: str) -> Column:
     return F.try_variant_get(v, "$", kind)
 
 
-def _is(v: Column, kind: str) -> Column:
-    """Whether a VARIANT has a type of the formats."""
-    found = F.schema_of_variant(v)
+def _type_checked(entries: Column, types: dict[str, str], prefix: Column | None = None) -> Column:
+    """Keys of a map of VARIANT values with their wanted type and whether they have it.
+
+    A value's type is read once, whatever the number of types it may be checked for;
+    ``types`` are those of the formats, found under ``prefix`` and the key.
+    """
+    known = F.create_map(*[F.lit(x) for kv in types.items() for x in kv])
+    read = F.transform(F.map_entries(entries), lambda e: F.struct(
+        e["key"].alias("key"),
+        e["value"].alias("v"),
+        F.schema_of_variant(e["value"]).alias("found"),
+        F.try_element_at(known, F.concat(prefix, e["key"]) if prefix is not None else e["key"]).alias("want"),
+    ))
+    return F.transform(read, lambda x: F.struct(
+        x["key"].alias("key"),
+        x["want"].alias("want"),
+        (x["v"].isNull() | x["want"].startswith("one") | _has_type(x["v"], x["found"], x["want"])).alias("ok"),
+    ))
+
+
+def _has_type(v: Column, found: Column, want: Column) -> Column:
+    """Whether a VARIANT of type ``found`` has the type ``want`` of the formats."""
     number = found.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    base = kind.rstrip("!?")
-    ok = {
-        "number": number,
-        "integer": number & (_as(v, "double") == F.floor(_as(v, "double"))),
-        "string": found == "STRING",
-        "boolean": found == "BOOLEAN",
-        "object": found.startswith("OBJECT"),
-        "numbers": found.startswith("ARRAY") & ~F.exists(
+    is_a = want.startswith
+    ok = (
+        F.when(is_a("numbers"), found.startswith("ARRAY") & ~F.exists(
             _as(v, "array<variant>"), lambda x: ~F.schema_of_variant(x).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-        ),
-    }[base]
-    ok = F.coalesce(ok, F.lit(False))
-    return ok | (found == "VOID") if kind.endswith("?") else ok
+        ))
+        .when(is_a("number"), number)
+        .when(is_a("integer"), number & (_as(v, "double") == F.floor(_as(v, "double"))))
+        .when(is_a("string"), found == "STRING")
+        .when(is_a("boolean"), found == "BOOLEAN")
+        .when(is_a("object"), found.startswith("OBJECT"))
+    )
+    return F.coalesce(ok, F.lit(False)) | (want.endswith("?") & (found == "VOID"))
 
 
 def value_rules(stream: str, keys: Column) -> Rules:
-    """Rules on the values of the parsed record ``keys``; a missing key breaks only its ``missing`` rule."""
+    """Rules on the values of the parsed record ``keys`` beside their types; a missing key breaks only its ``missing`` rule."""
     at = lambda k: F.try_element_at(keys, F.lit(k))
     number = lambda k: _as(at(k), "double")
     text = lambda k: _as(at(k), "string")
@@ -88,29 +106,29 @@ def value_rules(stream: str, keys: Column) -> Rules:
         "location": {"lat.range": ~number("lat").between(-90, 90), "lon.range": ~number("lon").between(-180, 180)},
         "motion": {f"{k}.length": three(k) for k in ("acc", "gravity", "rot", "att", "mag")},
         "dashboard": {"conf.range": unit("conf")},
-        "telltale": {"conf.range": unit("conf"), "state.enum": at("state").isNotNull() & ~(_is(at("state"), "integer") & F.coalesce(number("state").isin(0.0, 1.0), F.lit(False)))},
+        "telltale": {"conf.range": unit("conf"), "state.enum": at("state").isNotNull() & ~(
+            _has_type(at("state"), F.schema_of_variant(at("state")), F.lit("integer")) & F.coalesce(number("state").isin(0.0, 1.0), F.lit(False))
+        )},
         "gear": {"conf.range": unit("conf")},
         "car_hw": {"kind.enum": one_of("kind", list(PAYLOADS)), "status.enum": one_of("status", STATUSES)},
         "photo_index": {},
     }
-    types = {
-        f"{k}.type": at(k).isNotNull() & ~_is(at(k), kind) for k, kind in FORMATS[stream].items() if not kind.startswith("one")
-    }
-    return rules[stream] | types
+    return rules[stream]
+
+
+def _wrong_types(checked: Column, prefix: str = "") -> Column:
+    wrong = F.filter(checked, lambda x: x["want"].isNotNull() & ~x["ok"])
+    return F.transform(wrong, lambda x: F.concat(F.lit(prefix), x["key"], F.lit(".type")))
 
 
-def payload_violations(keys: Column) -> Column:
+def _unknown(checked: Column, prefix: str = "") -> Column:
+    return F.transform(F.filter(checked, lambda x: x["want"].isNull()), lambda x: F.concat(F.lit(prefix), x["key"], F.lit(".unknown")))
+
+
+def payload_violations(kind: Column, checked: Column) -> Column:
     """Unknown keys and wrong types in the payload of a head-unit answer; values have no range."""
-    payload = _as(F.try_element_at(keys, F.lit("data")), "map<string,variant>")
-    kind = _as(F.try_element_at(keys, F.lit("kind")), "string")
-    found = F.array().cast("array<string>")
-    for name, fields in PAYLOADS.items():
-        fields = fields | REASON
-        unknown = F.transform(F.array_except(F.map_keys(payload), F.array(*map(F.lit, fields))), lambda k: F.concat(F.lit("data."), k, F.lit(".unknown")))
-        at = {k: F.try_element_at(payload, F.lit(k)) for k in fields}
-        wrong = [F.when(at[k].isNotNull() & ~_is(at[k], t), F.lit(f"data.{k}.type")) for k, t in fields.items()]
-        found = F.when(kind == name, F.concat(unknown, F.array_compact(F.array(*wrong)))).otherwise(found)
-    return F.coalesce(found, F.array().cast("array<string>"))
+    found = F.concat(_unknown(checked, "data."), _wrong_types(checked, "data."))
+    return F.coalesce(F.when(kind.isin(list(PAYLOADS)), found), F.array().cast("array<string>"))
 
 
 def violations(records: DataFrame, stream: str) -> DataFrame:
@@ -119,16 +137,25 @@ def violations(records: DataFrame, stream: str) -> DataFrame:
     Text that is no JSON object misses every required key.
     """
     x = records.withColumn("_keys", F.coalesce(_as(F.try_parse_json("record"), "map<string,variant>"), F.create_map().cast("map<string,variant>")))
-    keys, names = F.col("_keys"), F.map_keys("_keys")
-    lit = lambda ks: F.array(*[F.lit(k) for k in ks])
+    keys = F.col("_keys")
+    # each step is a column of its own, so that it is made once
+    x = x.withColumn("_types", _type_checked(keys, FORMATS[stream]))
     required = [k for k, kind in FORMATS[stream].items() if kind.endswith("!")]
-    missing = F.transform(F.array_except(lit(required), names), lambda k: F.concat(k, F.lit(".missing")))
-    extra = F.transform(F.array_except(names, lit(FORMATS[stream])), lambda k: F.concat(k, F.lit(".unknown")))
+    missing = F.transform(
+        F.array_except(F.array(*map(F.lit, required)), F.map_keys(keys)), lambda k: F.concat(k, F.lit(".missing"))
+    )
     checks = F.array_compact(
         F.array(*[F.when(broken, F.lit(name)) for name, broken in value_rules(stream, keys).items()])
     )
-    lists = [missing, extra, checks] + ([payload_violations(keys)] if stream == "car_hw" else [])
-    return x.withColumn("violations", F.sort_array(F.concat(*lists))).drop("_keys")
+    lists = [missing, _unknown(F.col("_types")), _wrong_types(F.col("_types")), checks]
+    if stream == "car_hw":
+        kind = _as(F.try_element_at(keys, F.lit("kind")), "string")
+        payload = _as(F.try_element_at(keys, F.lit("data")), "map<string,variant>")
+        types = {f"{name}.{k}": t for name, fields in PAYLOADS.items() for k, t in (fields | REASON).items()}
+        x = x.withColumn("_kind", kind).withColumn("_payload", payload)
+        x = x.withColumn("_data", _type_checked(F.col("_payload"), types, F.concat("_kind", F.lit("."))))
+        lists.append(payload_violations(F.col("_kind"), F.col("_data")))
+    return x.withColumn("violations", F.sort_array(F.concat(*lists))).select(*records.columns, "violations")
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -136,6 +163,10 @@ def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def rule_counts(checked: DataFrame) -> DataFrame:
-    return checked.select("session_id", F.explode("violations").alias("rule")).groupBy("session_id", "rule").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    """Records per session and broken rule.
+
+    A plain explode would put a filter on the list below it, and with that the whole
+    validation, copied for every use of each of its steps; ``explode_outer`` does not.
+    """
+    rules = checked.select("session_id", F.explode_outer("violations").alias("rule")).filter(F.col("rule").isNotNull())
+    return rules.groupBy("session_id", "rule").agg(F.count(F.lit(1)).alias("n"))

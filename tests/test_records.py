@@ -243,3 +243,17 @@ def test_signal_database_files(spark, tmp_path):
     sinks.write_signal_database(lines, str(tmp_path / "db"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "db" / "session_id=s").glob("part-*")))
     assert text == "VERSION\nBO_ 7\n SG_ a\n"
+
+
+def test_rule_counts_parse_a_record_once(spark):
+    from signalspark.sources import validate
+
+    records = spark.createDataFrame(
+        [("s", '{"t_utc":1,"kind":"energy","status":"odd","data":{"battery_percent":"x","soc":1}}'), ("s", "no"), ("t", '{"t_utc":2,"kind":"speed","status":"success","data":{"raw_mps":1}}')],
+        "session_id string, record string",
+    )
+    counts = validate.rule_counts(validate.violations(records, "car_hw"))
+    assert {(r.session_id, r.rule, r.n) for r in counts.collect()} == {
+        ("s", x, 1) for x in ("status.enum", "data.battery_percent.type", "data.soc.unknown", "t_utc.missing", "kind.missing", "status.missing")
+    }
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
