@@ -73,8 +73,12 @@ def live_counts(frames: DataFrame, delay: str, width: str = "1 second") -> DataF
 
 
 def _quad(j: int, pad: str):
-    """Four bytes of a payload as a number; bytes past its end are ``pad``, which an OR or an AND passes over."""
-    return F.expr(f"CAST(conv(hex(rpad(substring(data, {4 * j + 1}, 4), 4, X'{pad}')), 16, 10) AS BIGINT)")
+    """Four bytes of a payload as a number; bytes past its end are ``pad``, which an OR or an AND passes over.
+
+    NULL when the payload ends before them: an OR or an AND passes over that too, and nothing is converted.
+    """
+    value = f"CAST(conv(hex(rpad(substring(data, {4 * j + 1}, 4), 4, X'{pad}')), 16, 10) AS BIGINT)"
+    return F.expr(f"CASE WHEN octet_length(data) > {4 * j} THEN {value} END")
 
 
 def rolling_census(frames: DataFrame, delay: str, width: str = "10 seconds") -> DataFrame:

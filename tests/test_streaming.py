@@ -179,3 +179,12 @@ def test_late_parts_of_complete_sessions_are_counted_with_the_others(spark, tmp_
         df.select("session_id", "folder", "role", F.timestamp_seconds("t").alias("ts")).coalesce(1).write.mode("append").parquet(path)
     got, _ = _run(spark, make, ["session_id"], checkpoint, out)
     assert {tuple(r) for r in got.collect() if r.session_id == "a"} == {("a", 3, "merged", "")}
+
+
+def test_census_converts_no_bytes_a_payload_lacks(spark):
+    from signalspark.streaming.jobs import _quad
+
+    df = spark.createDataFrame([(bytes([1, 2, 3, 4, 5]),)], "data binary")
+    assert tuple(df.select(_quad(0, "00"), _quad(1, "00"), _quad(1, "FF"), _quad(2, "00")).first()) == (
+        0x01020304, 0x05000000, 0x05FFFFFF, None
+    )
