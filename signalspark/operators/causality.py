@@ -51,9 +51,10 @@ def command_candidates(
 ) -> DataFrame:
     """Candidates that lead an effect, the strongest ``top_k`` per effect.
 
-    Every (id, effect) pair has its own grid.  An effect moved by a lag is a
-    reference of its own, so all lags of all candidates of an id come out of the
-    same matrix products as plain matching; it is moved inside the task.  Given
+    Every (id, effect) pair has its own grid; ids whose grids with an effect are the
+    same share them, so an effect is resampled once per grid and not once per id.  An
+    effect moved by a lag is a reference of its own, so all lags of all candidates of
+    an id come out of the same matrix products as plain matching; it is moved inside the task.  Given
     ``alignment`` (session_id, delta), frames are moved from the edge clock to the
     companion's, on which the effects are.
     """
@@ -75,8 +76,10 @@ def command_candidates(
         .filter("t1 > t0")
         .withColumn("n_grid", F.floor((F.col("t1") - F.col("t0")) * F.lit(float(hz))) + 1)
         .filter(F.col("n_grid") >= MIN_GRID)
-        .withColumn("group_id", F.concat_ws("|", "session_id", "arb_id", "effect_no"))
+        .withColumn("group_id", F.concat_ws("|", "session_id", "effect_no", "t0", "n_grid"))
     )
+    pairs = cut_lineage(pairs.select(*KEY, "name", "base", "t0", "n_grid", "group_id"), "pairs")
+    shared = pairs.select("session_id", "name", "base", "t0", "n_grid", "group_id").distinct()
     # every id of a session meets every effect, on the grid of that pair
     grids = pairs.groupBy(*KEY).agg(F.collect_list(F.struct("group_id", "t0", "n_grid")).alias("g"))
     x = attach(
@@ -101,14 +104,14 @@ def command_candidates(
             *[F.col(f"big_{j}").alias(f"big_{j}_hi") for j in range(words)],
         )
     ).join(facts, KEY).drop("session_id")
-    on_pair = attach(
+    on_grid = attach(
         effects.select("session_id", "name", "t", "v"),
-        pairs.groupBy("session_id", "name").agg(F.collect_list("group_id").alias("groups")),
+        shared.groupBy("session_id", "name").agg(F.collect_list("group_id").alias("groups")),
         ["session_id", "name"], "t",
     ).select(F.explode("groups").alias("group_id"), "t", "v")
-    e = ts.resample(on_pair, pairs.select("group_id", "t0", "n_grid"), ["group_id"], ["group_id"], hz, max_gap)
+    e = ts.resample(on_grid, shared.select("group_id", "t0", "n_grid"), ["group_id"], ["group_id"], hz, max_gap)
     ends = [F.floor((F.col("gi") + d) / F.lit(scoring.RUN_POINTS)) for d in (-k, k)]
-    refs = e.join(pairs.select("group_id", "base"), "group_id").select(
+    refs = e.join(shared.select("group_id", "base"), "group_id").select(
         "group_id", F.lit(0).alias("ref_no"), "gi", F.explode(F.sequence(*ends)).alias("run"),
         (F.col("v") - F.col("base")).alias("v"), F.lit(0.0).alias("slack"),
     )
@@ -120,7 +123,7 @@ def command_candidates(
     lead = scored.groupBy("group_id", "arb_id", "seq").agg(best.alias("b")).select(
         "group_id", "arb_id", "seq", ((F.col("b.ref_no") - k) / F.lit(float(hz))).alias("lead_s"), F.col("b.r").alias("r")
     ).filter((F.col("lead_s") > min_lead_s) & (F.abs("r") >= min_r))
-    named = lead.join(pairs.select("group_id", "session_id", "name"), "group_id").join(
+    named = lead.join(pairs.select("group_id", *KEY, "name"), ["group_id", "arb_id"]).join(
         candidates.select(*KEY, F.col("f.seq").alias("seq"), "label"), [*KEY, "seq"]
     )
     w = Window.partitionBy("session_id", "name").orderBy(

@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import math
 import random
+from functools import reduce
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from helpers import frames
 from signalspark.functions import stats
@@ -116,6 +117,28 @@ def test_causes_lead_across_clocks(spark):
     assert tuple(ca.causality_lead(cause, effect, ["session_id"]).first()) == ("s", 0.0, 0.0)
 
 
+def test_commands_share_the_grids_of_an_effect(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    walks = np.clip(128 + np.cumsum(rng.integers(-9, 10, size=(4, 300)), axis=1), 0, 255)
+    lengths = [300, 300, 300, 280]  # the last id has a grid of its own
+    parts = [frames(spark, [[int(b)] for b in w[:n]], 0x100 + i, 0.05) for i, (w, n) in enumerate(zip(walks, lengths))]
+    effect = spark.createDataFrame([("s", "brake", i * 0.05 + 0.3, float(x)) for i, x in enumerate(walks[1])], "session_id string, name string, t double, v double")
+    grids, resample = [], ts.resample
+    monkeypatch.setattr(ts, "resample", lambda s, grid, *a, **kw: grids.append(grid.count()) or resample(s, grid, *a, **kw))
+
+    def found(some):
+        h = fd.frame_history(some)
+        fields = fd.candidates(fd.frame_steps(h), drop_counters=False, drop_checksums=False)
+        rows = ca.command_candidates(h, fields, effect, min_r=0.05, top_k=1000).collect()
+        return {(r.arb_id, r.label): (r.lead_s, round(r.r, 9)) for r in rows}
+
+    together = found(reduce(DataFrame.unionByName, parts))
+    assert grids == [2]
+    alone = found(parts[1]) | found(parts[3])
+    assert alone and alone == {k: v for k, v in together.items() if k[0] in (0x101, 0x103)}
+    assert max(together.items(), key=lambda kv: abs(kv[1][1]))[0][0] == 0x101
+
+
 def test_mutual_information_matches_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=400)
