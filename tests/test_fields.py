@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from helpers import frames, steps
 from signalspark.functions.payload import all_fields, byte_fields, decode_int
+from signalspark.operators import clusters as cl
 from signalspark.operators import fields as fd
 from signalspark.operators import frames as fr
 from signalspark.operators import mux as mx
 from signalspark.operators.slices import trailing_sums, with_next, with_previous, with_row_number, with_running_sum
+from signalspark.plans.q_identify import _reps
 
 
 def _value(payload: bytes, f) -> int:
@@ -189,3 +191,22 @@ def test_selector_behind_the_eighth_byte(spark):
     found = mx.detect_multiplexor(s).collect()
     assert [(r.mux_byte, list(r.mux_values)) for r in found] == [(10, [0, 1, 2])]
     assert {r.off for r in mx.extract_multiplexed(s, mx.detect_multiplexor(s)).select("f.off").collect()} >= {11}
+
+
+def test_representatives_read_the_frames_once(spark, monkeypatch):
+    rng = random.Random(4)
+    walk, rows = 500, []
+    for i in range(120):
+        walk += rng.randint(-9, 9)
+        rows.append([i % 256, walk >> 8, walk & 255, 85, rng.randint(0, 2), rng.randint(0, 255)])
+    h = fd.frame_history(frames(spark, rows).unionByName(frames(spark, [r[::-1] for r in rows], 0x3C1)))
+    s = fd.frame_steps(h)
+    want = cl.representatives(fd.classify(s), fd.candidates(s, max_width=2, bits=False))
+    facts = fd.byte_facts(s)
+    names = lambda x: sorted((r.arb_id, r.seq, r.label) for r in x.collect())
+    assert names(fd.byte_candidates(facts)) == names(fd.candidates(s, max_width=2, bits=False))
+    passes, partial_stats = [], fd.fb.partial_stats
+    monkeypatch.setattr(fd.fb, "partial_stats", lambda *a, **kw: passes.append(1) or partial_stats(*a, **kw))
+    got = _reps(h)
+    assert len(passes) == 1
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
