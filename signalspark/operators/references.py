@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from signalspark.context import cut_lineage
 from signalspark.operators import tseries as ts
 from signalspark.operators.frames import attach
 
@@ -170,5 +171,6 @@ def build_references(families: list[DataFrame], minimum: int = MIN_SAMPLES) -> D
     """
     s = reduce(DataFrame.unionByName, [f.withColumn("_family", F.lit(i)) for i, f in enumerate(families)])
     enough = enough_samples(s.groupBy(*SERIES, "_family").agg(F.count(F.lit(1)).alias("n")), minimum)
-    last = enough.groupBy(*SERIES).agg(F.max("_family").alias("_last"))
+    # one row per series; stored, its size is known, and samples need no shuffle to meet a small table
+    last = cut_lineage(enough.groupBy(*SERIES).agg(F.max("_family").alias("_last")), "families")
     return attach(s, last, SERIES, "t").filter("_family = _last").drop("_family", "_last")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from signalspark.context import cut_lineage
 from signalspark.operators import references as rf
 from signalspark.plans import views
 from signalspark.plans.registry import Family
@@ -124,10 +125,13 @@ ALL_SQL = " UNION ALL ".join(f"(SELECT * FROM ({x}))" for x in (GPS, IMU, EIMU,
 SELECT session_id, name, unit, kind, clock, COUNT(*) AS n, MIN(t) AS t_start, MAX(t) AS t_end, ROUND(SUM(v),3) AS total FROM u
 GROUP BY ALL HAVING COUNT(*)>=8""", "sens", "gdv", "lab", "obdref"))
 def all_references(spark: SparkSession, sf: str) -> DataFrame:
-    m, lab, smp = views.sensors_e(spark, sf), views.labels_e(spark, sf), views.samples_l(spark, sf)
+    # every family reads its stream, and families are read to be counted first
+    m, lab = cut_lineage(views.sensors_e(spark, sf), "sensors"), cut_lineage(views.labels_e(spark, sf), "labels")
+    smp = cut_lineage(views.samples_l(spark, sf).select("session_id", "pos", "name", "pid", "t", "value", "unit"), "samples")
+    gps = cut_lineage(rf.gps_references(m, DAY, ("t", "event_id")), "gps")
     s = rf.build_references(
         [
-            rf.gps_references(m, DAY, ("t", "event_id")), rf.imu_references(m), rf.obd_references(smp),
+            gps, rf.imu_references(m), rf.obd_references(smp),
             rf.imu_references(m, "edge"), rf.edge_gps_references(m), rf.dashboard_references(lab),
             rf.telltale_references(lab), rf.gear_references(lab), rf.regen_references(m),
             rf.regen_references(m, "edge"), rf.ev_obd_references(smp),

@@ -158,6 +158,13 @@ def test_derivative_matches_numpy(spark):
     assert np.allclose([d[x] for x in t], np.gradient(v, t))
 
 
+def test_derivative_between_equal_times_is_not_finite(spark):
+    v = [0.0, 2.0, 2.0, 5.0, 4.0]
+    x = spark.createDataFrame([("s", t, y, i) for i, (t, y) in enumerate(zip([0.0, 0.0, 1.0, 1.0, 1.0], v))], S + ", i int")
+    got = [r.dv for r in ts.derivative(x, ["session_id"], 60.0, ("t", "i")).orderBy("i").collect()]
+    assert got[0] == math.inf and got[4] == -math.inf and not any(map(math.isfinite, got[1:4]))
+
+
 def _warp_by_table(a, b, band_frac=0.1):
     a, b = (np.asarray(a) - np.mean(a)) / np.std(a), (np.asarray(b) - np.mean(b)) / np.std(b)
     n, m = len(a), len(b)
