@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pandas as pd
+
 import random
 
 import pytest
@@ -188,3 +190,48 @@ def test_census_converts_no_bytes_a_payload_lacks(spark):
     assert tuple(df.select(_quad(0, "00"), _quad(1, "00"), _quad(1, "FF"), _quad(2, "00")).first()) == (
         0x01020304, 0x05000000, 0x05FFFFFF, None
     )
+
+
+class _Handle:
+    """Stands for the state of one key and counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+
+def test_a_batch_of_a_tracked_id_reads_and_writes_its_state_once():
+    handle, tracker = _Handle(), stateful.PayloadTracker(1000)
+    tracker.init(handle)
+
+    def batch(*rows):
+        pdf = pd.DataFrame([(float(t), i, d) for i, (t, d) in enumerate(rows)], columns=["t_mono", "row_seq", "data"])
+        (out,) = tracker.handleInputRows(("s", 1), iter([pdf.assign(ts=pd.to_datetime(pdf["t_mono"], unit="s"))]), None)
+        return out.iloc[0]
+
+    batch((1, b"\x01\x02"), (0, b"\x01"))
+    assert (handle.calls, handle.timers) == (3, [2000])
+    last = batch((5, b"\x01\x03\x09"))
+    assert (handle.calls, handle.timers) == (5, [2000])
+    assert (last.n, last.first_hex, last.last_hex, last.changing_bytes) == (3, "01", "010309", "")
+    at = lambda ms: type("Values", (), {"getCurrentWatermarkInMs": lambda self: ms})()
+    assert list(tracker.handleExpiredTimer(("s", 1), at(3000), None)) == [] and handle.timers == [2000, 6000]
+    (out,) = tracker.handleExpiredTimer(("s", 1), at(6000), None)
+    assert out.iloc[0].silent and out.iloc[0].n == 3 and handle.value is None
