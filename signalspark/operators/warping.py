@@ -1,19 +1,23 @@
 """Shape similarity of two series by banded dynamic time warping.
 
 The recurrence runs along both series, so it has no relational form; Spark
-pairs and groups the series, and each task warps one pair at a time.  A pair is
+pairs and groups the series, and a task warps the pairs of a batch side by side.  A pair is
 two series on a grid, whose length follows the grid and not the row counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 
+#: Numbers of pairs that are warped side by side.
+CELLS = 1 << 18
+
+
 def _zscore(v: np.ndarray) -> np.ndarray | None:
     v = v[np.isfinite(v)]
     if len(v) < 3 or v.std() < 1e-12:
@@ -22,38 +26,60 @@ def _zscore(v: np.ndarray) -> np.ndarray | None:
 
 
 def warp_similarity(a: np.ndarray, b: np.ndarray, band_frac: float = 0.1) -> float:
-    """1 / (1 + warping cost per step) within a diagonal band; 0 if degenerate.
+    """1 / (1 + warping cost per step) within a diagonal band; 0 if degenerate."""
+    return warp_similarities([(a, b)], band_frac)[0]
+
+
+def warp_similarities(pairs: Sequence[tuple[np.ndarray, np.ndarray]], band_frac: float = 0.1) -> list[float]:
+    """``warp_similarity`` of many pairs, those of equal lengths side by side."""
+    out, by_size = [0.0] * len(pairs), {}
+    for at, (a, b) in enumerate(pairs):
+        x, y = _zscore(np.asarray(a, float)), _zscore(np.asarray(b, float))
+        if x is not None and y is not None:
+            by_size.setdefault((len(x), len(y)), []).append((at, x, y))
+    for (n, m), some in by_size.items():
+        step = max(1, CELLS // (n + m))
+        for k in range(0, len(some), step):
+            places, xs, ys = zip(*some[k : k + step])
+            for at, cost in zip(places, _costs(np.stack(xs), np.stack(ys), band_frac)):
+                out[at] = float(1.0 / (1.0 + cost / (n + m)))
+    return out
+
+
+def _costs(x: np.ndarray, y: np.ndarray, band_frac: float) -> np.ndarray:
+    """Least warping cost of every row of ``x`` with that of ``y``.
 
     Cells are filled one anti-diagonal at a time: a cell needs only the two
-    diagonals before it, so every diagonal is one vector operation.
+    diagonals before it, so a diagonal of all pairs is one vector operation.
     """
-    x, y = _zscore(np.asarray(a, float)), _zscore(np.asarray(b, float))
-    if x is None or y is None:
-        return 0.0
-    n, m = len(x), len(y)
+    n, m = x.shape[1], y.shape[1]
     band = max(int(band_frac * max(n, m)), abs(n - m) + 1)
-    last = np.full(n + 1, np.inf)  # diagonal s - 1, indexed by i
-    older = np.full(n + 1, np.inf)  # diagonal s - 2
-    older[0] = 0.0
+    back = y[:, ::-1]
+    last = np.full((len(x), n + 1), np.inf)  # diagonal s - 1, indexed by i
+    older = np.full((len(x), n + 1), np.inf)  # diagonal s - 2
+    older[:, 0] = 0.0
     for s in range(2, n + m + 1):
         lo = max(1, s - m, -((band - s) // 2))
         hi = min(n, s - 1, (s + band) // 2)
-        now = np.full(n + 1, np.inf)
+        now = np.full((len(x), n + 1), np.inf)
         if lo <= hi:
-            i = np.arange(lo, hi + 1)
-            near = np.minimum(np.minimum(last[i - 1], last[i]), older[i - 1])
-            now[i] = (x[i - 1] - y[s - i - 1]) ** 2 + near
+            near = np.minimum(np.minimum(last[:, lo - 1 : hi], last[:, lo : hi + 1]), older[:, lo - 1 : hi])
+            now[:, lo : hi + 1] = (x[:, lo - 1 : hi] - back[:, m - s + lo : m - s + hi + 1]) ** 2 + near
         older, last = last, now
-    return float(1.0 / (1.0 + last[n] / (n + m)))
+    return last[:, n]
 
 
 def dtw_similarity(pairs: DataFrame, keys: Sequence[str], band_frac: float = 0.1) -> DataFrame:
     """``pairs`` has keys, ``gi``, ``x``, ``y``; one similarity per key."""
     fields = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
     schema = ", ".join(f"{k} {fields[k]}" for k in keys) + ", similarity double"
+    points = F.sort_array(F.collect_list(F.struct("gi", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))))
+    packed = pairs.groupBy(*keys).agg(points.alias("p")).select(*keys, F.col("p.x").alias("x"), F.col("p.y").alias("y"))
 
-    def warp(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("gi")
-        return pd.DataFrame([[*key, warp_similarity(pdf["x"].to_numpy(), pdf["y"].to_numpy(), band_frac)]])
+    def warp(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[list(keys)].assign(similarity=warp_similarities(list(zip(pdf["x"], pdf["y"])), band_frac))
 
-    return pairs.select(*keys, "gi", "x", "y").groupBy(*keys).applyInPandas(warp, schema)
+    # as many tasks as the session shuffles to, however few bytes the series have
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packed.repartition(n, *keys).mapInPandas(warp, schema)

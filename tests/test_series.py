@@ -17,7 +17,8 @@ from signalspark.operators import fields as fd
 from signalspark.operators import identify as idn
 from signalspark.operators import scoring
 from signalspark.operators import tseries as ts
-from signalspark.operators.warping import warp_similarity
+from signalspark.operators import warping
+from signalspark.operators.warping import dtw_similarity, warp_similarity
 
 S = "session_id string, t double, v double"
 
@@ -187,6 +188,19 @@ def test_warping_matches_full_table():
     assert warp_similarity([1, 1, 1], s) == 0.0 and warp_similarity([1, 2], s) == 0.0
 
 
+def test_pairs_of_a_batch_are_warped_side_by_side(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    pairs = {f"s{k}": rng.normal(size=(2, 30 + k % 2)).cumsum(1) for k in range(12)} | {"flat": np.ones((2, 30))}
+    rows = [(k, i, float(x), float(y)) for k, (a, b) in pairs.items() for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "session_id string, gi long, x double, y double")
+    got = {r.session_id: r.similarity for r in dtw_similarity(df, ["session_id"]).collect()}
+    assert got.pop("flat") == 0.0 and len(got) == 12
+    assert all(abs(got[k] - _warp_by_table(*pairs[k])) < 1e-12 for k in got)
+    calls, costs = [], warping._costs
+    monkeypatch.setattr(warping, "_costs", lambda x, y, b: calls.append(len(x)) or costs(x, y, b))
+    assert warping.warp_similarities(list(pairs.values()))[:12] == list(got[f"s{k}"] for k in range(12)) and calls == [6, 6]
+
+
 def test_marker_alignment(spark):
     motion = spark.createDataFrame(
         [("s", i / 10, -0.4 if i == 20 else 0.01) for i in range(100)], "session_id string, t double, acc_x double"

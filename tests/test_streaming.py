@@ -1,9 +1,8 @@
 from __future__ import annotations
 
-import pandas as pd
-
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
