@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from signalspark.llm.components import components
+from signalspark.llm.repeats import again_filter
 from signalspark.llm.shingles import WORDS, shingle_sets
 from signalspark.llm.tables import keep_rows, partitions, remove, store
 from signalspark.llm.textmap import with_text_columns
@@ -439,6 +440,20 @@ def close_pairs(dealt: DataFrame, percent: int, best: bool) -> DataFrame:
     return x.mapInArrow(scan, "token long, src long, dst long, held boolean")
 
 
+def tokens_again(reps: DataFrame) -> DataFrame:
+    """Rows (token, cls, n) of the tokens of ``reps`` (prefix, cls, n) that may occur again."""
+    listed = again_filter(reps.select("prefix"))
+
+    def few(batches):
+        for b in batches:
+            token = b.column(0).flatten().to_numpy()
+            ok = listed(token)
+            of = pa.array(np.repeat(np.arange(b.num_rows), b.column(0).value_lengths().to_numpy())[ok])
+            yield pa.RecordBatch.from_arrays([pa.array(token[ok]), b.column(1).take(of), b.column(2).take(of)], ["token", "cls", "n"])
+
+    return reps.select("prefix", "cls", F.col("n").cast("int").alias("n")).mapInArrow(few, "token long, cls long, n int")
+
+
 def link_classes(
     table: DataFrame, sets_for: Callable[[DataFrame], DataFrame], percent: int, ordered: bool = True
 ) -> DataFrame:
@@ -446,12 +461,15 @@ def link_classes(
 
     ``table`` has doc_id, n, set, bitmaps and prefix (the tokens on which
     classes meet; ``ordered`` if they are the first of the set in an order that all
-    sets share); a class is named as by ``class_of``.  ``sets_for`` reads the sets.
+    sets share, else bands, of which few occur again); a class is named as by
+    ``class_of``.  ``sets_for`` reads the sets.
     """
     spark = table.sparkSession
     reps = table.filter("prefix is not null").withColumn("cls", class_of())
-    rows = reps.select(F.posexplode("prefix").alias("pos", "token"), "cls", F.col("n").cast("int").alias("n"))
-    rows = rows if ordered else rows.withColumn("pos", F.lit(0))
+    if ordered:
+        rows = reps.select(F.posexplode("prefix").alias("pos", "token"), "cls", F.col("n").cast("int").alias("n"))
+    else:
+        rows = tokens_again(reps).withColumn("pos", F.lit(0))
     met, met_path = store(crowded(rows, percent), "met")
     pairs = met.filter("leader <> cls").select(F.col("leader").alias("src"), F.col("cls").alias("dst"))
     shared = met.filter("token is not null").select("token", "cls", "n")

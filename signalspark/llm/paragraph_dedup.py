@@ -146,7 +146,7 @@ def find_repeats(
     x = with_text_columns(x, task, fields, "text", ["doc", "doc_id", "body"], binary=True)
     x = x.select("doc", "doc_id", "body", F.explode("p").alias("p")).select("doc", "doc_id", "body", "p.*")
     table, _ = store(x, "paragraphs")
-    anchors = table.filter("line is null").select("doc", "doc_id", "body", F.inline(F.arrays_zip("first", "many", "seed", "ctx")))
+    anchors = table.filter("line is null").select("doc", "doc_id", "body", "first", "many", "seed", "ctx")
     runs = shared_runs(anchors, documents, text, run)
     runs, _ = store(run_rows(runs, documents, doc_id, text, run), "run-rows")
     table = table.filter("line is not null").drop("first", "many", "seed", "ctx")
@@ -160,19 +160,21 @@ def find_repeats(
 
     labels = link_classes(table, lambda maps: sets_of(documents, maps, doc_id, text, cut), percent, ordered=False)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc", "start")
-    facts = table.groupBy("set").agg(
+    table = table.withColumn("node", class_of())
+    # classes keep the name that their links have: what is summed up by it meets its label where it lies
+    facts = table.groupBy("node").agg(
         F.min(order).alias("best"), F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("size")
     )
-    named = facts.withColumn("node", class_of()).join(labels, "node", "left")
-    named, path = store(named.withColumn("label", F.coalesce("label", "node")).drop("node"), "named")
+    named = facts.join(labels, "node", "left")
+    named, path = store(named.withColumn("label", F.coalesce("label", "node")), "named")
     groups = named.groupBy("label").agg(
         F.min("best").alias("best"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("size").alias("group_size")
     )
     groups = groups.filter("low < high").select("label", "best", "group_size")
-    sets, _ = store(named.select("set", "label").join(groups, "label").drop("label"), "groups")
+    nodes, _ = store(named.select("node", "label").join(groups, "label").drop("label"), "groups")
     remove(documents.sparkSession, path)
     first = (F.col("doc") == F.col("best.doc")) & (F.col("start") == F.col("best.start"))
-    lines = table.select("doc", "doc_id", "body", "line", "start", "end", "n_words", "set").join(sets, "set").select(
+    lines = table.select("doc", "doc_id", "body", "line", "start", "end", "n_words", "node").join(nodes, "node").select(
         "doc", "doc_id", "body", "line", "start", "end", "n_words", "group_size",
         F.col("best.doc_id").alias("keep_doc_id"), F.col("best.start").alias("keep_start"), (~first).alias("removed"),
     )

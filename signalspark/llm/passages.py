@@ -10,13 +10,15 @@ thousands of documents hold costs a row each.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from signalspark.llm.repeats import again_filter
 from signalspark.llm.shingles import PLAIN, word_hashes
-from signalspark.llm.tables import FILTER_BITS, bit_filter, remove, store
+from signalspark.llm.tables import FILTER_BITS, bit_filter, listed_in, remove, store
 from signalspark.operators.frames import attach
 
 RUN = 50
@@ -115,10 +117,24 @@ def _piece(word: Column, many: Column, n: str = "n") -> Column:
     return F.struct(word.cast("int").alias("word"), many.cast("int").alias("many"), keep.alias("keep"), F.col("best.word").alias("keep_word"), F.col(n).alias("n"))
 
 
+def passing(anchors: DataFrame, listed: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """A row per place whose seed ``listed`` lets pass, of rows with lists of places."""
+    names = ["doc", "doc_id", "body", "first", "many", "seed", "ctx"]
+
+    def few(batches):
+        for b in batches:
+            lists = [b.column(i) for i in range(3, 7)]
+            ok = listed(lists[2].flatten().to_numpy())
+            of, mask = pa.array(np.repeat(np.arange(b.num_rows), lists[2].value_lengths().to_numpy())[ok]), pa.array(ok)
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(of) for i in range(3)), *(x.flatten().filter(mask) for x in lists)], names)
+
+    return anchors.select(*names).mapInArrow(few, "doc long, doc_id long, body long, first int, many int, seed long, ctx long")
+
+
 def shared_runs(anchors: DataFrame, documents: DataFrame, text: str, run: int = RUN) -> DataFrame:
     """Runs of ``run`` words or more that occur in several documents.
 
-    ``anchors``: doc, doc_id, body, first, many, seed, ctx.  A row is a run of
+    ``anchors``: doc, doc_id, body and the lists first, many, seed, ctx.  A row is a run of
     words of a document whose windows all occur first (by doc_id, null ids
     last, and place) in one run of another document or place, or here: doc,
     doc_id, body, word, many (windows), keep, keep_word, n (places of its most
@@ -126,17 +142,11 @@ def shared_runs(anchors: DataFrame, documents: DataFrame, text: str, run: int =
     """
     spark = documents.sparkSession
     low, high = F.min("doc").alias("low"), F.max("doc").alias("high")
-    seeds = anchors.groupBy("seed").agg(low, high, (F.min("ctx") != F.max("ctx")).alias("mixed")).filter("low < high")
+    seeds = passing(anchors, again_filter(anchors.select("seed"))).groupBy("seed")
+    seeds = seeds.agg(low, high, (F.min("ctx") != F.max("ctx")).alias("mixed")).filter("low < high")
     seeds, seeds_path = store(seeds.select("seed", "mixed"), "seeds")
-    held = spark.sparkContext.broadcast(bit_filter(seeds.select("seed")))
-
-    @F.pandas_udf("boolean")
-    def listed(seed: pd.Series) -> pd.Series:
-        bit = seed.to_numpy() % FILTER_BITS
-        return pd.Series((held.value[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool))
-
     # only what the filter lets pass is shuffled; a seed that many documents have is dealt over several tasks
-    near, near_path = store(attach(anchors.filter(listed("seed")), seeds, ["seed"], "doc"), "near")
+    near, near_path = store(attach(passing(anchors, listed_in(seeds.select("seed"))), seeds, ["seed"], "doc"), "near")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc", F.col("first").alias("word"), "body")
     classes, classes_path = store(
         near.groupBy("seed", "ctx").agg(
@@ -187,13 +197,15 @@ def shared_runs(anchors: DataFrame, documents: DataFrame, text: str, run: int =
     parts = joined_pieces(parts, "seed long, ctx long").unionByName(
         classes.filter("not mixed").select("seed", "ctx", F.array(_piece(F.lit(0), F.col("many"))).alias("pieces"))
     )
+    parts, parts_path = store(parts, "parts")
+    remove(spark, seeds_path, classes_path, each_path)
     x = near.select("doc", "doc_id", "body", "first", "seed", "ctx").join(parts, ["seed", "ctx"])
     x = x.select("doc", "doc_id", "body", "first", F.inline("pieces"))
     piece = F.struct((F.col("first") + F.col("word")).alias("word"), "many", "keep", "keep_word", "n")
     x = x.groupBy("doc", "doc_id", "body").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
     keys = "doc long, doc_id long, body long"
     runs, _ = store(joined_pieces(x, keys).select("doc", "doc_id", "body", F.inline("pieces")), "runs")
-    remove(spark, seeds_path, near_path, classes_path, each_path)
+    remove(spark, near_path, parts_path)
     return runs
 
 
@@ -237,10 +249,10 @@ def run_rows(runs: DataFrame, documents: DataFrame, doc_id: str, text: str, run:
     """The rows of ``shared_runs`` with their places in the texts, in the columns of ``find_repeats``, and doc."""
     own, keep = F.struct("doc_id", "body"), F.struct("keep.doc_id", "keep.body")
     x = runs.select(
-        "doc", "doc_id", "body", own.alias("own"), F.col("word").cast("long").alias("word"), (F.col("word") + F.col("many") + run - 2).cast("long").alias("last"),
+        "doc", own.alias("own"), F.col("word").cast("long").alias("word"), (F.col("word") + F.col("many") + run - 2).cast("long").alias("last"),
         keep.alias("kept"), F.col("keep_word").cast("long").alias("keep_word"), (F.col("many") + run - 1).cast("long").alias("n_words"),
-        F.col("n").alias("group_size"), "keep.doc_id", ((F.col("keep.doc") != F.col("doc")) | (F.col("keep_word") != F.col("word"))).alias("removed"),
-    ).toDF("doc", "doc_id", "body", "own", "word", "last", "kept", "keep_word", "n_words", "group_size", "keep_doc_id", "removed")
+        F.col("n").alias("group_size"), ((F.col("keep.doc") != F.col("doc")) | (F.col("keep_word") != F.col("word"))).alias("removed"),
+    ).toDF("doc", "own", "word", "last", "kept", "keep_word", "n_words", "group_size", "removed")
     asked = x.select(F.col("own").alias("pair"), F.explode(F.array("word", "last")).alias("word")).unionByName(
         x.select(F.col("kept").alias("pair"), F.col("keep_word").alias("word"))
     )
@@ -248,4 +260,6 @@ def run_rows(runs: DataFrame, documents: DataFrame, doc_id: str, text: str, run:
     x = x.join(at.select(F.col("pair").alias("own"), "word", "line", "start"), ["own", "word"])
     x = x.join(at.select(F.col("pair").alias("own"), F.col("word").alias("last"), "end"), ["own", "last"])
     x = x.join(at.select(F.col("pair").alias("kept"), F.col("word").alias("keep_word"), F.col("start").alias("keep_start")), ["kept", "keep_word"])
-    return x.select("doc", "doc_id", "body", "line", "start", "end", "n_words", "group_size", "keep_doc_id", "keep_start", "removed")
+    return x.select(
+        "doc", "own.doc_id", "own.body", "line", "start", "end", "n_words", "group_size", F.col("kept.doc_id").alias("keep_doc_id"), "keep_start", "removed",
+    )
