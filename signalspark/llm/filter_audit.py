@@ -147,9 +147,9 @@ def mask_counts(
     label = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic")
     )
-    x = attach(flags, same, ["h1", "h2"], "row", how="left")
+    x = attach(flags, same, ["h1", "h2"], "row", how="left", grows=True)
     x = x.withColumn("mask", F.col("mask") + F.when(F.col("doc_id") > F.col("first_doc"), COPY).otherwise(0))
-    x = attach(x.select("doc_id", "row", "part", "mask"), label, ["doc_id"], "row", how="left")
+    x = attach(x.select("doc_id", "row", "part", "mask"), label, ["doc_id"], "row", how="left", grows=True)
     return x.groupBy("part", "mask").agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")
     )

@@ -9,7 +9,7 @@ import numpy as np
 from brute import docs
 from pyspark.sql import functions as F
 
-from signalspark.llm import ngram_join, paragraph_dedup, repeats, tables
+from signalspark.llm import filter_audit, ngram_join, paragraph_dedup, repeats, tables
 
 
 def test_hashes_that_occur_again(spark, monkeypatch):
@@ -52,3 +52,19 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert files() <= before and table.count() == 1000
     assert spark.conf.get(tables.CLEANUP, None) is None
     tables.remove(spark, path)
+
+
+def test_copies_and_labels_are_not_broadcast(spark, monkeypatch):
+    plans, attach = [], filter_audit.attach
+
+    def seen(*args, **kw):
+        out = attach(*args, **kw)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(filter_audit, "attach", seen)
+    df = docs(spark, [(i, f"text {i % 30}") for i in range(40)]).withColumn("source", F.lit("s"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = filter_audit.mask_counts(df, labels).collect()
+    assert sum(r.n for r in got) == 40 and sum(r.n for r in got if r.mask & filter_audit.COPY) == 10
+    assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
