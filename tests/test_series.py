@@ -344,3 +344,18 @@ def test_components_of_a_long_chain_in_any_order_take_few_rounds(spark):
     e = spark.createDataFrame([("s", a, b) for a, b in zip(names, names[1:])], "session_id string, src string, dst string")
     got = cl.connected_components(nodes, e, max_rounds=12).collect()
     assert len(got) == 1000 and {r.label for r in got} == {"n0000"}
+
+
+def test_labels_of_components_are_not_broadcast(spark, monkeypatch):
+    plans, attach = [], cl.attach
+
+    def seen(*args, **kw):
+        out = attach(*args, **kw)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(cl, "attach", seen)
+    nodes = spark.createDataFrame([("s", f"n{i}") for i in range(9)], "session_id string, name string")
+    edges = spark.createDataFrame([("s", f"n{i}", f"n{i + 1}") for i in range(8)], "session_id string, src string, dst string")
+    assert {r.label for r in cl.connected_components(nodes, edges).collect()} == {"n0"}
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
