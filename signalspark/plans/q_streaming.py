@@ -121,7 +121,8 @@ def session_completeness(spark: SparkSession, sf: str) -> DataFrame:
     """Parts arrive a second of ``part_seq`` apart, from a day behind the first watermark on; who still waits behind the marker is told by a timer."""
     path, checkpoint, out = fresh_path(spark, "n05"), _checkpoint(spark, "n05"), fresh_path(spark, "n05-status")
     scanned = scan_parts(parts_o(spark, sf)).select("session_id", "folder", "role", F.timestamp_seconds(F.col("part_seq") + 86400).alias("ts"))
-    scanned = cut_lineage(scanned, "n05-parts")
+    # a file is a batch: a slice's parts of a session lie in one file, and files do not grow in number
+    scanned = cut_lineage(scanned.repartition("session_id").coalesce(FILES), "n05-parts")
     low, high = scanned.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
     step = max(1, -(-(high - low + 1) // SLICES)) if low is not None else 1
 

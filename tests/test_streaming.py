@@ -1,13 +1,15 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime, timezone
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from signalspark.context import fresh_path
 from signalspark.operators.frames import message_census
+from signalspark.plans import q_fleet, q_streaming
 from signalspark.streaming import jobs, stateful
 
 LANDED = "session_id string, arb_id long, t_mono double, row_seq long, data binary, direction string, is_extended boolean"
@@ -234,3 +236,88 @@ def test_a_batch_of_a_tracked_id_reads_and_writes_its_state_once():
     assert list(tracker.handleExpiredTimer(("s", 1), at(3000), None)) == [] and handle.timers == [2000, 6000]
     (out,) = tracker.handleExpiredTimer(("s", 1), at(6000), None)
     assert out.iloc[0].silent and out.iloc[0].n == 3 and handle.value is None
+
+
+class _Named(_Handle):
+    """State variables of one key by name, with their timers and calls together."""
+
+    def __init__(self):
+        super().__init__()
+        self.states = {}
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, _Part(self))
+
+    def getListState(self, name, schema):
+        return self.getValueState(name, schema)
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(self.timers)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class _Part:
+    def __init__(self, handle):
+        self.handle, self.value = handle, None
+
+    def get(self):
+        self.handle.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.handle.calls += 1
+        self.value = value
+
+    def appendValue(self, value):
+        self.update([*(self.value or []), value])
+
+    def clear(self):
+        self.update(None)
+
+
+def test_a_batch_of_a_session_reads_and_writes_its_state_once(monkeypatch):
+    monkeypatch.setattr(stateful.CompletenessWatch, "INLINE", 3)
+    handle, watch = _Named(), stateful.CompletenessWatch(1000, 5000)
+    watch.init(handle)
+    at = lambda ms: type("Values", (), {"getCurrentWatermarkInMs": lambda self: ms})()
+
+    def batch(*parts):
+        before = handle.calls
+        rows = [Row(session_id="s", folder=f, role=r, ts=datetime.fromtimestamp(t, timezone.utc)) for f, r, t in parts]
+        return [tuple(r) for r in watch.handleInputRows(("s",), iter(rows), None)], handle.calls - before
+
+    def timer(ms):
+        handle.timers.remove(min(handle.timers))
+        return [tuple(r) for r in watch.handleExpiredTimer(("s",), at(ms), None)]
+
+    assert batch(("a", "edge", 1), ("b", "edge", 2), ("a", "edge", 1)) == ([], 4) and handle.timers == [3000]
+    assert batch(("b", "edge", 3)) == ([], 2) and handle.timers == [3000]
+    assert timer(3500) == [] and handle.timers == [4000]
+    assert timer(4500) == [("s", 2, "awaiting", "companion")] and handle.timers == [9000]
+    # names beyond the first three lie in a list, and parts that come again are not counted again
+    assert batch(*((f, "edge", 4) for f in "abcdef"))[0] == [] and handle.timers == [5000]
+    assert batch(("f", "companion", 4), ("c", "edge", 4), ("g", "edge", 4))[0] == [("s", 7, "merged", "")]
+    assert timer(5000) == [] and handle.states["seen"].value is None and handle.timers == [10000]
+    assert batch(("h", "edge", 6), ("g", "edge", 6))[0] == [("s", 8, "merged", "")] and handle.timers == [7000]
+    # a timer behind all of the time a session is kept ends it at once
+    assert timer(12000) == [] and handle.timers == []
+    assert all(s.value is None for s in handle.states.values())
+
+
+def test_a_slice_of_many_files_brings_a_session_in_one_batch(spark, tmp_path, monkeypatch):
+    rows = [(k, 1 + k % 20, "FOP"[k % 3], "1-URGENT", 1.0) for k in range(400)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_totalprice double")
+    orders.repartition(8).write.parquet(f"{tmp_path}/orders.parquet")
+    paths, path = [], fresh_path
+    monkeypatch.setattr(q_streaming, "fresh_path", lambda *a: paths.append(path(*a)) or paths[-1])
+    got = q_streaming.session_completeness(spark, str(tmp_path)).collect()
+    want = q_fleet.merge_status(spark, str(tmp_path)).collect()
+    assert {(r.session_id, r.parts, r.status, r.missing) for r in got} == {(r.session_id, r.parts, r.status, r.missing) for r in want}
+    files = spark.read.parquet(paths[0]).withColumn("file", F.input_file_name())
+    files = files.filter("session_id <> 'flush'").withColumn("slice", F.floor((F.unix_seconds("ts") - 86400) / 100))
+    assert files.count() == 400 + len([k for k in range(400) if k % 3 == 2])
+    assert files.groupBy("slice", "session_id").agg(F.countDistinct("file").alias("n")).filter("n > 1").count() == 0
