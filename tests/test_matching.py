@@ -77,3 +77,32 @@ def test_information_of_a_task_is_that_of_the_joined_rows(spark, sides):
     want = {(w.arb_id, w.ref_no): w.mi for w in want.collect()}
     assert len(got) == len(want) == len(pairs)
     assert all(abs(g.mi - want[g.arb_id, g.ref_no]) < 1e-9 for g in got)
+
+
+def test_few_pairs_of_whole_references_need_their_sums(monkeypatch):
+    """The k best of many ids equal those of all correlations, and single precision rules nearly all others out."""
+    monkeypatch.setattr(scoring, "STRIP", 50)
+    rng = np.random.default_rng(9)
+    y = rng.normal(size=(80, 130)) * 10.0 ** rng.integers(-3, 6, 130)
+    y[:, 7] = 3.0
+    xs = [rng.normal(size=(80, 12)) * 1e4 + 1e6 for _ in range(60)]
+    for i, x in enumerate(xs):
+        x[:, 0], x[:, 1] = 5.0, -3.0 * y[:, i] + 1.0
+        x[:, 2] = x[:, 3] * 2.0  # a tie
+    r = np.abs([np.nan_to_num([[np.corrcoef(x[:, i], y[:, j])[0, 1] if x[:, i].std() and y[:, j].std() else 0.0 for j in range(130)] for i in range(12)]) for x in xs])
+    one, best, met, found = scoring._Whole(y, False), scoring._Best(3, np.full(130, 1e-8)), [], {}
+    near = one.near
+    monkeypatch.setattr(one, "near", lambda *a: met.append(near(*a)) or met[-1])
+    for k, x in enumerate(xs):
+        i, j, sx, sxx, sxy, got = one.pairs(x, 0.05, best)
+        assert np.allclose(sxy, (x[:, i] * y[:, j]).sum(0)) and np.allclose(got, r[k, i, j], atol=1e-9)
+        found |= {(k, a, b): v for a, b, v in zip(i.tolist(), j.tolist(), got.tolist())}
+    flat = r.reshape(-1, 130)
+    third = np.maximum(np.sort(flat, axis=0)[-3], 0.05 - 1e-6)
+    want = {(*divmod(a, 12), b) for a, b in zip(*(v.tolist() for v in np.nonzero(flat >= third - 1e-8)))}
+    assert {p for p, v in found.items() if v >= third[p[2]] - 1e-8} == want and not any(p[2] == 7 for p in want)
+    assert sum(len(i) for i, _ in met[20:]) < 0.02 * 40 * 12 * 130
+    n, strong, total, samples = sum(scoring._Whole(y, True).added(x, 0.05) for x in xs)
+    use = flat >= 0.05
+    assert (n == use.sum(0)).all() and (strong == (flat > 0.5).sum(0)).all() and (samples == 80 * n).all()
+    assert np.allclose(total, (flat * use).sum(0))
