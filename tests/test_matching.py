@@ -106,3 +106,17 @@ def test_few_pairs_of_whole_references_need_their_sums(monkeypatch):
     use = flat >= 0.05
     assert (n == use.sum(0)).all() and (strong == (flat > 0.5).sum(0)).all() and (samples == 80 * n).all()
     assert np.allclose(total, (flat * use).sum(0))
+
+
+def test_columns_that_are_nearly_equal_are_compared_as_one():
+    rng = np.random.default_rng(11)
+    y, high, low = rng.normal(size=(90, 40)), rng.integers(0, 256, (90, 8)), rng.integers(0, 256, (90, 8))
+    x = np.concatenate([high, high * 256 + low, -3.0 * high, low, np.zeros((90, 1))], axis=1).astype(float)
+    one = scoring._Whole(y, False)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = np.nan_to_num(np.abs(np.corrcoef(x.T, y.T)[: x.shape[1], x.shape[1] :]))
+    for mixed in (x, x[:, ::-1], x[:, rng.permutation(x.shape[1])]):  # groups of the last ids are kept where they hold
+        at = [int(np.flatnonzero((x == c[:, None]).all(0))[0]) for c in mixed.T]
+        i, j = one.near(mixed, np.full(40, 0.2))
+        assert len(set(zip(i, j))) == len(i) and set(zip(i, j)) >= set(zip(*np.nonzero(r[at] >= 0.2)))
+        assert len(one.kin.heads) == 17 and one.kin.reach(scoring._unit(mixed)).max() < scoring.KIN
